@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.text import sql_string
+
 EXTENSIONS = [".js", ".ts", ".py", ".java", ".go", ".rs", ".php", ".rb", ".kt", ".swift", ".py", ".js"]
 LANGUAGES = [
     "javascript", "typescript", "python", "java", "go", "rust", "php", "ruby", "kotlin", "swift",
@@ -131,17 +133,19 @@ def page_files(spark, d) -> DataFrame:
 
 
 def code_files(spark, d) -> DataFrame:
-    statements = F.array(*[F.lit(s) for s in STATEMENTS])
-    parts = [F.element_at(statements, F.expr(f"cast({p} as int) + 1")) for p in picks("o_orderkey", "o_custkey")]
-    which = F.expr(f"cast(o_orderkey % {len(EXTENSIONS)} as int) + 1")
+    statements = ", ".join(sql_string(s) for s in STATEMENTS)
+    parts = ", ".join(f"element_at(array({statements}), cast({p} as int) + 1)" for p in picks("o_orderkey", "o_custkey"))
+    which = f"cast(o_orderkey % {len(EXTENSIONS)} as int) + 1"
+    extensions = ", ".join(sql_string(e) for e in EXTENSIONS)
+    languages = ", ".join(sql_string(e) for e in LANGUAGES)
     return read(spark, d, "orders").select(
-        F.concat(F.lit("team"), (F.col("o_custkey") % 7).cast("string")).alias("project"),
-        F.concat(
-            F.lit("src/m"), (F.col("o_custkey") % 40).cast("string"), F.lit("/f"),
-            F.col("o_orderkey").cast("string"), F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), which),
-        ).alias("path"),
-        F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), which).alias("language"),
-        _fill_spark(F.concat_ws("\n", *parts)).alias("text"),
+        F.expr("concat('team', cast(o_custkey % 7 as string)) AS project"),
+        F.expr(
+            "concat('src/m', cast(o_custkey % 40 as string), '/f', cast(o_orderkey as string), "
+            f"element_at(array({extensions}), {which})) AS path"
+        ),
+        F.expr(f"element_at(array({languages}), {which}) AS language"),
+        _fill_spark(F.expr(f"concat_ws('\\n', {parts})")).alias("text"),
     )
 
 

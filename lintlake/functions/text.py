@@ -41,6 +41,15 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return f"(?d{flags})" + "".join(out)
 
 
+def sql_string(text: str) -> str:
+    """SQL literal; big expressions are built as SQL text, one call each.
+
+    ``${`` is written with an escape, or it would be read as a SQL variable.
+    """
+    text = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return "'" + text.replace("${", "$\\u007B") + "'"
+
+
 def col_of(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 

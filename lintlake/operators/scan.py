@@ -16,100 +16,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.brackets import nesting_profile
-from lintlake.functions.text import count_matches, java_regex, line_count, lines_of
+from lintlake.functions.text import java_regex, line_count, lines_of, sql_string
 from lintlake.rules.quality import LINE_LIMITS
 
 OPEN, CLOSE, PLAIN = "\u0001", "\u0002", "\ufffd"
 KEYS = ["project", "path", "language"]
 CHUNK = 256
+BLANK_RUN = r"(?:^|\n)[^\S\n]*\n[^\S\n]*\n[^\S\n]*(?:\n|\z)"
 
 
-def _language_filter(rule) -> Column | None:
+def _language_test(rule) -> str | None:
     wanted = [x for x in rule.languages if not x.startswith("!")]
     unwanted = [x[1:] for x in rule.languages if x.startswith("!")]
     if wanted:
-        return F.col("language").isin(*wanted)
+        return f"language IN ({', '.join(map(sql_string, wanted))})"
     if unwanted:
-        return ~F.col("language").isin(*unwanted)
+        return f"language NOT IN ({', '.join(map(sql_string, unwanted))})"
     return None
 
 
-def _applies(rule) -> Column:
-    """Does the rule hit this file at all; cheap tests first."""
+def _test(rule) -> str:
+    """SQL text: does the rule hit this file at all; cheap tests first."""
     tests = []
-    language = _language_filter(rule)
-    if language is not None:
+    language = _language_test(rule)
+    if language:
         tests.append(language)
     if rule.anchors:
-        near = F.lit(False)
-        for anchor in rule.anchors:
-            near = near | F.contains(F.col("_lower"), F.lit(anchor))
-        tests.append(near)
+        near = " OR ".join(f"contains(_lower, {sql_string(a)})" for a in rule.anchors)
+        tests.append(f"({near})")
+    pattern = sql_string(java_regex(rule.pattern, rule.flags))
     if rule.kind == "threshold":
-        tests.append(count_matches("text", rule.pattern, rule.flags) >= rule.threshold)
+        tests.append(f"regexp_count(text, {pattern}) >= {rule.threshold}")
     elif rule.kind == "blank_run":
-        tests.append(F.col("text").rlike(r"(?:^|\n)[^\S\n]*\n[^\S\n]*\n[^\S\n]*(?:\n|\z)"))
+        tests.append("rlike(text, " + sql_string(BLANK_RUN) + ")")
     elif rule.kind == "nesting":
-        tests.append(nesting_profile("text", skip_literals=True)["depth"] >= rule.threshold)
+        tests.append(f"_nesting.depth >= {rule.threshold}")
     else:
-        tests.append(F.col("text").rlike(java_regex(rule.pattern, rule.flags)))
-    test = tests[0]
-    for more in tests[1:]:
-        test = test & more
-    return test
-
-
-def _mark_lines(wanted) -> Column:
-    """Marks at the start of the lines whose 0-based number passes the test."""
-    lines = lines_of("text")
-    marked = F.transform(
-        lines, lambda line, i: F.when(wanted(lines, i), F.concat(F.lit(OPEN + CLOSE), line)).otherwise(line)
-    )
-    return F.array_join(marked, "\n")
+        tests.append(f"rlike(text, {pattern})")
+    return " AND ".join(tests)
 
 
-def _blank(line) -> Column:
-    return line.rlike(r"\A\s*\z")
+def _mark_lines(condition: str) -> str:
+    """Marks at the start of the lines whose 0-based number ``i`` passes."""
+    start = sql_string(OPEN + CLOSE)
+    return (
+        f"array_join(transform(split(text, '\\n', -1), (line, i) -> "
+        f"if({condition}, concat({start}, line), line)), '\\n')"
+    )
 
 
-def _marked(rule) -> Column:
+def _marked(rule) -> str:
     if rule.kind == "threshold":
-        return F.concat(F.lit(OPEN + CLOSE), F.col("text"))
+        return f"concat({sql_string(OPEN + CLOSE)}, text)"
     if rule.kind == "blank_run":
-        return _mark_lines(
-            lambda lines, i: (i >= 2)
-            & _blank(F.element_at(lines, i + 1))
-            & _blank(F.element_at(lines, F.greatest(i, F.lit(1))))
-            & _blank(F.element_at(lines, F.greatest(i - 1, F.lit(1))))
+        blank = sql_string(r"\A\s*\z")
+        tests = " AND ".join(
+            f"rlike(element_at(split(text, '\\n', -1), greatest(i + {1 - back}, 1)), {blank})" for back in (0, 1, 2)
         )
+        return _mark_lines(f"i >= 2 AND {tests}")
     if rule.kind == "nesting":
-        at = nesting_profile("text", skip_literals=True)["line"]
-        return _mark_lines(lambda lines, i: i == at - 1)
+        return _mark_lines("i = _nesting.line - 1")
     pattern = java_regex(rule.pattern, rule.flags)
     if rule.kind == "first":
         head = f"(?d{rule.flags})"
-        body = pattern[len(head):]
-        return F.regexp_replace("text", head + r"\A([\s\S]*?)(" + body + ")", f"$1{OPEN}$2{CLOSE}")
-    return F.regexp_replace("text", pattern, f"{OPEN}$0{CLOSE}")
+        pattern = head + r"\A([\s\S]*?)(" + pattern[len(head):] + ")"
+        return f"regexp_replace(text, {sql_string(pattern)}, {sql_string('$1' + OPEN + '$2' + CLOSE)})"
+    return f"regexp_replace(text, {sql_string(pattern)}, {sql_string(OPEN + '$0' + CLOSE)})"
 
 
-def _number(rule) -> Column:
+def _number(rule) -> str | None:
     if rule.kind == "threshold":
-        return count_matches("text", rule.pattern, rule.flags)
+        return f"regexp_count(text, {sql_string(java_regex(rule.pattern, rule.flags))})"
     if rule.kind == "nesting":
-        return nesting_profile("text", skip_literals=True)["depth"]
-    return F.lit(None).cast("int")
+        return "_nesting.depth"
+    return None
 
 
-def _by_rule(rules, build, otherwise) -> Column:
-    result = None
-    for i, rule in enumerate(rules):
-        value = build(rule)
-        if value is None:
-            continue
-        test = F.col("_rule") == i
-        result = F.when(test, value) if result is None else result.when(test, value)
-    return otherwise if result is None else result.otherwise(otherwise)
+def _by_rule(values: list[str | None]) -> Column:
+    branches = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None)
+    return F.expr(f"CASE _rule {branches} END") if branches else F.lit(None)
 
 
 def mark_hits(files: DataFrame, rules) -> DataFrame:
@@ -118,63 +103,48 @@ def mark_hits(files: DataFrame, rules) -> DataFrame:
     clean = files.select(
         *KEYS, F.translate("text", OPEN + CLOSE, PLAIN * 2).alias("text")
     ).withColumn("_lower", F.lower("text"))
-    numbers = F.array_compact(F.array(*[F.when(_applies(r), F.lit(i)) for i, r in enumerate(rules)]))
-    numbered = clean.select(*KEYS, "text", F.explode(numbers).alias("_rule"))
-    computed = any(r.kind in ("threshold", "nesting") for r in rules)
+    extra = []
+    if any(r.kind == "nesting" for r in rules):
+        # Only files that some nesting rule may apply to pay for the fold.
+        languages = " OR ".join(_language_test(r) or "true" for r in rules if r.kind == "nesting")
+        clean = clean.withColumn("_nesting", F.when(F.expr(languages), nesting_profile("text", skip_literals=True)))
+        extra = ["_nesting"]
+    numbers = ", ".join(f"CASE WHEN {_test(r)} THEN {i} END" for i, r in enumerate(rules))
+    numbered = clean.select(*KEYS, "text", *extra, F.explode(F.expr(f"array_compact(array({numbers}))")).alias("_rule"))
     return numbered.select(
         *KEYS,
         "_rule",
-        _by_rule(rules, _marked, F.col("text")).alias("_marked"),
-        (
-            _by_rule(rules, lambda r: _number(r) if r.kind in ("threshold", "nesting") else None, F.lit(None).cast("int"))
-            if computed
-            else F.lit(None).cast("int")
-        ).alias("_number"),
+        _by_rule([_marked(r) for r in rules]).alias("_marked"),
+        _by_rule([_number(r) for r in rules]).cast("int").alias("_number"),
     )
 
 
-def _running_columns(parts: Column) -> Column:
-    """Columns of the marks between consecutive parts of a line.
+def _prefix_sums(values: str, start: str) -> str:
+    """Running sums of an INT array as an array, by one fold."""
+    return (
+        f"aggregate({values}, named_struct('at', cast({start} as int), 'out', cast(array() as array<int>)), "
+        "(acc, x) -> named_struct('at', acc.at + x, 'out', concat(acc.out, array(acc.at + x)))).out"
+    )
+
+
+def _running_columns() -> str:
+    """0-based columns of the marks between consecutive ``_parts`` of a line.
 
     Sums run over chunks first and inside them second, so a line with very
     many hits costs no more than a constant factor over its length.
     """
-    sizes = F.transform(parts, lambda p: F.length(p))
-    marks = F.size(parts) - 1
-
-    def prefix(values: Column, start: Column) -> Column:
-        empty = F.array().cast("array<int>")
-        folded = F.aggregate(
-            values,
-            F.struct(start.cast("int").alias("at"), empty.alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x).cast("int").alias("at"),
-                F.concat(acc["out"], F.array((acc["at"] + x).cast("int"))).alias("out"),
-            ),
-        )
-        return folded["out"]
-
-    def chunk(i):
-        return F.slice(sizes, i * CHUNK + 1, F.least(F.lit(CHUNK), marks - i * CHUNK))
-
-    def total(values):
-        return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
-
-    small = prefix(F.slice(sizes, 1, marks), F.lit(0))
-    chunk_ids = F.sequence(F.lit(0), F.floor((marks - 1) / CHUNK).cast("int"))
-    chunk_ends = prefix(F.transform(chunk_ids, lambda i: total(chunk(i))), F.lit(0))
-    large = F.flatten(
-        F.transform(
-            chunk_ids,
-            lambda i: prefix(chunk(i), F.when(i == 0, F.lit(0)).otherwise(F.element_at(chunk_ends, F.greatest(i, F.lit(1))))),
-        )
-    )
-    offsets = (
-        F.when(F.size(parts) == 2, F.array(F.element_at(sizes, 1)))
-        .when(marks <= CHUNK, small)
-        .otherwise(large)
+    sizes = "transform(_parts, p -> length(p))"
+    marks = "(size(_parts) - 1)"
+    chunk = f"slice({sizes}, i * {CHUNK} + 1, least({CHUNK}, {marks} - i * {CHUNK}))"
+    ids = f"sequence(0, cast(floor(({marks} - 1) / {CHUNK}) as int))"
+    ends = _prefix_sums(f"transform({ids}, i -> aggregate({chunk}, 0, (a, x) -> a + x))", "0")
+    begin = f"if(i = 0, 0, element_at({ends}, greatest(i, 1)))"
+    large = f"flatten(transform({ids}, i -> {_prefix_sums(chunk, begin)}))"
+    small = _prefix_sums(f"slice({sizes}, 1, {marks})", "0")
+    return (
+        f"CASE WHEN size(_parts) = 2 THEN array(length(_parts[0])) "
+        f"WHEN {marks} <= {CHUNK} THEN {small} ELSE {large} END"
     )
-    return F.transform(offsets, lambda x: (x + 1).cast("int"))
 
 
 def locate_hits(marked: DataFrame) -> DataFrame:
@@ -190,41 +160,41 @@ def locate_hits(marked: DataFrame) -> DataFrame:
         F.split(F.translate("_text", CLOSE, ""), OPEN, -1).alias("_parts"),
         F.split("_text", OPEN, -1).alias("_raw"),
     )
-    hits = F.arrays_zip(
-        _running_columns(F.col("_parts")).alias("column"),
-        F.transform(
-            F.slice("_raw", 2, F.size("_raw") - 1), lambda p: F.substring_index(p, CLOSE, 1)
-        ).alias("match"),
+    hits = F.expr(
+        f"arrays_zip({_running_columns()}, transform(slice(_raw, 2, size(_raw) - 1), "
+        f"p -> substring_index(p, {sql_string(CLOSE)}, 1)))"
     )
     return parts.select(*KEYS, "_rule", "_number", "line", F.explode(hits).alias("_hit")).select(
-        *KEYS, "_rule", "_number", "line", "_hit.column", "_hit.match"
+        *KEYS, "_rule", "_number", "line", (F.col("_hit")["0"] + 1).alias("column"), F.col("_hit")["1"].alias("match")
     )
 
 
-def _literal(value) -> Column:
-    return F.lit(value).cast("string")
+def _constant(value) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return str(value) if isinstance(value, int) else sql_string(value)
 
 
 def describe_hits(hits: DataFrame, rules) -> DataFrame:
     """Rule text for each hit, from a literal table indexed by rule number."""
     rules = list(rules)
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r.engine).alias("engine"),
-                F.lit(r.rule).alias("rule"),
-                F.lit(r.category).alias("category"),
-                _literal(r.sub_category).alias("sub_category"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.message).alias("message"),
-                _literal(r.suggestion).alias("suggestion"),
-                F.lit(r.auto_fixable).alias("auto_fixable"),
-                F.lit(r.kind).alias("kind"),
-                F.lit(LINE_LIMITS.get(r.engine, 0) if r.rule == "max-line-length" else 0).alias("limit"),
+    rows = ", ".join(
+        "named_struct("
+        + ", ".join(
+            f"'{name}', {_constant(value)}"
+            for name, value in (
+                ("engine", r.engine), ("rule", r.rule), ("category", r.category),
+                ("sub_category", r.sub_category), ("severity", r.severity), ("message", r.message),
+                ("suggestion", r.suggestion), ("auto_fixable", r.auto_fixable), ("kind", r.kind),
+                ("limit", LINE_LIMITS.get(r.engine, 0) if r.rule == "max-line-length" else 0),
             )
-            for r in rules
-        ]
+        )
+        + ")"
+        for r in rules
     )
+    table = F.expr(f"array({rows})")
     with_rule = hits.withColumn("_r", F.element_at(table, F.col("_rule") + 1))
     length = F.col("_r.limit") + F.length("match")
     message = F.col("_r.message")
