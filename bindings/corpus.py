@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.text import sql_string
 
-EXTENSIONS = [".js", ".ts", ".py", ".java", ".go", ".rs", ".php", ".rb", ".kt", ".swift", ".py", ".js"]
+EXTENSIONS = [
+    ".js", ".ts", ".py", ".java", ".go", ".rs", ".php", ".rb", ".kt", ".swift", ".py", ".js", ".c", ".cpp", ".cs", ".sh", ".yaml",
+]
 LANGUAGES = [
     "javascript", "typescript", "python", "java", "go", "rust", "php", "ruby", "kotlin", "swift",
-    "python", "javascript",
+    "python", "javascript", "c", "cpp", "csharp", "shell", "yaml",
 ]
 DOC_EXT = {"en": ".py", "fr": ".js", "de": ".java", "es": ".go"}
 DOC_LANG = {"en": "python", "fr": "javascript", "de": "java", "es": "go"}
@@ -84,6 +86,8 @@ STATEMENTS = [
     "import util@N", "import { a } from './mod@K';", "const m = require('./mod@K');", "from pkg.mod@K import fn",
     "class Node@K(Base@J):\n    def get(self):\n        return self.x", "helper@K(arg)\nresult = step@J(1)",
     "def helper@K(x):\n    return helper@J(x) + step@K(x)",
+    "fun broken@N( {", "func broken@N( {", "int broken@N( {", "void Broken@N( {", "if [ -f a ]; then",
+    "for f in *; do", "fi", "done", ": bad@N", "key@N:value",
 ]
 N = len(STATEMENTS)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.corpus import corpus, document_files, files_cte, q, read
+from bindings.rule_sql import nesting_sql
 from lintlake.functions.brackets import COGNITIVE_HITS, COGNITIVE_OPENERS
 from lintlake.operators import metrics as m
 
@@ -76,12 +77,8 @@ ORACLES["W4_nesting_depth"] = FILES + f""", t AS (SELECT {KEYS}, unnest(list_con
  f AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY path ORDER BY pos)) AS level FROM s)
 SELECT {KEYS}, CAST(max(level) AS INTEGER) AS max_depth, CAST(CASE WHEN max(level) = 0 THEN 1 ELSE arg_min(line, (-level, pos)) END AS INTEGER) AS max_depth_line, CAST((max(level) + 1) // 2 AS INTEGER) AS average_depth FROM f GROUP BY {KEYS}"""
 
-_LIT = r"""("[^"\\]*(\\[\s\S][^"\\]*)*"?|'[^'\\]*(\\[\s\S][^'\\]*)*'?|`[^`\\]*(\\[\s\S][^`\\]*)*`?|//[^\n]*|/\*([^*]|\*+[^*/])*(\*+/)?|[{(\[\])}\n])"""
 QUERIES["W1_literal_aware_nesting"] = lambda s, d: m.literal_aware_nesting(corpus(s, d))
-ORACLES["W1_literal_aware_nesting"] = FILES + f""", t AS (SELECT {KEYS}, unnest(list_concat([''], regexp_extract_all(text, {q(_LIT)}))) AS tok, generate_subscripts(list_concat([''], regexp_extract_all(text, {q(_LIT)})), 1) AS pos FROM files),
- u AS (SELECT *, CASE WHEN left(tok, 1) IN ('"', '''', '`') THEN regexp_replace(tok, '\\\\[\\s\\S]', '', 'g') ELSE tok END AS plain FROM t),
- s AS (SELECT *, sum(CASE WHEN tok IN ('{{','(','[') THEN 1 WHEN tok IN ('}}',')',']') THEN -1 ELSE 0 END) OVER w AS level, 1 + sum(length(plain) - length(replace(plain, chr(10), ''))) OVER w AS line FROM u WINDOW w AS (PARTITION BY path ORDER BY pos))
-SELECT {KEYS}, CAST(greatest(max(level), 0) AS INTEGER) AS depth, CAST(CASE WHEN max(level) <= 0 THEN 1 ELSE arg_min(line, (-level, pos)) END AS INTEGER) AS line, max(level) > 4 AS too_deep FROM s GROUP BY {KEYS}"""
+ORACLES["W1_literal_aware_nesting"] = FILES + f" SELECT *, depth > 4 AS too_deep FROM ({nesting_sql()})"
 
 _hits = " + ".join(f"CAST(regexp_matches(l, {q(p)}) AS INTEGER)" for p in COGNITIVE_HITS)
 _ups = " + ".join(f"CAST(regexp_matches(l, {q(p)}) AS INTEGER)" for p in COGNITIVE_OPENERS)

@@ -21,9 +21,8 @@ def _pack_sql(rules):
     return hits_sql(rules, files_cte()) + f"SELECT {SHOWN_SQL} FROM findings"
 
 
-# The nesting rule has a query of its own (W1).
 PACKS = {
-    "RS1_javascript_quality": [r for r in quality.JAVASCRIPT if r.kind == "regex"],
+    "RS1_javascript_quality": quality.JAVASCRIPT,
     "RS2_python_quality": quality.PYTHON,
     "RS3_java_quality": quality.JAVA_PACK,
     "RS4_generic_quality": quality.GENERIC,

@@ -38,6 +38,18 @@ NOT_INSIDE = {r"yaml\.load\s*\((?:(?!Loader=)[^)])*+\)": "Loader="}
 ALWAYS_OWN = {"max-line-length"}
 
 
+_LITERALS = r"""("[^"\\]*(\\[\s\S][^"\\]*)*"?|'[^'\\]*(\\[\s\S][^'\\]*)*'?|`[^`\\]*(\\[\s\S][^`\\]*)*`?|//[^\n]*|/\*([^*]|\*+[^*/])*(\*+/)?|[{(\[\])}\n])"""
+
+
+def nesting_sql(where: str = "true") -> str:
+    """Deepest level outside strings and comments, and the line it is first reached on."""
+    tokens = f"list_concat([''], regexp_extract_all(text, {q(_LITERALS)}))"
+    return f"""SELECT project, path, language, CAST(greatest(max(level), 0) AS INTEGER) AS depth, CAST(CASE WHEN max(level) <= 0 THEN 1 ELSE arg_min(line, (-level, pos)) END AS INTEGER) AS line FROM (
+ SELECT *, sum(CASE WHEN tok IN ('{{','(','[') THEN 1 WHEN tok IN ('}}',')',']') THEN -1 ELSE 0 END) OVER w AS level, 1 + sum(length(plain) - length(replace(plain, chr(10), ''))) OVER w AS line FROM (
+  SELECT *, CASE WHEN left(tok, 1) IN ('"', '\'\'', '`') THEN regexp_replace(tok, '\\\\[\\s\\S]', '', 'g') ELSE tok END AS plain FROM (
+   SELECT project, path, language, unnest({tokens}) AS tok, generate_subscripts({tokens}, 1) AS pos FROM files WHERE {where})) WINDOW w AS (PARTITION BY path ORDER BY pos)) GROUP BY project, path, language"""
+
+
 def _languages(rule) -> str:
     wanted = [x for x in rule.languages if not x.startswith("!")]
     unwanted = [x[1:] for x in rule.languages if x.startswith("!")]
@@ -63,6 +75,8 @@ def _branch(i, rule) -> str:
  SELECT *, b AND lag(b,1,false) OVER w AND lag(b,2,false) OVER w AS third FROM (
   SELECT project, path, language, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line, regexp_matches(l, '^\\s*$') AS b FROM files WHERE {where}
  ) WINDOW w AS (PARTITION BY path ORDER BY line)) WHERE third"""
+    if rule.kind == "nesting":
+        return f"SELECT project, path, language, {i}, line, 1, '', depth FROM ({nesting_sql(where)}) WHERE depth >= {rule.threshold}"
     if rule.rule == "max-line-length":
         limit = 120 if "120" in rule.message else 150
         return f"""SELECT project, path, language, {i}, line, {limit + 1}, substr(l, {limit + 1}), NULL FROM (
