@@ -31,14 +31,16 @@ def unique_findings(findings: DataFrame) -> DataFrame:
         F.coalesce("message", F.lit("")).alias("message"),
         status.alias("status"),
     )
-    picked = filled.groupBy("id").agg(F.max(F.struct("message", *[c for c in _FIELDS if c != "message"])).alias("_f"))
-    return picked.select("id", *[F.col("_f")[c].alias(c) for c in _FIELDS])
+    picked = filled.groupBy("id").agg(
+        F.max(F.struct("message", *[c for c in _FIELDS if c != "message"])).alias("_f"), F.count("*").alias("copies")
+    )
+    return picked.select("id", *[F.col("_f")[c].alias(c) for c in _FIELDS], "copies")
 
 
 def compare(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """``state`` new / fixed / persistent per id, by one full outer join on unique ids."""
     left = unique_findings(baseline).select("id", *[F.col(c).alias(f"b_{c}") for c in _FIELDS])
-    right = unique_findings(current).select("id", *[F.col(c).alias(f"c_{c}") for c in _FIELDS])
+    right = unique_findings(current).select("id", "copies", *[F.col(c).alias(f"c_{c}") for c in _FIELDS])
     state = (
         F.when(F.col("b_status").isNull(), "new").when(F.col("c_status").isNull(), "fixed").otherwise("persistent")
     )
@@ -46,17 +48,19 @@ def compare(baseline: DataFrame, current: DataFrame) -> DataFrame:
         "id",
         state.alias("state"),
         *[F.coalesce(F.col(f"c_{c}"), F.col(f"b_{c}")).alias(c) for c in _FIELDS if c != "status"],
+        F.coalesce("copies", F.lit(0)).alias("copies"),
     )
 
 
 def comparison_summary(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """Totals and trend in one row; ``current_total`` counts repeats, ids do not."""
-    states = compare(baseline, current).agg(
-        F.count_if(F.col("state") != "new").alias("baseline_total"),
-        *[F.count_if(F.col("state") == s).alias(f"{s}_issues") for s in ("new", "fixed", "persistent")],
+    return trend(
+        compare(baseline, current).agg(
+            F.count_if(F.col("state") != "new").alias("baseline_total"),
+            F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("current_total"),
+            *[F.count_if(F.col("state") == s).alias(f"{s}_issues") for s in ("new", "fixed", "persistent")],
+        )
     )
-    total = current.agg(F.count("*").alias("current_total"))
-    return trend(states.crossJoin(F.broadcast(total)))
 
 
 def trend(totals: DataFrame) -> DataFrame:
