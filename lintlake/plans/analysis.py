@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +28,71 @@ def detect_errors(files: DataFrame) -> DataFrame:
     return scan_rules(files, review.DETECT_ERRORS)
 
 
+# Languages that count as another one outside the base packs.
+VARIANTS = {
+    "javascript": ("javascript-test", "javascript-config"),
+    "typescript": ("typescript-test", "typescript-declaration"),
+    "python": ("python-test",),
+}
+
+
+def _widened(rules, only=None):
+    """Rules that also see variants such as ``-test``, held to some languages."""
+    result = []
+    for rule in rules:
+        names = [x for x in (rule.languages or only or ()) if only is None or x in only]
+        wide = tuple(y for x in names for y in (x, *VARIANTS.get(x, ())))
+        if names or not (rule.languages or only):
+            result.append(replace(rule, languages=wide))
+    return result
+
+
+_PLAIN = quality.ALL + _widened(review.REVIEW + review.LANGUAGE_REVIEW)
+_PROJECT = _PLAIN + _widened(security.COMPREHENSIVE, SECURITY_LANGUAGES)
+
+
 def project_findings(files: DataFrame, python_jobs: bool = False) -> DataFrame:
     """Base, review and (for scripted languages) security findings of a project.
 
-    The base packs see the language as detected, the others without variants
-    such as ``-test``. ``python_jobs`` adds the long-function rule, which needs
-    balanced bodies.
+    All packs run in one pass over the files. The base packs see the language
+    as detected, the others without variants such as ``-test``. Only security
+    findings are merged per spot; the rest keeps its rule number in the key, so
+    one shuffle of the findings serves both. ``python_jobs`` adds the
+    long-function rule, which needs balanced bodies.
     """
-    base = scan_rules(files, quality.ALL)
-    plain = files.withColumn("language", normalize_language("language"))
-    reviewed = scan_rules(plain, review.REVIEW + review.LANGUAGE_REVIEW)
-    secured = comprehensive_security(plain.where(F.col("language").isin(*SECURITY_LANGUAGES)))
-    result = base.unionByName(reviewed).unionByName(secured)
+    found = scan_rules(files, _PROJECT)
+    keys = ["project", "path", "rule", "line", "column", "_own"]
+    own = F.when(F.col("rule_order") < len(_PLAIN), F.col("rule_order")).otherwise(-1)
+    rest = [c for c in found.columns if c not in keys and c != "rule_order"]
+    merged = (
+        found.withColumn("_own", own)
+        .groupBy(*keys)
+        .agg(F.min(F.struct("rule_order", *rest)).alias("_f"))
+        .select(*[c if c in keys else F.col("_f")[c].alias(c) for c in found.columns])
+    )
     if python_jobs:
         from lintlake.operators.structure import long_functions
 
-        result = result.unionByName(long_functions(plain))
-    return result
+        merged = merged.unionByName(long_functions(files))
+    return merged.withColumn("language", normalize_language("language"))
+
+
+def compliance_findings(files: DataFrame) -> DataFrame:
+    """Compliance rules by text pattern, and by what a named function or class lacks."""
+    from lintlake.operators.structure import code_units
+    from lintlake.rules.extra import COMPLIANCE_BODIES, COMPLIANCE_TEXT
+
+    texts = scan_rules(files, COMPLIANCE_TEXT).select("project", "path", "rule", "severity", "message", "line")
+    units = code_units(files.where(F.col("language") == "python"))
+    tests = []
+    for rule, kind, severity, name, must, lacks, message, _ in COMPLIANCE_BODIES:
+        test = (F.col("kind") == kind) & F.col("name").rlike(name) & ~F.col("body").rlike(lacks)
+        if must:
+            test = test & F.col("body").rlike(must)
+        tests.append(
+            F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message")))
+        )
+    bodies = units.select("project", "path", "line", F.explode(F.array_compact(F.array(*tests))).alias("_f")).select(
+        "project", "path", "_f.rule", "_f.severity", "_f.message", "line"
+    )
+    return texts.unionByName(bodies)
