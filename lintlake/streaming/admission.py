@@ -31,15 +31,32 @@ def decide(times, admitted: deque, max_requests: int, window_us: int):
 def admit_requests(requests: DataFrame, max_requests: int, window_seconds: int) -> DataFrame:
     """Batch form over ``requests(key, ts)``.
 
-    A pause of a full window empties the state, so each key is first cut at
-    such pauses by a window function; the pieces are then decided on their own
-    and stream through their group in time order, batch by batch.
+    A pause of a full window empties the state, so a key is cut at its pauses
+    and the pieces are decided apart. Pauses are found in (key, bucket) parts
+    one window wide; per key only one row per bucket is ordered, never the
+    requests. A piece itself is sequential by nature: it streams through its
+    task in time order and holds no more than one window of admitted times.
     """
     window_us = window_seconds * 1_000_000
-    timed = requests.select("key", F.col("ts").cast("timestamp").alias("ts")).withColumn("_us", F.unix_micros("ts"))
-    by_key = Window.partitionBy("key").orderBy("_us")
-    fresh = F.coalesce(F.col("_us") - F.lag("_us").over(by_key) >= window_us, F.lit(True))
-    pieces = timed.withColumn("_piece", F.sum(fresh.cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = (
+        requests.select("key", F.col("ts").cast("timestamp").alias("ts"))
+        .withColumn("_us", F.unix_micros("ts"))
+        .withColumn("_b", F.floor(F.col("_us") / window_us).cast("bigint"))
+    )
+    last = timed.groupBy("key", (F.col("_b") + 1).alias("_b")).agg(F.max("_us").alias("_carried"))
+    inside = Window.partitionBy("key", "_b").orderBy("_us")
+    near = timed.join(last, ["key", "_b"], "left").withColumn("_before", F.coalesce(F.lag("_us").over(inside), "_carried"))
+    fresh = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= window_us)
+    flagged = near.withColumn("_start", F.when(fresh, F.col("_us"))).withColumn(
+        "_start", F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    earlier = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = flagged.groupBy("key", "_b").agg(F.max("_start").alias("_last")).select(
+        "key", "_b", F.max("_last").over(earlier).alias("_open")
+    )
+    pieces = flagged.join(carried, ["key", "_b"]).select(
+        "key", "ts", "_us", F.coalesce("_start", "_open").alias("_piece")
+    )
     # One pass over sorted partitions: state is only the last window of the current piece.
     ordered = pieces.repartition("key", "_piece").sortWithinPartitions("key", "_piece", "_us")
 
