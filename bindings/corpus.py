@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import sql_string
+from lintlake.sources.files import spread
 
 EXTENSIONS = [
     ".js", ".ts", ".py", ".java", ".go", ".rs", ".php", ".rb", ".kt", ".swift", ".py", ".js", ".c", ".cpp", ".cs", ".sh", ".yaml",
@@ -109,8 +110,16 @@ def _fill_spark(column):
     return column
 
 
+# A key of each table that is read in bulk; small tables stay as they are.
+BULK_KEYS = {
+    "documents": ["doc_id"], "pages": ["page_id"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_partkey", "l_linenumber"],
+    "events": ["event_id"],
+}
+
+
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+    df = spark.read.parquet(f"{d}/{table}.parquet")
+    return spread(df, *BULK_KEYS[table]) if table in BULK_KEYS else df
 
 
 def document_files(spark, d) -> DataFrame:

@@ -67,8 +67,10 @@ def cognitive_complexity(text) -> Column:
     summed = lambda line, patterns: sum(
         (has_match(line, p).cast("int") for p in patterns), F.lit(0)
     )
+    # Lines without any of these can neither add nor change the level.
+    relevant = F.filter(lines_of(text), lambda line: line.rlike(r"if|for|while|catch|except|try|switch|[?{}]|&&|\|\|"))
     facts = F.transform(
-        lines_of(text),
+        relevant,
         lambda line: F.struct(
             summed(line, COGNITIVE_HITS).alias("hits"),
             summed(line, COGNITIVE_OPENERS).alias("up"),

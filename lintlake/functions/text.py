@@ -54,13 +54,33 @@ def col_of(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def required_literal(pattern: str) -> str | None:
+    """Literal that every hit of a plain word or operator pattern starts with.
+
+    Only patterns of one alternative are read; for anything else there is none
+    and the regex has to decide alone.
+    """
+    if re.search(r"(?<!\\)\|", pattern):
+        return None
+    word = re.match(r"(?:\\b)?([A-Za-z_]{2,})(?![\w?*{])", pattern)
+    if word:
+        return word.group(1)
+    return {r"&&": "&&", r"\|\|": "||", r"\?\s*[^:]": "?", r"\?\.": "?.", r"\b\?\s*:": "?", r"\?.\b": "?"}.get(pattern)
+
+
 def count_matches(text, pattern: str, flags: str = "") -> Column:
-    """Number of regex hits as INT."""
-    return F.regexp_count(col_of(text), F.lit(java_regex(pattern, flags)))
+    """Number of regex hits as INT; a literal test first where the pattern has one."""
+    c = col_of(text)
+    count = F.regexp_count(c, F.lit(java_regex(pattern, flags)))
+    literal = None if flags else required_literal(pattern)
+    return F.when(F.contains(c, F.lit(literal)), count).otherwise(F.lit(0)) if literal else count
 
 
 def has_match(text, pattern: str, flags: str = "") -> Column:
-    return col_of(text).rlike(java_regex(pattern, flags))
+    c = col_of(text)
+    found = c.rlike(java_regex(pattern, flags))
+    literal = None if flags else required_literal(pattern)
+    return F.contains(c, F.lit(literal)) & found if literal else found
 
 
 def count_all(text, patterns, flags: str = "") -> Column:

@@ -24,6 +24,18 @@ CORPUS_IGNORED = [
 ]
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small input over all cores.
+
+    Rules cost far more per byte than reading does, so an input with fewer
+    partitions than cores is split by key once, before any text is derived. A
+    large input has more splits than cores and passes as it is. Meant for
+    tables as read: counting partitions must not start a job.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, *keys) if table.rdd.getNumPartitions() < cores else table
+
+
 def _relative(root: str):
     """Path below the root; Spark reports it as a URI with its scheme."""
     base = root.rstrip("/").split("://", 1)[-1]
