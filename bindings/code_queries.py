@@ -95,7 +95,8 @@ add("G36_E5_deep_scan", lambda s, d: t.deep_scan_report(t.taint_findings(corpus(
     _TAINT + _ROUTES + " SELECT 'finding' AS kind, risk_level, count(*) AS count FROM taints GROUP BY 2 UNION ALL SELECT 'endpoint', risk_level, count(*) FROM ends GROUP BY 2")
 
 # ---- structure -------------------------------------------------------------
-_CALLS = "calls AS (SELECT DISTINCT project, path, caller, callee FROM (SELECT project, path, caller, unnest(list_distinct(regexp_extract_all(text, '(\\w+)\\([^)]*\\)', 1))) AS callee FROM (SELECT project, path, text, unnest(list_distinct(regexp_extract_all(text, 'def (\\w+)\\([^)]*\\):', 1))) AS caller FROM files WHERE language = 'python')) WHERE caller <> callee)"
+_DEFP = q(r"def (\w+)\([^)]*\):")
+_CALLS = f"calls AS (SELECT DISTINCT project, path, caller, callee FROM (SELECT project, path, caller, unnest(regexp_extract_all(body, '(\\w+)\\([^)]*\\)', 1)) AS callee FROM (SELECT project, path, unnest(regexp_extract_all(text, {_DEFP}, 1)) AS caller, unnest(string_split_regex(text, {_DEFP})[2:]) AS body FROM files WHERE language = 'python')) WHERE caller <> callee)"
 add("M8_call_edges", lambda s, d: st.call_edges(corpus(s, d)), FILES + ", " + _CALLS + " SELECT * FROM calls")
 add("J10_call_neighbourhood", lambda s, d: g.neighbourhood(st.call_edges(corpus(s, d)), "helper7", 2),
     FILES + ", " + _CALLS + """, e AS (SELECT DISTINCT caller, callee FROM calls), o1 AS (SELECT DISTINCT callee AS name FROM e WHERE caller = 'helper7' AND callee <> 'helper7'), o2 AS (SELECT DISTINCT callee AS name FROM e WHERE caller IN (SELECT name FROM o1) AND callee <> 'helper7' AND callee NOT IN (SELECT name FROM o1)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings.corpus import q, read
 from lintlake.functions.text import sql_string
 from lintlake.operators import logs as g
+from lintlake.streaming import logs as stream
 
 MESSAGES = [
     "request served", "failed login for admin", "union select probe", "<script>x</script> seen",
@@ -137,3 +138,10 @@ ORACLES["E4_F21_log_recommendations"] = HEAD + f""", {CLASSES_SQL}, {SUMMARY_SQL
  UNION ALL SELECT path, 'critical', 'security', 'Found ' || security_issues || ' security-related log entries. Investigate immediately.' FROM summary WHERE security_issues > 0
  UNION ALL SELECT path, 'medium', 'performance', 'Found ' || performance_issues || ' performance-related log entries. Consider optimization.' FROM summary WHERE performance_issues > 0
  UNION ALL SELECT path, 'low', 'format', 'Low log parse rate. Consider using a standardized log format.' FROM summary WHERE parse_rate < 0.5"""
+
+_LINE_HEAD = f"WITH {LINES_SQL}, " + ENTRIES_SQL.replace("FROM lines JOIN formats USING (path)", f"FROM (SELECT *, {LINE_FORMAT_SQL} AS format FROM lines)") + f", {CLASSES_SQL}"
+QUERIES["ST1_line_triage"] = lambda s, d: stream.triage(log_lines(s, d)).select("path", "line", "format", "level", "level_class", F.size("security").alias("security"), F.size("performance").alias("performance"), "error_class")
+ORACLES["ST1_line_triage"] = _LINE_HEAD + " SELECT path, line, format, level, level_class, CAST(len(security) AS INTEGER) AS security, CAST(len(performance) AS INTEGER) AS performance, error_class FROM classified"
+QUERIES["ST2_windowed_counts"] = lambda s, d: stream.windowed_counts(stream.triage(log_lines(s, d)), "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "entries", "errors", "warnings", "security_issues", "performance_issues")
+ORACLES["ST2_windowed_counts"] = _LINE_HEAD + """ SELECT strftime(date_trunc('hour', TRY_CAST(timestamp AS TIMESTAMP)), '%Y-%m-%d %H:%M') AS start, count(*) AS entries, count(*) FILTER (WHERE level_class = 'error') AS errors, count(*) FILTER (WHERE level_class = 'warn') AS warnings,
+ count(*) FILTER (WHERE len(security) > 0) AS security_issues, count(*) FILTER (WHERE len(performance) > 0) AS performance_issues FROM classified WHERE TRY_CAST(timestamp AS TIMESTAMP) IS NOT NULL GROUP BY 1"""

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from bindings.corpus import code_files, corpus, document_files, files_cte, q, read
 from bindings.metric_queries import CYCLOMATIC_SQL, count_all_sql
 from bindings.rule_sql import hits_sql
-from lintlake.functions.text import snippet
 from lintlake.operators import baseline as b
 from lintlake.operators import metrics as m
 from lintlake.operators import report as r
 from lintlake.operators.scan import dedup_findings, scan_rules
 from lintlake.plans.analysis import comprehensive_security, project_findings
 from lintlake.rules import quality, review, security
+from lintlake.rules.model import rules_table
 from lintlake.sinks import exports
 
 SCRIPTED = ("javascript", "typescript", "python")
@@ -106,11 +106,11 @@ def _plan(s, d):
 add("G7_action_plan", _plan,
     hits_sql(quality.ALL, files_cte(), _SCORES + _FACTS.replace("project || '/' || path AS project", "project")) + _ADVICE_SQL + f""" UNION ALL SELECT project, CAST({len(r.ADVICE)} + k AS INTEGER), 'medium', 'Refactor hotspot file: ' || path, 'High issue/complexity score (' || issue_count || ' issues, CC=' || cyclomatic_complexity || ').'
  FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, path) AS k FROM scores) WHERE k <= 3""")
-add("F16_fix_proposals", lambda s, d: r.fix_proposals(scan_rules(code_files(s, d), review.DETECT_ERRORS), code_files(s, d)).select("path", "rule", "line", "column", "has_auto_fix", "fix_code", "manual_steps"),
+add("F16_fix_proposals", lambda s, d: r.fix_proposals(scan_rules(code_files(s, d), review.DETECT_ERRORS, around=0)).select("path", "rule", "line", "column", "has_auto_fix", "fix_code", "manual_steps"),
     hits_sql(review.DETECT_ERRORS, files_cte("code")) + """SELECT path, rule, line, "column", auto_fixable AS has_auto_fix, CASE WHEN auto_fixable THEN CASE rule WHEN 'missingClosing' THEN l || ' }' WHEN 'missingSemicolon' THEN regexp_replace(l, '\\s+$', '') || ';' WHEN 'offByOne' THEN regexp_replace(l, '<=', '<') END END AS fix_code,
  CASE WHEN NOT auto_fixable THEN 'Locate the issue at line ' || line || chr(10) || suggestion || chr(10) || 'Review the change in context' || chr(10) || 'Test the modified code' END AS manual_steps
  FROM (SELECT f.*, string_split(text, chr(10))[line] AS l FROM findings f JOIN files USING (project, path))""")
-add("J15_snippets", lambda s, d: scan_rules(document_files(s, d), security.CREDENTIALS).select("project", "path", "rule", "line", "column").join(document_files(s, d), ["project", "path"]).select("path", "rule", "line", "column", snippet("text", "line").alias("snippet")),
+add("J15_snippets", lambda s, d: scan_rules(document_files(s, d), security.CREDENTIALS, around=2).select("path", "rule", "line", "column", "snippet"),
     hits_sql(security.CREDENTIALS, files_cte("documents")) + """SELECT path, rule, line, "column", array_to_string(string_split(text, chr(10))[greatest(line - 2, 1):line + 2], chr(10)) AS snippet FROM findings JOIN files USING (project, path)""")
 add("SK6_alerts", lambda s, d: exports.alerts(scan_rules(corpus(s, d), review.REVIEW)),
     hits_sql(review.REVIEW, files_cte()) + """SELECT CASE severity WHEN 'error' THEN '🔴' WHEN 'warning' THEN '🟡' ELSE '🔵' END || ' ' || rule AS title, CASE severity WHEN 'error' THEN 'critical' WHEN 'warning' THEN 'warning' ELSE 'info' END AS severity,
@@ -194,3 +194,14 @@ add("J6_SC15_F2_file_changes", lambda s, d: b.file_changes(*_lengths(s, d)),
     _VERS + " SELECT coalesce(o.path, w.path) AS path, CASE WHEN old_hash IS NULL THEN 'new' WHEN new_hash IS NULL THEN 'deleted' WHEN old_hash = new_hash THEN 'unchanged' ELSE 'modified' END AS status, old_hash, new_hash FROM o FULL JOIN w ON o.path = w.path")
 add("E15_incremental_scan", lambda s, d: scan_rules(b.changed_files(*_lengths(s, d)).select(F.lit("p").alias("project"), "path", F.lit("python").alias("language"), "text"), security.CREDENTIALS).select("path", "rule", "line", "column"),
     hits_sql(security.CREDENTIALS, files_cte("documents").replace("files AS", "docs AS") + ", files AS (SELECT 'p' AS project, path, 'python' AS language, CASE WHEN length(text) % 10 = 3 THEN text || chr(10) || 'new line' ELSE text END AS text FROM docs WHERE length(text) % 10 IN (1, 3))") + 'SELECT path, rule, line, "column" FROM findings')
+
+# ---- rules against the corpus ----------------------------------------------
+_CAT = quality.ALL + security.COMPREHENSIVE
+add("P11_rule_coverage", lambda s, d: r.rule_coverage(rules_table(s, _CAT), scan_rules(corpus(s, d), _CAT)),
+    hits_sql(_CAT, files_cte()) + "SELECT engine, rule, patterns, coalesce(findings, 0) AS findings, coalesce(files, 0) AS files FROM (SELECT engine, rule, count(*) AS patterns FROM rules GROUP BY 1, 2) LEFT JOIN (SELECT engine, rule, count(*) AS findings, count(DISTINCT path) AS files FROM findings GROUP BY 1, 2) USING (engine, rule)")
+_L = "langs(engine, lang, kind) AS (VALUES " + ",".join(f"({q(x.engine)},{q(y.lstrip('!'))},{q('not' if y.startswith('!') else 'only')},{i})" for i, x in enumerate(_CAT) for y in (x.languages or ('*',))) + ")"
+_L = _L.replace("langs(engine, lang, kind)", "langs(engine, lang, kind, i)")
+add("P9_P12_engine_selection", lambda s, d: r.engine_selection(corpus(s, d), _CAT),
+    "WITH " + files_cte() + f", {_L}, c AS (SELECT language, count(*) AS files FROM files GROUP BY language) SELECT language, files, engine, count(DISTINCT i) AS patterns FROM c, langs l WHERE (kind = 'only' AND lang IN ('*', language)) OR (kind = 'not' AND NOT EXISTS (SELECT 1 FROM langs x WHERE x.i = l.i AND x.lang = c.language)) GROUP BY language, files, engine")
+add("J13_rule_suggestions", lambda s, d: r.rule_suggestions(scan_rules(corpus(s, d), quality.PYTHON + security.GENERAL + security.PYTHON)).select("path", "rule", "line", "column", "advice", "quick_fix_title", "quick_fix_text"),
+    hits_sql(quality.PYTHON + security.GENERAL + security.PYTHON, files_cte()) + "SELECT path, rule, line, \"column\", CASE " + " ".join(f"WHEN contains(rule, '{p}') THEN {q(v)}" for p, v in r.RULE_ADVICE) + f" ELSE {q(r.OTHER_ADVICE)} END AS advice, CASE " + " ".join(f"WHEN contains(rule, '{p}') THEN {q(t)}" for p, t, _ in r.QUICK_FIXES) + " END AS quick_fix_title, CASE " + " ".join(f"WHEN contains(rule, '{p}') THEN {q(n)}" for p, _, n in r.QUICK_FIXES) + " END AS quick_fix_text FROM findings")

@@ -140,3 +140,12 @@ def snippet(text, line, around: int = 2) -> Column:
     inside = (at >= 1) & (at <= line_count(text))
     cut = F.slice(lines_of(text), first, F.greatest(last - first + 1, F.lit(0)))
     return F.when(inside, F.array_join(cut, "\n")).otherwise(F.lit(""))
+
+
+def computed_once(df, keys, columns):
+    """``keys`` plus costly ``columns``, each evaluated once per row.
+
+    Filters on later columns would otherwise be pushed below this projection
+    and repeat its expressions; a generator of one row holds them back.
+    """
+    return df.select(*keys, F.inline(F.array(F.struct(*columns))))

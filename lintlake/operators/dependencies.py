@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.language import base_name
 from lintlake.functions.text import col_of
-from lintlake.functions.versions import bare_version, has_digits, version_less
+from lintlake.functions.versions import has_digits, parse_version
 from lintlake.rules.advisories import (
     INSTALLER_FILES,
     MANAGER_SCHEMA,
@@ -62,7 +62,10 @@ def vulnerable(deps: DataFrame, advisories: DataFrame | None = None, legacy_star
     version and reports nothing unless ``legacy_star``.
     """
     spark = deps.sparkSession
-    table = F.broadcast(advisories_table(spark)) if advisories is None else advisories
+    table = advisories_table(spark) if advisories is None else advisories
+    table = table.withColumn("_below", parse_version("below_version"))
+    if advisories is None:
+        table = F.broadcast(table)
     clean = F.regexp_replace(F.lower("name"), r"[@^~>=<]", "")
     keyed = deps.select(
         "project",
@@ -75,7 +78,7 @@ def vulnerable(deps: DataFrame, advisories: DataFrame | None = None, legacy_star
         keyed = keyed.where(has_digits("spec"))
     return (
         keyed.join(table, ["language", "package"])
-        .where(version_less(bare_version("spec"), F.col("below_version")))
+        .where(parse_version("spec") < F.col("_below"))
         .select(
             "project",
             F.lit("vulnerability").alias("type"),

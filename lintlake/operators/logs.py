@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.text import col_of, has_match, java_regex
+from lintlake.functions.text import col_of, computed_once, has_match, java_regex
 
 _STAMP = r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 # Line patterns by format, in order of detection.
@@ -102,9 +102,9 @@ def detect_file_formats(lines: DataFrame) -> DataFrame:
         for n, ps in FORMATS.items()
     ]
     seen = lines.groupBy("path").agg(
-        F.min(F.struct("line", has_match("raw", JSON).alias("json"))).alias("_first"), *flags
+        F.min_by(has_match("raw", JSON), "line").alias("_json_first"), *flags
     )
-    result = F.when(F.col("_first.json"), "json")
+    result = F.when(F.col("_json_first"), "json")
     for name in FORMATS:
         result = result.when(F.col(f"_{name}"), name)
     return seen.select("path", result.otherwise("unknown").alias("format"))
@@ -185,16 +185,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             F.coalesce(by_format, _entry(nothing, nothing, F.col("raw")))
         ),
     )
-    return entries.select(
-        *carried,
-        F.col("_entry").isNotNull().alias("parsed"),
-        "_entry.timestamp",
-        "_entry.level",
-        "_entry.message",
-        "_entry.metadata",
-    ).withColumn(
-        "ts",
-        F.try_to_timestamp(F.regexp_replace("timestamp", r"^(\d{4}-\d{2}-\d{2})T", "$1 ")),
+    # Later filters on level or time must not repeat the parse.
+    return computed_once(
+        entries,
+        carried,
+        [
+            F.col("_entry").isNotNull().alias("parsed"),
+            *[F.col("_entry")[n].alias(n) for n in ("timestamp", "level", "message", "metadata")],
+            F.try_to_timestamp(F.regexp_replace(F.col("_entry")["timestamp"], r"^(\d{4}-\d{2}-\d{2})T", "$1 ")).alias("ts"),
+        ],
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintlake.functions.brackets import cognitive_complexity, nesting_profile
 from lintlake.functions.text import (
     col_of,
+    computed_once,
     count_all,
     count_matches,
     count_substring,
@@ -190,8 +191,7 @@ def risk_metrics(files: DataFrame) -> DataFrame:
     for word in RISK_WORDS:
         complexity = complexity + count_substring("text", f" {word} ")
     n = F.size(lines)
-    return files.select(
-        *KEYS,
+    return computed_once(files, KEYS, [
         n.cast("bigint").alias("loc"),
         complexity.cast("bigint").alias("complexity"),
         (F.size(F.filter(lines, lambda x: x.rlike(r"\A\s*(?:#|//)"))) / n).alias("comments_ratio"),
@@ -200,7 +200,7 @@ def risk_metrics(files: DataFrame) -> DataFrame:
         count_substring("text", "class ").cast("bigint").alias("classes_count"),
         F.array_max(F.transform(lines, F.length)).cast("bigint").alias("max_line_length"),
         (1.0 - F.size(F.array_distinct(lines)) / n).alias("duplicate_ratio"),
-    )
+    ])
 
 
 def risk_prediction(metrics: DataFrame) -> DataFrame:

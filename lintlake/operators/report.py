@@ -247,13 +247,12 @@ def action_plan(recommended: DataFrame, dependency_summary: DataFrame | None, sc
     return plan.unionByName(worst)
 
 
-def fix_proposals(findings: DataFrame, files: DataFrame) -> DataFrame:
+def fix_proposals(findings: DataFrame) -> DataFrame:
     """Changed line for fixable findings, manual steps for the others.
 
-    Lines of a file are taken from its own text after one join per file, so
-    no line table is shuffled.
+    Takes findings scanned with ``around=0``, which carry their own line.
     """
-    line = F.try_element_at(F.split("text", "\n", -1), F.col("line"))
+    line = F.col("snippet")
     code = (
         F.when(F.col("rule") == "missingClosing", F.concat(line, F.lit(" }")))
         .when(F.col("rule") == "missingSemicolon", F.concat(F.regexp_replace(line, r"\s+\z", ""), F.lit(";")))
@@ -266,15 +265,85 @@ def fix_proposals(findings: DataFrame, files: DataFrame) -> DataFrame:
         F.lit("Review the change in context"),
         F.lit("Test the modified code"),
     )
-    joined = findings.join(files.select("project", "path", "text"), ["project", "path"])
-    return joined.select(
-        *findings.columns,
+    return findings.select(
+        "*",
         F.col("auto_fixable").alias("has_auto_fix"),
         F.when(F.col("auto_fixable"), code).alias("fix_code"),
         F.when(~F.col("auto_fixable"), steps).alias("manual_steps"),
     )
 
 
+# Part of a rule id -> advice; the first part that occurs decides.
+RULE_ADVICE = [
+    ("sql-injection", '使用参数化查询：cursor.execute("SELECT ... WHERE id = %s", (user_id,))'),
+    ("hardcoded-password", '使用环境变量：os.environ.get("PASSWORD")'),
+    ("bare-except", "捕获具体异常：except Exception as e:"),
+    ("unused-import", "移除未使用的导入"),
+    ("missing-type-hint", "添加类型提示：def func(param: str) -> int:"),
+]
+OTHER_ADVICE = "请查看 Semgrep 文档获取修复建议"
+# Part of a rule id -> title and new text of a quick fix.
+QUICK_FIXES = [
+    ("sql-injection", "使用参数化查询", 'execute("{}", ())'),
+    ("hardcoded-password", "使用环境变量", 'password = os.environ.get("PASSWORD")'),
+    ("bare-except", "捕获具体异常", "except Exception as e:"),
+]
+
+
+def rule_suggestions(findings: DataFrame) -> DataFrame:
+    """Advice and quick fix of each finding by its rule id."""
+
+    def pick(pairs):
+        result = None
+        for part, value in pairs:
+            test = F.contains("rule", F.lit(part))
+            result = F.when(test, value) if result is None else result.when(test, value)
+        return result
+
+    return findings.select(
+        "*",
+        pick(RULE_ADVICE).otherwise(OTHER_ADVICE).alias("advice"),
+        pick([(p, t) for p, t, _ in QUICK_FIXES]).alias("quick_fix_title"),
+        pick([(p, n) for p, _, n in QUICK_FIXES]).alias("quick_fix_text"),
+    )
+
+
+def rule_coverage(rules: DataFrame, findings: DataFrame) -> DataFrame:
+    """Every rule of a catalogue with its findings, also those without any."""
+    counted = findings.groupBy("engine", "rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("files"))
+    listed = rules.groupBy("engine", "rule").agg(F.count("*").alias("patterns"))
+    return listed.join(counted, ["engine", "rule"], "left").select(
+        "engine", "rule", "patterns", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("files", F.lit(0)).alias("files")
+    )
+
+
+def engine_selection(files: DataFrame, rules) -> DataFrame:
+    """Per language of the files: which engines apply and with how many patterns.
+
+    The catalogue is a literal array, tested against each distinct language.
+    """
+    texts = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(r.engine).alias("engine"),
+                texts([x for x in r.languages if not x.startswith("!")]).alias("only"),
+                texts([x[1:] for x in r.languages if x.startswith("!")]).alias("never"),
+            )
+            for r in rules
+        ]
+    )
+    applies = lambda x: ((F.size(x["only"]) == 0) | F.array_contains(x["only"], F.col("language"))) & ~F.array_contains(
+        x["never"], F.col("language")
+    )
+    languages = files.groupBy("language").agg(F.count("*").alias("files"))
+    return (
+        languages.select("language", "files", F.explode(F.filter(table, applies)).alias("_r"))
+        .groupBy("language", "files", F.col("_r.engine").alias("engine"))
+        .agg(F.count("*").alias("patterns"))
+    )
+
+
 def scan_statistics(files: DataFrame) -> DataFrame:
     """Scanned, skipped and failed files with lines and bytes; ``files`` as in a corpus scan."""
     from lintlake.functions.language import detect_scanner_language

@@ -147,15 +147,34 @@ def _running_columns() -> str:
     )
 
 
-def locate_hits(marked: DataFrame) -> DataFrame:
+def _marked_lines(marked: DataFrame, around: int | None) -> DataFrame:
+    """Lines with a mark, and the lines around them where asked for."""
+    if around is None:
+        return marked.select(
+            *KEYS, "_rule", "_number", F.posexplode(F.split("_marked", "\n", -1)).alias("_line", "_text")
+        ).where(F.contains("_text", F.lit(OPEN)))
+    split = marked.withColumn("_lines", F.split("_marked", "\n", -1))
+    near = (
+        f"translate(array_join(slice(_lines, greatest(i + 1 - {around}, 1), "
+        f"least(i + 1 + {around}, size(_lines)) - greatest(i + 1 - {around}, 1) + 1), '\\n'), "
+        f"{sql_string(OPEN + CLOSE)}, '')"
+    )
+    wanted = F.expr(
+        f"filter(transform(_lines, (l, i) -> if(contains(l, {sql_string(OPEN)}), "
+        f"named_struct('_line', i, '_text', l, 'snippet', {near}), null)), x -> x IS NOT NULL)"
+    )
+    return split.select(*KEYS, "_rule", "_number", F.inline(wanted))
+
+
+def locate_hits(marked: DataFrame, around: int | None = None) -> DataFrame:
     """Marked texts to one row per hit: line, column, first line of the match."""
-    lines = marked.select(
-        *KEYS, "_rule", "_number", F.posexplode(F.split("_marked", "\n", -1)).alias("_line", "_text")
-    ).where(F.contains("_text", F.lit(OPEN)))
+    lines = _marked_lines(marked, around)
+    extra = [] if around is None else ["snippet"]
     parts = lines.select(
         *KEYS,
         "_rule",
         "_number",
+        *extra,
         (F.col("_line") + 1).alias("line"),
         F.split(F.translate("_text", CLOSE, ""), OPEN, -1).alias("_parts"),
         F.split("_text", OPEN, -1).alias("_raw"),
@@ -164,8 +183,8 @@ def locate_hits(marked: DataFrame) -> DataFrame:
         f"arrays_zip({_running_columns()}, transform(slice(_raw, 2, size(_raw) - 1), "
         f"p -> substring_index(p, {sql_string(CLOSE)}, 1)))"
     )
-    return parts.select(*KEYS, "_rule", "_number", "line", F.explode(hits).alias("_hit")).select(
-        *KEYS, "_rule", "_number", "line", (F.col("_hit")["0"] + 1).alias("column"), F.col("_hit")["1"].alias("match")
+    return parts.select(*KEYS, "_rule", "_number", *extra, "line", F.explode(hits).alias("_hit")).select(
+        *KEYS, "_rule", "_number", *extra, "line", (F.col("_hit")["0"] + 1).alias("column"), F.col("_hit")["1"].alias("match")
     )
 
 
@@ -218,17 +237,20 @@ def describe_hits(hits: DataFrame, rules) -> DataFrame:
         F.col("_r.auto_fixable").alias("auto_fixable"),
         F.col("_number").alias("number"),
         F.col("_rule").alias("rule_order"),
+        *(["snippet"] if "snippet" in hits.columns else []),
     )
 
 
-def scan_rules(files: DataFrame, rules) -> DataFrame:
+def scan_rules(files: DataFrame, rules, around: int | None = None) -> DataFrame:
     """``files(project, path, language, text)`` to one row per hit.
 
+    ``around`` adds ``snippet``: the line of the hit with that many lines before
+    and after it, taken on the spot, so no later join brings texts back.
     ``rule_order`` is the place of the rule in the given list; it decides which
     engine keeps a spot in :func:`dedup_findings`.
     """
     rules = list(rules)
-    return describe_hits(locate_hits(mark_hits(files, rules)), rules)
+    return describe_hits(locate_hits(mark_hits(files, rules), around), rules)
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:

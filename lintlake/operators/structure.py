@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.brackets import cognitive_complexity, nesting_profile
-from lintlake.functions.text import count_matches, java_regex, line_count
+from lintlake.functions.text import computed_once, count_matches, java_regex, line_count
 from lintlake.operators.metrics import (
     cyclomatic_complexity,
     function_risk,
@@ -136,16 +136,15 @@ def code_units(files: DataFrame) -> DataFrame:
 
 def function_metrics(units: DataFrame) -> DataFrame:
     """Complexity, Halstead and risk of each function body."""
-    functions = units.where(F.col("kind") == "function").select(
-        *KEYS,
+    functions = computed_once(units.where(F.col("kind") == "function"), KEYS, [
         F.coalesce("name", F.lit("anonymous")).alias("name"),
-        "line",
+        F.col("line"),
         line_count("body").cast("bigint").alias("lines"),
         cyclomatic_complexity("body", "language").alias("cyclomatic"),
         cognitive_complexity("body").cast("bigint").alias("cognitive"),
         halstead("body").alias("_h"),
         nesting_profile("body", skip_literals=False)["depth"].alias("nesting_depth"),
-    )
+    ])
     derived = {c: i for i, c in enumerate(("n1", "n2"))}
     numbers = halstead_numbers("_h")
     return functions.select(
@@ -338,18 +337,27 @@ def _words(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all("text", F.lit(java_regex(pattern, "m")), F.lit(group))
 
 
+_DEF = r"def (\w+)\([^)]*\):"
+
+
 def call_edges(files: DataFrame) -> DataFrame:
-    """Distinct (path, caller, callee): every function of a file to every call in it.
+    """Distinct (path, caller, callee): calls between a ``def`` and the next one.
 
-    Names are made distinct inside the file before the pairs are formed.
+    A caller meets only the calls of its own stretch of text, so the edges of a
+    file grow with its length and not with functions times calls.
     """
-    callers = F.array_distinct(_words(r"def (\w+)\([^)]*\):"))
-    callees = F.array_distinct(_words(r"(\w+)\([^)]*\)"))
-    named = files.where(F.col("language") == "python").select(
-        "project", "path", F.explode(callers).alias("caller"), callees.alias("_callees")
+    pattern = java_regex(_DEF)
+    stretches = F.arrays_zip(
+        F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("caller"),
+        F.slice(F.split("text", pattern, -1), 2, 2147483647).alias("body"),
     )
-    return named.select("project", "path", "caller", F.explode("_callees").alias("callee")).where(
-        F.col("caller") != F.col("callee")
+    calls = F.array_distinct(F.regexp_extract_all(F.col("_s.body"), F.lit(java_regex(r"(\w+)\([^)]*\)")), F.lit(1)))
+    return (
+        files.where((F.col("language") == "python") & F.contains("text", F.lit("def ")))
+        .select("project", "path", F.explode(stretches).alias("_s"))
+        .select("project", "path", F.col("_s.caller").alias("caller"), F.explode(calls).alias("callee"))
+        .where(F.col("caller") != F.col("callee"))
+        .distinct()
     )
 
 
