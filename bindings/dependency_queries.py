@@ -9,6 +9,7 @@ from bindings.corpus import q, read
 from lintlake.functions.text import sql_string
 from lintlake.operators import dependencies as dep
 from lintlake.rules.advisories import INSTALLER_FILES, LICENSE_RISKS, PACKAGE_MANAGERS, MODULE_FOLDERS, VENV_FOLDERS, advisory_rows
+from lintlake.sinks import exports
 from lintlake.sources import manifests as mf
 
 PACKAGES = [
@@ -222,3 +223,4 @@ add("F22_install_issues", lambda s, d: dep.install_issues(inventory(s, d)),
     f"""WITH {INVENTORY_SQL}, {_MAN}, {_DETECT}, {_FOLD} SELECT project, 'missing' AS type, 'error' AS severity, manager, 'Dependencies not installed (' || (SELECT any_value(shown) FROM fold f WHERE f.language = x.language) || ')' AS message, 'Run ''' || install_command || ''' to install dependencies' AS suggestion FROM detected x
  WHERE NOT EXISTS (SELECT 1 FROM inventory i JOIN fold f USING (entry) WHERE i.project = x.project AND f.language = x.language)
  UNION ALL SELECT DISTINCT project, 'recommendation', 'hint', NULL, 'No virtual environment detected for Python project', 'Consider creating a virtual environment (python -m venv venv)' FROM detected x WHERE language = 'python' AND NOT EXISTS (SELECT 1 FROM inventory i WHERE i.project = x.project AND entry IN ({','.join(map(q, VENV_FOLDERS))}))""")
+add("SK5_supply_chain_markdown", lambda s, d: exports.supply_chain_markdown(dep.supply_chain_report(uses(s, d), feed(s, d), registry(s, d), AS_OF)))

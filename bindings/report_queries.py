@@ -205,3 +205,6 @@ add("P9_P12_engine_selection", lambda s, d: r.engine_selection(corpus(s, d), _CA
     "WITH " + files_cte() + f", {_L}, c AS (SELECT language, count(*) AS files FROM files GROUP BY language) SELECT language, files, engine, count(DISTINCT i) AS patterns FROM c, langs l WHERE (kind = 'only' AND lang IN ('*', language)) OR (kind = 'not' AND NOT EXISTS (SELECT 1 FROM langs x WHERE x.i = l.i AND x.lang = c.language)) GROUP BY language, files, engine")
 add("J13_rule_suggestions", lambda s, d: r.rule_suggestions(scan_rules(corpus(s, d), quality.PYTHON + security.GENERAL + security.PYTHON)).select("path", "rule", "line", "column", "advice", "quick_fix_title", "quick_fix_text"),
     hits_sql(quality.PYTHON + security.GENERAL + security.PYTHON, files_cte()) + "SELECT path, rule, line, \"column\", CASE " + " ".join(f"WHEN contains(rule, '{p}') THEN {q(v)}" for p, v in r.RULE_ADVICE) + f" ELSE {q(r.OTHER_ADVICE)} END AS advice, CASE " + " ".join(f"WHEN contains(rule, '{p}') THEN {q(t)}" for p, t, _ in r.QUICK_FIXES) + " END AS quick_fix_title, CASE " + " ".join(f"WHEN contains(rule, '{p}') THEN {q(n)}" for p, _, n in r.QUICK_FIXES) + " END AS quick_fix_text FROM findings")
+
+add("F20_json_rows", lambda s, d: exports.json_rows(snapshot(s, d, False).select("rule_id", "file", "line", "severity")),
+    SNAPS + " SELECT CAST(to_json({'rule_id': rule_id, 'file': file, 'line': line, 'severity': severity}) AS VARCHAR) AS json FROM a0")

@@ -42,13 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A private folder is chosen only when the session names none and runs in
     local mode, which is the case in tests.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="lintlake-checkpoint-", dir=os.environ.get("TMPDIR"))
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    context.setCheckpointDir(configured)
     return configured
 
 

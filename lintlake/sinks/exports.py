@@ -182,6 +182,11 @@ def supply_chain_markdown(report: DataFrame, shown: int = 20) -> DataFrame:
     )
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """Each row as one JSON text; a fixed schema has no cycles to guard against."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
