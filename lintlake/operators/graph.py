@@ -35,10 +35,12 @@ def neighbourhood(edges: DataFrame, start: str, depth: int = 2) -> DataFrame:
     """``edges(caller, callee)``: functions within ``depth`` calls of one function.
 
     Rows: ``direction`` callees / callers, ``name``, ``distance`` (shortest).
-    Each step joins the distinct names of the last one, never the paths.
+    Each step joins the distinct names of the last one, never the paths. The
+    edges are written to the shared folder once, so the steps do not read and
+    parse the files again.
     """
     spark = edges.sparkSession
-    pairs = edges.select("caller", "callee").distinct()
+    pairs = cut_lineage(edges.select("caller", "callee").distinct())
     result = None
     for direction, source, target in (("callees", "caller", "callee"), ("callers", "callee", "caller")):
         seen = spark.createDataFrame([(start, 0)], "name string, distance int")

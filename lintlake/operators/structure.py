@@ -200,16 +200,26 @@ def class_metrics(units: DataFrame) -> DataFrame:
 
 
 def complexity_report(files: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """One summary row per file."""
+    """One summary row per file; functions and classes are measured in one pass over the units."""
     units = code_units(files) if units is None else units
-    functions = function_metrics(units).groupBy("project", "path").agg(
-        F.count("*").alias("total_functions"),
-        F.avg("maintainability_index").alias("_mi"),
-        F.count_if(F.col("cyclomatic") > 10).alias("complex_functions"),
-        F.count_if(F.col("maintainability_index") < 50).alias("low_index_functions"),
+    function, cls = F.col("kind") == "function", F.col("kind") == "class"
+    measured = computed_once(
+        units,
+        [*KEYS, "kind"],
+        [
+            F.when(function, cyclomatic_complexity("body", "language")).alias("_cyclomatic"),
+            F.when(function, halstead("body")).alias("_h"),
+            F.when(cls, _by_language(METHODS, "body")).alias("_methods"),
+        ],
     )
-    classes = class_metrics(units).groupBy("project", "path").agg(
-        F.count("*").alias("total_classes"), F.count_if(F.col("methods") > 10).alias("large_classes")
+    facts = measured.select("project", "path", "kind", "_cyclomatic", "_methods", halstead_numbers("_h")[-1].alias("_index"))
+    parts = facts.groupBy("project", "path").agg(
+        F.count_if(function).alias("total_functions"),
+        F.avg(F.when(function, F.col("_index"))).alias("_mi"),
+        F.count_if(function & (F.col("_cyclomatic") > 10)).alias("complex_functions"),
+        F.count_if(function & (F.col("_index") < 50)).alias("low_index_functions"),
+        F.count_if(cls).alias("total_classes"),
+        F.count_if(cls & (F.col("_methods") > 10)).alias("large_classes"),
     )
     whole = files.select(
         *KEYS,
@@ -219,18 +229,14 @@ def complexity_report(files: DataFrame, units: DataFrame | None = None) -> DataF
         nesting_profile("text", skip_literals=False)["depth"].alias("max_nesting_depth"),
     )
     zero = F.lit(0)
-    return (
-        whole.join(functions, ["project", "path"], "left")
-        .join(classes, ["project", "path"], "left")
-        .select(
-            *KEYS,
-            "total_lines",
-            *[F.coalesce(c, zero).alias(c) for c in ("total_functions", "total_classes", "complex_functions", "low_index_functions", "large_classes")],
-            "cyclomatic",
-            "cognitive",
-            F.floor(F.coalesce("_mi", F.lit(100.0)) + 0.5).cast("bigint").alias("average_maintainability_index"),
-            "max_nesting_depth",
-        )
+    return whole.join(parts, ["project", "path"], "left").select(
+        *KEYS,
+        "total_lines",
+        *[F.coalesce(c, zero).alias(c) for c in ("total_functions", "total_classes", "complex_functions", "low_index_functions", "large_classes")],
+        "cyclomatic",
+        "cognitive",
+        F.floor(F.coalesce("_mi", F.lit(100.0)) + 0.5).cast("bigint").alias("average_maintainability_index"),
+        "max_nesting_depth",
     )
 
 
@@ -450,8 +456,12 @@ def python_symbols(files: DataFrame) -> DataFrame:
     )
 
 
-def references(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Uses of the given names: (path, name, uses), one equi join on the word."""
+def word_uses(files: DataFrame) -> DataFrame:
+    """(project, path, name, uses) of every word."""
     words = files.select("project", "path", F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("name"))
-    counted = words.groupBy("project", "path", "name").agg(F.count("*").alias("uses"))
-    return counted.join(names.select("name").distinct(), "name").select("project", "path", "name", "uses")
+    return words.groupBy("project", "path", "name").agg(F.count("*").alias("uses"))
+
+
+def references(files: DataFrame, names: DataFrame) -> DataFrame:
+    """Uses of the given names, one equi join on the word."""
+    return word_uses(files).join(names.select("name").distinct(), "name").select("project", "path", "name", "uses")

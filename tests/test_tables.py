@@ -232,3 +232,14 @@ def test_kpi_and_votes(spark):
     votes = spark.createDataFrame(rows, "issue_id long, suggestion_id long, model string, confidence double, pros array<string>, cons array<string>, estimated_time int")
     best = team.best_fix(votes).collect()[0]
     assert (best.suggestion_id, best.model) == (10, "gpt-4") and abs(best.score - (45 + 10 - 3 + 10) * 1.2) < 1e-9
+
+
+def test_listings(spark):
+    from lintlake.rules import listings
+
+    assert listings.package_managers(spark).count() == 11 and listings.dependency_checks(spark).count() == 3
+    kinds = {r.kind: r["count"] for r in listings.log_patterns(spark).groupBy("kind").count().collect()}
+    assert (kinds["security"], kinds["performance"], kinds["error_class"], kinds["format"]) == (8, 6, 7, 7)
+    names = {r.rule for r in listings.supported_rules(spark, "rust").collect()}
+    assert "unwrap" in names and "no-todo" in names and "no-print" not in names
+    assert listings.languages_by_area(spark).where("area = 'jvm'").count() == 4
