@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import mixing, packing
-from lintlake.llm.shared import read_table
+from lintlake.llm import licenses, mixing, packing, pii, token_rollup
+from lintlake.llm.shared import Workspace, read_table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -14,6 +14,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def token_rollup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "token-rollup")
+    ledger = token_rollup.TokenLedger(spark, work.path("ledger"))
+    documents, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return token_rollup.corpus_history(ledger, work, documents, labels, {"word_bpe_49k": tokenizer_path()})
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(read_table(spark, sf_dir, "documents"))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.entity_digest(read_table(spark, sf_dir, "documents"))
+
+
 def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -23,7 +38,12 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_rollup": token_rollup_totals,
+    "op4_license_rules": license_scan,
     "op5_cost_balanced_packing": packed_pieces,
+    "op7_contextual_pii": personal_data,
     "op9_entropy_balanced_mix": mixed_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_license_rules": licenses.digest_sql(),
+}
