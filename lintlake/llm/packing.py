@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import ChunkEncoder, slices_of, total_bytes
+from lintlake.llm.shared import encoder_for, slices_of, total_bytes
 
 LENGTH = 4096
 END_ID = 2
@@ -39,7 +39,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     """(shard, doc_id, ids) with ids as little-endian unsigned 32-bit integers; ``docs`` has shard, doc_id, text."""
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for batch in batches:
             texts = batch.column("text")
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))

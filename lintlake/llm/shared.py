@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +81,16 @@ def slices_of(sizes: np.ndarray, limit: int):
         yield first, len(sizes)
 
 
+#: Stands between chunks that are encoded together, and how many are.
+MARK, GROUP = "\x01", 50
+
+
+@lru_cache(maxsize=4)
+def encoder_for(path: str) -> "ChunkEncoder":
+    """One encoder per tokenizer and Python worker, kept for the worker's next tasks."""
+    return ChunkEncoder(path)
+
+
 class ChunkEncoder:
     """Token ids of whole texts by a tokenizer whose tokens never span white space.
 
@@ -88,12 +100,14 @@ class ChunkEncoder:
     The cache is emptied when it holds ``limit`` chunks.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self):
@@ -103,17 +117,33 @@ class ChunkEncoder:
         self.lengths = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of chunks, encoded many at a time with a mark between them; chunks that hold the mark go alone."""
+        clean = self.mark is not None and not any(MARK in c for c in chunks)
+        each = GROUP if clean else 1
+        texts = [f" {MARK} ".join(chunks[i : i + each]) for i in range(0, len(chunks), each)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        if each == 1:
+            return ids, sizes
+        marks = np.flatnonzero(ids == self.mark)
+        # A chunk ends at the mark after it, or with its text.
+        ends = np.sort(np.concatenate([marks, np.cumsum(sizes) - 0.5]))
+        before = np.searchsorted(marks, ends)  # marks left of each end
+        upto = np.ceil(ends).astype(np.int64) - before
+        return ids[ids != self.mark], np.diff(upto, prepend=0)
+
     def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            total, first = int(lengths.sum()), len(self.known)
+        for at in range(0, len(chunks), 5_000):
+            part = chunks[at : at + 5_000]
+            ids, lengths = self._encoded(part)
+            total, first = len(ids), len(self.known)
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while first + len(part) > len(self.starts):
                 self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.ids[self.used : self.used + total] = ids
             self.starts[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
             self.lengths[first : first + len(part)] = lengths
             self.known.update(zip(part, range(first, first + len(part))))
@@ -126,11 +156,10 @@ class ChunkEncoder:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.limit:
             self._clear()
-        get = self.known.get
-        numbers = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
+        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         if (new := np.flatnonzero(numbers < 0)).size:
             numbers[new] = np.arange(len(self.known), len(self.known) + new.size)
             self._learn([names[i] for i in new])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import ChunkEncoder, slices_of, word_count
+from lintlake.llm.shared import encoder_for, slices_of, word_count
 
 FACTS = "doc_id long, source string, lang string, tokenizer string, version int, tokens long, sign int"
 DELTA = "source string, lang string, tokenizer string, version int, docs long, tokens long"
@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     names = list(tokenizers)
 
     def run(batches):
-        encoders = [ChunkEncoder(tokenizers[n]) for n in names]
+        encoders = [encoder_for(tokenizers[n]) for n in names]
         for batch in batches:
             texts = batch.column("text")
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
