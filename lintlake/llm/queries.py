@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import licenses, mixing, packing, pii, token_rollup
+from lintlake.llm import licenses, mixing, near_dedup, packing, pii, token_rollup
 from lintlake.llm.shared import Workspace, read_table
 
 
@@ -21,6 +21,10 @@ def token_rollup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.corpus_history(ledger, work, documents, labels, {"word_bpe_49k": tokenizer_path()})
 
 
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_rollup": token_rollup_totals,
+    "op2_minhash_near_dedup": near_duplicate_documents,
     "op4_license_rules": license_scan,
     "op5_cost_balanced_packing": packed_pieces,
     "op7_contextual_pii": personal_data,
