@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import licenses, mixing, near_dedup, packing, pii, token_rollup
+from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, packing, pii, token_rollup
 from lintlake.llm.shared import Workspace, read_table
 
 
@@ -29,6 +29,10 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(read_table(spark, sf_dir, "documents"))
 
 
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.entity_digest(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_minhash_near_dedup": near_duplicate_documents,
     "op4_license_rules": license_scan,
     "op5_cost_balanced_packing": packed_pieces,
+    "op6_elias_fano_lm": language_model_scores,
     "op7_contextual_pii": personal_data,
     "op9_entropy_balanced_mix": mixed_sources,
 }
