@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, packing, pii, token_rollup
+from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, packing, pii, token_rollup, topk
 from lintlake.llm.shared import Workspace, read_table
 
 
@@ -33,6 +33,10 @@ def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def exact_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(read_table(spark, sf_dir, "embeddings"))
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.entity_digest(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_elias_fano_lm": language_model_scores,
     "op7_contextual_pii": personal_data,
     "op9_entropy_balanced_mix": mixed_sources,
+    "op10_norm_sorted_topk": exact_products,
 }
 ORACLES: dict[str, str] = {
     "op4_license_rules": licenses.digest_sql(),
