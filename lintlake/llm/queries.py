@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, packing, pii, token_rollup, topk
+from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, nn_descent, packing, pii, token_rollup, topk
 from lintlake.llm.shared import Workspace, read_table
 
 
@@ -33,6 +33,10 @@ def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def exact_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(read_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_cost_balanced_packing": packed_pieces,
     "op6_elias_fano_lm": language_model_scores,
     "op7_contextual_pii": personal_data,
+    "op8_nn_descent": approximate_neighbours,
     "op9_entropy_balanced_mix": mixed_sources,
     "op10_norm_sorted_topk": exact_products,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from functools import lru_cache
@@ -47,6 +48,33 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def release(self) -> None:
+        """Let Spark remove shuffle files of steps whose results are written; it does so when their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def whole_groups(batches, key: str):
+    """Batches of rows sorted by ``key``, cut anew so that no group spans two of them."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last == 0 and (not held or held[-1].column(key)[-1].as_py() == keys[0]):
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+        if table.num_rows:
+            yield table.combine_chunks()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def parts_for(spark: SparkSession, amount: float, each: float) -> int:
     """So many partitions that each holds about ``each`` of ``amount``, one per core at least."""
     return int(max(spark.sparkContext.defaultParallelism, -(-amount // each), 1))
