@@ -6,7 +6,8 @@ In each round a node collects its neighbours and a sample of the nodes that
 list it, and introduces them to each other: neighbours of neighbours. Only
 pairs with a new member count, and only those that would enter a list travel.
 
-A query starts at its own node's neighbours and keeps the best ``beam`` nodes
+A query starts at its own node's neighbours and, where lengths differ, at the
+longest vectors (at most ``ENTRIES``), and keeps the best ``beam`` nodes
 found; each round expands the best ones not yet expanded by a join with the
 graph, until all in the beam are. The best are scored exactly.
 
@@ -40,18 +41,22 @@ K, REVERSE, MEET, ROUNDS, CHANGE = 32, 40, 12, 9, 0.04
 BLOCK, PROJECTIONS = 512, 3
 #: Nodes kept and expanded at once in a search, and scored exactly.
 BEAM, EXPAND, EXACT = 256, 64, 64
+#: Longest vectors at which every search also starts, if they exceed the mean length by a tenth.
+ENTRIES = 128
 
 
 def _rows(blobs, width: int) -> np.ndarray:
-    """8-bit rows with their scales, as float32."""
-    raw = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, width + 4)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    """Coded rows as float32: 8-bit components times their scale, then the length-evening component."""
+    raw = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, width + 7)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return np.column_stack([raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]])
 
 
-def _coded(x: np.ndarray) -> list[bytes]:
-    scale = (np.abs(x).max(axis=1, keepdims=True) / 127).astype("<f4")
-    coded = np.rint(x / np.maximum(scale, 1e-30)).astype(np.int8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(scale, coded)]
+def _coded(x: np.ndarray, even: np.ndarray) -> list[bytes]:
+    scale = (np.abs(x).max(axis=1) / 127).astype("<f4")
+    coded = np.rint(x / np.maximum(scale, 1e-30)[:, None]).astype(np.int8)
+    head = np.column_stack([scale, even]).astype("<f4")
+    return [a.tobytes() + b.tobytes() for a, b in zip(head, coded)]
 
 
 def _nodes(vectors: DataFrame, dims: int, longest: float) -> DataFrame:
@@ -63,8 +68,7 @@ def _nodes(vectors: DataFrame, dims: int, longest: float) -> DataFrame:
             if batch.num_rows:
                 x = _matrix(batch.column("x"), dims)
                 even = np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
-                x = np.column_stack([x, even])
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_coded(x), pa.binary()), pa.array((x @ axes).tolist(), pa.list_(pa.float64()))], ["node", "code", "spots"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_coded(x, even), pa.binary()), pa.array((np.column_stack([x, even]) @ axes).tolist(), pa.list_(pa.float64()))], ["node", "code", "spots"])
 
     return vectors.select("node", "x").mapInArrow(run, "node long, code binary, spots array<double>")
 
@@ -174,9 +178,10 @@ def build_graph(work: Workspace, nodes: DataFrame, count: int, width: int, k: in
     return graph
 
 
-def _search(work: Workspace, graph: DataFrame, asked: DataFrame, width: int, beam: int, expand: int) -> DataFrame:
+def _search(work: Workspace, graph: DataFrame, asked: DataFrame, entries: list[int], width: int, beam: int, expand: int) -> DataFrame:
     """(query, node, score): the beam of every query node after greedy search. asked: (query, code) with the last component 0."""
-    links = graph.select("node", F.explode("neighbours.id").alias("other"))
+    # A node is among its own links, so that expanding it scores it too.
+    links = graph.select("node", F.explode(F.array_union("neighbours.id", F.array("node"))).alias("other"))
     codes = graph.select(F.col("node").alias("other"), "code")
     near = links.join(codes, "other").repartition("node").sortWithinPartitions("node").select("node", "other", "code")
 
@@ -196,8 +201,8 @@ def _search(work: Workspace, graph: DataFrame, asked: DataFrame, width: int, bea
             if batch.num_rows:
                 q = _rows(batch.column("code"), width)
                 for i, (query, ids, blob, floor) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("query", "ids", "codes", "floor")))):
-                    raw = np.frombuffer(blob, np.uint8).reshape(-1, width + 4)
-                    s = (raw[:, 4:].view(np.int8).astype(np.float32) @ q[i]) * np.ascontiguousarray(raw[:, :4]).view("<f4")[:, 0]
+                    raw = np.frombuffer(blob, np.uint8).reshape(-1, width + 7)
+                    s = (raw[:, 8:].view(np.int8).astype(np.float32) @ q[i, :-1]) * np.ascontiguousarray(raw[:, :4]).view("<f4")[:, 0]
                     ids = np.array(ids)
                     keep = (ids != query) & (s > (-np.inf if floor is None else floor))
                     if keep.any():
@@ -205,8 +210,9 @@ def _search(work: Workspace, graph: DataFrame, asked: DataFrame, width: int, bea
             if parts:
                 yield _pairs_batch(parts)
 
-    # The start: the query's own node is expanded first.
-    state = asked.select("query", F.col("query").alias("node"), F.lit(float("-inf")).cast("float").alias("score"), F.lit(False).alias("done"))
+    # The start: the query's own node and the entries are expanded first.
+    starts = F.array_union(F.array("query"), F.array(*[F.lit(e).cast("long") for e in entries]).cast("array<long>"))
+    state = asked.select("query", F.explode(starts).alias("node"), F.lit(float("-inf")).cast("float").alias("score"), F.lit(False).alias("done"))
     turn = 0
     while True:
         ranked = state.withColumns({
@@ -240,10 +246,11 @@ def nearest(table: DataFrame, top: int = TOP, every: int = EVERY, k: int = K, ro
     rows = work.table(rows.withColumn("hash", F.xxhash64("x")), "rows")
     nodes = work.table(rows.groupBy("hash", "x").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "nodes")
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    count, dims, longest = nodes.agg(F.count("*"), F.max(F.size("x")), F.max(length)).first()
+    count, dims, longest, mean = nodes.agg(F.count("*"), F.max(F.size("x")), F.max(length), F.avg(length)).first()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = dims + 1
+    entries = [r.node for r in nodes.withColumn("length", length).where(F.col("length") > 1.1 * mean).orderBy(F.col("length").desc(), "node").limit(ENTRIES).select("node").collect()]
     coded = work.table(_nodes(nodes, dims, longest), "coded")
     graph = build_graph(work, coded, count, width, k, rounds)
 
@@ -261,13 +268,12 @@ def nearest(table: DataFrame, top: int = TOP, every: int = EVERY, k: int = K, ro
     def without_last(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _rows(batch.column("code"), width)
-                x[:, -1] = 0
-                yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(_coded(x), pa.binary())], ["query", "code"])
+                x = _rows(batch.column("code"), width)[:, :-1]
+                yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(_coded(x, np.zeros(len(x))), pa.binary())], ["query", "code"])
 
     codes = distinct.join(coded.select(F.col("node").alias("query"), "code"), "query").select("query", "code").mapInArrow(without_last, "query long, code binary")
     codes = work.table(codes, "codes")
-    found = _search(work, graph, codes, width, beam, expand)
+    found = _search(work, graph, codes, entries, width, beam, expand)
 
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "node"))
     short = found.withColumn("place", best).where(F.col("place") <= EXACT).select("query", "node")
