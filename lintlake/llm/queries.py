@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, nn_descent, packing, pii, token_rollup, topk
+from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, nn_descent, packing, pii, quality, token_rollup, topk
 from lintlake.llm.shared import Workspace, read_table
 
 
@@ -25,6 +25,10 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_rollup": token_rollup_totals,
     "op2_minhash_near_dedup": near_duplicate_documents,
+    "op3_kneser_ney_quality": document_quality,
     "op4_license_rules": license_scan,
     "op5_cost_balanced_packing": packed_pieces,
     "op6_elias_fano_lm": language_model_scores,
