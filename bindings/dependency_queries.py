@@ -144,13 +144,13 @@ REGISTRY_SQL = """registry AS (SELECT ['npm', 'PyPI'][p_partkey % 2 + 1] AS ecos
 
 
 def feed(s, d):
-    return read(s, d, "part").where("p_partkey % 3 = 0").select(
+    return read(s, d, "part").select(
         _pick_spark(["npm", "PyPI"], "p_partkey % 2").alias("ecosystem"), F.expr("concat('pkg-', p_partkey)").alias("name"),
         F.expr("concat(p_partkey % 6, '.', p_partkey % 10, '.1')").alias("version"), F.expr("concat('ADV-', p_partkey)").alias("id"),
         F.col("p_name").alias("summary"), F.expr("CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'MEDIUM' END").alias("severity"))
 
 
-FEED_SQL = """feed AS (SELECT ['npm', 'PyPI'][p_partkey % 2 + 1] AS ecosystem, 'pkg-' || p_partkey AS name, CAST(p_partkey % 6 AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || '.1' AS version, 'ADV-' || p_partkey AS id, p_name AS summary, CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM part WHERE p_partkey % 3 = 0)"""
+FEED_SQL = """feed AS (SELECT ['npm', 'PyPI'][p_partkey % 2 + 1] AS ecosystem, 'pkg-' || p_partkey AS name, CAST(p_partkey % 6 AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || '.1' AS version, 'ADV-' || p_partkey AS id, p_name AS summary, CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM part)"""
 _HEALTH = f"""health AS (SELECT ecosystem, name, last_update, coalesce(maintainers, 0) AS maintainers, coalesce(weekly_downloads, 0) AS weekly_downloads, coalesce(ecosystem = 'PyPI' AND date_diff('day', last_update, DATE '{AS_OF}') > 365, false) AS is_abandoned
  FROM (SELECT DISTINCT ecosystem, name FROM uses) LEFT JOIN registry USING (ecosystem, name))"""
 _TYPO = """typo AS (SELECT v.* FROM (SELECT DISTINCT ecosystem, name, unnest([replace(name, '-', ''), replace(name, '-', '_'), name || 'js', name || 'lib', name || 'official']) AS variant FROM (SELECT DISTINCT ecosystem, name FROM uses)) v

@@ -3,8 +3,9 @@
 The whole scan is one narrow pass over the files, without a shuffle:
 
 1. per file, the numbers of the rules that hit (literal prefilter, then regex);
-2. per (file, rule), the text with a mark before and after every hit;
-3. its lines that carry a mark, and the columns of the marks on them.
+2. per (file, rule), the text with a mark before and after every hit; the mark
+   holds a hash of the text, so no text holds its own mark and none is changed;
+3. the pieces between marks, whose lengths and line breaks give line and column.
 
 Patterns stay literals, so each is compiled once per task. Only rows with a
 hit carry text past step 1, and rows leave step 3 without any text.
@@ -19,7 +20,6 @@ from lintlake.functions.brackets import nesting_profile
 from lintlake.functions.text import java_regex, line_count, lines_of, sql_string
 from lintlake.rules.quality import LINE_LIMITS
 
-OPEN, CLOSE, PLAIN = "\u0001", "\u0002", "\ufffd"
 KEYS = ["project", "path", "language"]
 CHUNK = 256
 BLANK_RUN = r"(?:^|\n)[^\S\n]*\n[^\S\n]*\n[^\S\n]*(?:\n|\z)"
@@ -56,32 +56,36 @@ def _test(rule) -> str:
     return " AND ".join(tests)
 
 
-def _mark_lines(condition: str) -> str:
-    """Marks at the start of the lines whose 0-based number ``i`` passes."""
-    start = sql_string(OPEN + CLOSE)
-    return (
-        f"array_join(transform(split(text, '\\n', -1), (line, i) -> "
-        f"if({condition}, concat({start}, line), line)), '\\n')"
-    )
+#: Marks around a hit; ``_mark`` is hexadecimal.
+OPEN, CLOSE = "concat('\u0001', _mark, '<')", "concat('\u0001', _mark, '>')"
 
 
-def _marked(rule) -> str:
-    if rule.kind == "threshold":
-        return f"concat({sql_string(OPEN + CLOSE)}, text)"
-    if rule.kind == "blank_run":
-        blank = sql_string(r"\A\s*\z")
-        tests = " AND ".join(
-            f"rlike(element_at(split(text, '\\n', -1), greatest(i + {1 - back}, 1)), {blank})" for back in (0, 1, 2)
-        )
-        return _mark_lines(f"i >= 2 AND {tests}")
-    if rule.kind == "nesting":
-        return _mark_lines("i = _nesting.line - 1")
+def _marked(rule) -> str | None:
+    """SQL text: the text with marks, for rules whose hits are regex matches."""
+    if rule.kind in ("threshold", "blank_run", "nesting"):
+        return None
     pattern = java_regex(rule.pattern, rule.flags)
     if rule.kind == "first":
         head = f"(?d{rule.flags})"
         pattern = head + r"\A([\s\S]*?)(" + pattern[len(head):] + ")"
-        return f"regexp_replace(text, {sql_string(pattern)}, {sql_string('$1' + OPEN + '$2' + CLOSE)})"
-    return f"regexp_replace(text, {sql_string(pattern)}, {sql_string(OPEN + '$0' + CLOSE)})"
+        return f"regexp_replace(text, {sql_string(pattern)}, concat('$1', {OPEN}, '$2', {CLOSE}))"
+    return f"regexp_replace(text, {sql_string(pattern)}, concat({OPEN}, '$0', {CLOSE}))"
+
+
+def _lines_hit(rule) -> str | None:
+    """SQL text: 1-based numbers of the lines hit, for rules about lines or whole files."""
+    if rule.kind == "threshold":
+        return "array(1)"
+    if rule.kind == "nesting":
+        return "array(_nesting.line)"
+    if rule.kind == "blank_run":
+        # The flags are bound to a lambda's variable, so that they are computed once and not per line.
+        blank = f"transform(split(text, '\\n', -1), l -> rlike(l, {sql_string(r'\A\s*\z')}))"
+        return (
+            f"transform(array({blank}), f -> filter(transform(f, (b, i) -> "
+            "if(i >= 2 AND b AND get(f, i - 1) AND get(f, i - 2), i + 1, null)), x -> x IS NOT NULL))[0]"
+        )
+    return None
 
 
 def _number(rule) -> str | None:
@@ -98,11 +102,9 @@ def _by_rule(values: list[str | None]) -> Column:
 
 
 def mark_hits(files: DataFrame, rules) -> DataFrame:
-    """One row per (file, rule) with hits; ``_marked`` is the marked text."""
+    """One row per (file, rule) with hits: ``_marked`` text or hit ``_lines``."""
     rules = list(rules)
-    clean = files.select(
-        *KEYS, F.translate("text", OPEN + CLOSE, PLAIN * 2).alias("text")
-    ).withColumn("_lower", F.lower("text"))
+    clean = files.select(*KEYS, "text").withColumn("_lower", F.lower("text"))
     extra = []
     if any(r.kind == "nesting" for r in rules):
         # Only files that some nesting rule may apply to pay for the fold.
@@ -111,81 +113,77 @@ def mark_hits(files: DataFrame, rules) -> DataFrame:
         extra = ["_nesting"]
     numbers = ", ".join(f"CASE WHEN {_test(r)} THEN {i} END" for i, r in enumerate(rules))
     numbered = clean.select(*KEYS, "text", *extra, F.explode(F.expr(f"array_compact(array({numbers}))")).alias("_rule"))
+    numbered = numbered.withColumn("_mark", F.md5("text"))
     return numbered.select(
         *KEYS,
         "_rule",
-        _by_rule([_marked(r) for r in rules]).alias("_marked"),
+        "_mark",
+        "text",
+        _by_rule([_marked(r) for r in rules]).cast("string").alias("_marked"),
+        _by_rule([_lines_hit(r) for r in rules]).cast("array<int>").alias("_lines"),
         _by_rule([_number(r) for r in rules]).cast("int").alias("_number"),
     )
 
 
-def _prefix_sums(values: str, start: str) -> str:
-    """Running sums of an INT array as an array, by one fold."""
+def _advance(a: str, b: str) -> str:
+    """Two steps as one: line breaks add up; characters count from the last break on."""
+    return f"named_struct('k', {a}.k + {b}.k, 'w', if({b}.k > 0, {b}.w, {a}.w + {b}.w))"
+
+
+def _prefixes(steps: str, start: str) -> str:
+    """Running positions over an array of steps, by one fold."""
     return (
-        f"aggregate({values}, named_struct('at', cast({start} as int), 'out', cast(array() as array<int>)), "
-        "(acc, x) -> named_struct('at', acc.at + x, 'out', concat(acc.out, array(acc.at + x)))).out"
+        f"aggregate({steps}, named_struct('at', {start}, 'out', cast(array() as array<struct<k:int,w:int>>)), "
+        f"(acc, x) -> named_struct('at', {_advance('acc.at', 'x')}, 'out', concat(acc.out, array({_advance('acc.at', 'x')})))).out"
     )
 
 
-def _running_columns() -> str:
-    """0-based columns of the marks between consecutive ``_parts`` of a line.
+_ORIGIN = "named_struct('k', 0, 'w', 0)"
 
-    Sums run over chunks first and inside them second, so a line with very
-    many hits costs no more than a constant factor over its length.
-    """
-    sizes = "transform(_parts, p -> length(p))"
-    marks = "(size(_parts) - 1)"
-    chunk = f"slice({sizes}, i * {CHUNK} + 1, least({CHUNK}, {marks} - i * {CHUNK}))"
-    ids = f"sequence(0, cast(floor(({marks} - 1) / {CHUNK}) as int))"
-    ends = _prefix_sums(f"transform({ids}, i -> aggregate({chunk}, 0, (a, x) -> a + x))", "0")
-    begin = f"if(i = 0, 0, element_at({ends}, greatest(i, 1)))"
-    large = f"flatten(transform({ids}, i -> {_prefix_sums(chunk, begin)}))"
-    small = _prefix_sums(f"slice({sizes}, 1, {marks})", "0")
-    return (
-        f"CASE WHEN size(_parts) = 2 THEN array(length(_parts[0])) "
-        f"WHEN {marks} <= {CHUNK} THEN {small} ELSE {large} END"
-    )
 
+def _positions(steps: str) -> str:
+    """Running positions over steps: over chunks first and inside them second.
 
-def _marked_lines(marked: DataFrame, around: int | None) -> DataFrame:
-    """Lines with a mark, and the lines around them where asked for."""
-    if around is None:
-        return marked.select(
-            *KEYS, "_rule", "_number", F.posexplode(F.split("_marked", "\n", -1)).alias("_line", "_text")
-        ).where(F.contains("_text", F.lit(OPEN)))
-    split = marked.withColumn("_lines", F.split("_marked", "\n", -1))
-    near = (
-        f"translate(array_join(slice(_lines, greatest(i + 1 - {around}, 1), "
-        f"least(i + 1 + {around}, size(_lines)) - greatest(i + 1 - {around}, 1) + 1), '\\n'), "
-        f"{sql_string(OPEN + CLOSE)}, '')"
-    )
-    wanted = F.expr(
-        f"filter(transform(_lines, (l, i) -> if(contains(l, {sql_string(OPEN)}), "
-        f"named_struct('_line', i, '_text', l, 'snippet', {near}), null)), x -> x IS NOT NULL)"
-    )
-    return split.select(*KEYS, "_rule", "_number", F.inline(wanted))
+    A file with very many hits so costs no more than a constant factor over
+    its length. The steps are bound to variables, so each is computed once.
+    """
+    ids = f"sequence(0, cast(floor((size(s) - 1) / {CHUNK}) as int))"
+    chunk = f"slice(s, i * {CHUNK} + 1, {CHUNK})"
+    total = f"aggregate({chunk}, {_ORIGIN}, (a, x) -> {_advance('a', 'x')})"
+    ends = _prefixes(f"transform({ids}, i -> {total})", _ORIGIN)
+    begin = f"if(i = 0, {_ORIGIN}, element_at(e, greatest(i, 1)))"
+    large = f"transform(array({ends}), e -> flatten(transform({ids}, i -> {_prefixes(chunk, begin)})))[0]"
+    return f"transform(array({steps}), s -> if(size(s) <= {CHUNK}, {_prefixes('s', _ORIGIN)}, {large}))[0]"
 
 
 def locate_hits(marked: DataFrame, around: int | None = None) -> DataFrame:
-    """Marked texts to one row per hit: line, column, first line of the match."""
-    lines = _marked_lines(marked, around)
+    """Marked texts to one row per hit: line, column and the whole match."""
     extra = [] if around is None else ["snippet"]
-    parts = lines.select(
-        *KEYS,
-        "_rule",
-        "_number",
-        *extra,
-        (F.col("_line") + 1).alias("line"),
-        F.split(F.translate("_text", CLOSE, ""), OPEN, -1).alias("_parts"),
-        F.split("_text", OPEN, -1).alias("_raw"),
-    )
-    hits = F.expr(
-        f"arrays_zip({_running_columns()}, transform(slice(_raw, 2, size(_raw) - 1), "
-        f"p -> substring_index(p, {sql_string(CLOSE)}, 1)))"
+    parts = marked.withColumn("_parts", F.expr(f"split(_marked, {OPEN}, -1)"))
+    # A generator over one row keeps the split from being repeated by what uses it.
+    parts = parts.select("*", F.explode(F.array(F.col("_parts"))).alias("_p")).drop("_parts", "_marked")
+    plain = f"replace(p, {CLOSE}, '')"
+    step = (
+        f"named_struct('k', length({plain}) - length(replace({plain}, '\n', '')), "
+        f"'w', length(substring_index({plain}, '\n', -1)))"
     )
-    return parts.select(*KEYS, "_rule", "_number", *extra, "line", F.explode(hits).alias("_hit")).select(
-        *KEYS, "_rule", "_number", *extra, "line", (F.col("_hit")["0"] + 1).alias("column"), F.col("_hit")["1"].alias("match")
+    steps = f"transform(slice(_p, 1, size(_p) - 1), p -> {step})"
+    found = (
+        f"CASE WHEN _p IS NULL THEN transform(_lines, l -> named_struct('line', l, 'column', 1, 'match', '')) "
+        f"ELSE transform(arrays_zip({_positions(steps)}, slice(_p, 2, size(_p) - 1)), h -> "
+        f"named_struct('line', h['0'].k + 1, 'column', h['0'].w + 1, 'match', substring_index(h['1'], {CLOSE}, 1))) END"
     )
+    if around is not None:
+        # The lines are bound to a variable: cut once per file and rule, not per hit.
+        first = f"greatest(h.line - {around}, 1)"
+        near = f"array_join(slice(ls, {first}, least(h.line + {around}, size(ls)) - {first} + 1), '\\n')"
+        found = (
+            f"transform(array(split(text, '\\n', -1)), ls -> transform({found}, h -> "
+            f"named_struct('line', h.line, 'column', h.column, 'match', h.match, 'snippet', {near})))[0]"
+        )
+    hits = parts.select(*KEYS, "_rule", "_number", F.explode(F.expr(found)).alias("_hit"))
+    extra = [f"_hit.{c}" for c in extra]
+    return hits.select(*KEYS, "_rule", "_number", *extra, "_hit.line", "_hit.column", "_hit.match")
 
 
 def _constant(value) -> str:

@@ -115,29 +115,22 @@ def line_security(files: DataFrame) -> DataFrame:
 
 def _def_lines(files: DataFrame) -> DataFrame:
     """Lines that start a ``def``, with the number of the next one and the next line."""
-    lines = lines_of("text")
-    starts = F.filter(
-        F.transform(
-            lines,
-            lambda l, i: F.struct(
-                (i + 1).alias("line"),
-                l.alias("content"),
-                F.regexp_replace(F.coalesce(F.try_element_at(lines, i + 2), F.lit("")), r"^\s+", "").alias("next"),
-            ),
-        ),
-        lambda x: x["content"].rlike(r"^\s*def "),
-    )
-    found = files.where(F.contains("text", F.lit("def "))).select(
-        "project", "path", F.size(lines).alias("lines"), starts.alias("_defs")
-    )
-    return found.select("project", "path", "lines", "_defs", F.posexplode("_defs").alias("_at", "_d")).select(
+    wanted = files.where(F.contains("text", F.lit("def "))).select("project", "path", F.explode(F.array(lines_of("text"))).alias("_lines"))
+    # The lines are a column here, so they are cut once; neighbours come from the list moved by one.
+    after = F.concat(F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))), F.array(F.lit("")))
+    numbered = F.arrays_zip(F.sequence(F.lit(1), F.size("_lines")).alias("line"), F.col("_lines").alias("content"), after.alias("after"))
+    defs = wanted.select("project", "path", F.size("_lines").alias("lines"), numbered.alias("_n")).select(
+        "project", "path", "lines", F.filter("_n", lambda x: x["content"].rlike(r"^\s*def ")).alias("_defs"))
+    following = F.concat(F.transform(F.slice("_defs", 2, F.greatest(F.size("_defs") - 1, F.lit(0))), lambda x: x["line"]), F.array(F.lit(None).cast("int")))
+    paired = F.arrays_zip(F.col("_defs").alias("d"), following.alias("next_def"))
+    return defs.where(F.size("_defs") > 0).select("project", "path", "lines", F.explode(paired).alias("_p")).select(
         "project",
         "path",
         "lines",
-        "_d.line",
-        F.split_part(F.split_part(F.col("_d.content"), F.lit("def "), F.lit(2)), F.lit("("), F.lit(1)).alias("name"),
-        F.col("_d.next").alias("next_line"),
-        F.try_element_at("_defs", F.col("_at") + 2)["line"].alias("next_def"),
+        "_p.d.line",
+        F.split_part(F.split_part(F.col("_p.d.content"), F.lit("def "), F.lit(2)), F.lit("("), F.lit(1)).alias("name"),
+        F.regexp_replace(F.col("_p.d.after"), r"^\s+", "").alias("next_line"),
+        "_p.next_def",
     )
 
 

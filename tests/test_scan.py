@@ -20,7 +20,7 @@ def brute(text, pattern, flags=0):
     out = []
     for m in re.finditer(pattern, text, flags | re.ASCII):
         line = text.count("\n", 0, m.start()) + 1
-        out.append((line, m.start() - text.rfind("\n", 0, m.start()), m.group().split("\n")[0]))
+        out.append((line, m.start() - text.rfind("\n", 0, m.start()), m.group()))
     return out
 
 
@@ -35,7 +35,7 @@ def test_positions_at_edges(make_files):
         assert scan(make_files([("f", "python", text)]), [rule("ab")]) == sorted(brute(text, "ab")), text[:20]
 
 
-def test_hits_across_lines_keep_their_first_line(make_files):
+def test_hits_across_lines_are_reported_whole(make_files):
     text = "except:\n    pass\n\n\nexcept ValueError:\n  pass"
     pattern = r"except\s*[^:]*:\s*\n\s*pass"
     assert scan(make_files([("f", "python", text)]), [rule(pattern)]) == sorted(brute(text, pattern))
@@ -48,13 +48,19 @@ def test_leading_blank_lines_belong_to_the_hit(make_files):
     )
 
 
+def test_no_character_is_special(make_files):
+    text = "x\u0001y \u0002\u0001< x\u0001y\nbegin\nmid\nend x\u0001y"
+    for pattern in ("x\u0001y", r"begin[\s\S]*?end", "\u0002"):
+        assert scan(make_files([("f", "python", text)]), [rule(pattern)]) == sorted(brute(text, pattern))
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab\n\r é=\"'\u0001", max_size=40), min_size=1, max_size=6), st.sampled_from(["a", "a+b", r"\bab\b", r"a\s*=", r"^\s*b"]))
 def test_positions_property(make_files, texts, pattern):
     flags = re.M if pattern.startswith("^") else 0
     files = make_files([(f"f{i}", "python", t) for i, t in enumerate(texts)])
     found = scan_rules(files, [rule(pattern, "m" if flags else "")]).select("path", "line", "column").collect()
-    want = [(f"f{i}", ln, c) for i, t in enumerate(texts) for ln, c, _ in brute(t.replace("\u0001", "\ufffd"), pattern, flags)]
+    want = [(f"f{i}", ln, c) for i, t in enumerate(texts) for ln, c, _ in brute(t, pattern, flags)]
     assert sorted(map(tuple, found)) == sorted(want)
 
 
