@@ -190,12 +190,30 @@ _UN = " UNION ALL ".join(f"SELECT project, path, {q(n)} AS rule, CAST({c} AS INT
 add("R1_rewrite_counts", lambda s, d: rw.rewrite_counts(_rewritten(s, d)), FILES + f", r AS ({_RSQL}) {_UN}")
 add("G37_E11_rewrite_report", lambda s, d: rw.rewrite_report(_rewritten(s, d)),
     FILES + f", r AS ({_RSQL}) SELECT project, count(*) AS files_scanned, count(*) FILTER (WHERE t{_RN} <> text) AS files_modified, CAST(sum(CASE WHEN t{_RN} <> text THEN {' + '.join(c for _, c in _RC)} ELSE 0 END) AS BIGINT) AS issues_fixed, CAST(2 * sum(CASE WHEN t{_RN} <> text THEN {' + '.join(c for _, c in _RC)} ELSE 0 END) AS BIGINT) AS time_saved_minutes FROM r GROUP BY project")
-_YSQL, _YC = _rewrite_sql(rw.YAML_REWRITES, "true")
-add("R4_yaml_repairs", lambda s, d: rw.apply_rewrites(code_files(s, d), rw.YAML_REWRITES).where("text <> fixed").select("project", "path", "fixed"),
-    "WITH " + files_cte("code") + f", r AS ({_YSQL}) SELECT project, path, t2 AS fixed FROM r WHERE t2 <> text")
-add("R3_line_changes", lambda s, d: rw.line_changes(rw.apply_rewrites(code_files(s, d), rw.YAML_REWRITES)),
-    "WITH " + files_cte("code") + f", r AS ({_YSQL}), p AS (SELECT project, path, string_split(text, chr(10)) AS b, string_split(t2, chr(10)) AS a FROM r), e AS (SELECT project, path, b, a, unnest(range(1, greatest(len(a), len(b)) + 1)) AS line FROM p) SELECT project, path, CAST(line AS INTEGER) AS line, b[line] AS before, a[line] AS after FROM e WHERE b[line] IS DISTINCT FROM a[line]")
-add("R3_unified_diffs", lambda s, d: rw.unified_diffs(rw.apply_rewrites(code_files(s, d), rw.YAML_REWRITES)))
+# The rule stated anew: comments, blank lines and lines that open a block stay; others get a space after a colon, quotes around
+# metavariables, around pattern values with a $ and around regex values, and a closing quote where one is open.
+_SKIP = r"(regexp_matches(l, '^\s*(#|$)') OR regexp_matches(l, '[|>]\s*$'))"
+
+
+def _quote_sql(key, test):
+    value = rf"regexp_replace(regexp_extract(l, '{key}:\s*(.+)', 1), '^ +| +$', '', 'g')"
+    return (f"CASE WHEN contains(l, '{key}:') AND {test} AND NOT contains(l, chr(34)) AND NOT contains(l, chr(39)) AND {value} <> '' "
+            f"THEN replace(l, '{key}: ' || {value}, '{key}: ' || chr(34) || {value} || chr(34)) ELSE l END")
+
+
+_STEPS = [
+    r"regexp_replace(l, ':([^:\s\n" + '"' + r"/])', ': \1', 'g')", r"regexp_replace(l, 'metavariable:\s*(\$?\w+)', 'metavariable: " + '"' + r"\1" + '"' + "', 'g')",
+    _quote_sql("pattern", "contains(l, '$')"), _quote_sql("regex", "true"),
+    r"CASE WHEN (length(l) - length(replace(l, chr(34), ''))) % 2 = 1 THEN regexp_replace(l, '\s+$', '') || chr(34) ELSE l END",
+]
+_YAML = "SELECT project, path, text, pos, b, b AS l FROM (SELECT project, path, text, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM files)"
+for _step in _STEPS:
+    _YAML = f"SELECT project, path, text, pos, b, CASE WHEN {_SKIP} THEN l ELSE {_step} END AS l FROM ({_YAML})"
+add("R4_yaml_repairs", lambda s, d: rw.repair_yaml(corpus(s, d)).where("text <> fixed").select("project", "path", "fixed"),
+    FILES + f" SELECT project, path, string_agg(l, chr(10) ORDER BY pos) AS fixed FROM ({_YAML}) GROUP BY project, path, text HAVING string_agg(l, chr(10) ORDER BY pos) <> text")
+add("R3_line_changes", lambda s, d: rw.line_changes(rw.repair_yaml(corpus(s, d))),
+    FILES + f" SELECT project, path, CAST(pos AS INTEGER) AS line, b AS before, l AS after FROM ({_YAML}) WHERE b <> l")
+add("R3_unified_diffs", lambda s, d: rw.unified_diffs(rw.repair_yaml(corpus(s, d))))
 add("R2_targeted_fixes", lambda s, d: rw.fix_all(corpus(s, d).where("language = 'python'")).where("size(applied) > 0").select("project", "path", "text", F.array_join("applied", ",").alias("applied")))
 _CRYPTO = "replace(replace(text, 'hashlib.md5(', 'hashlib.sha256('), 'hashlib.sha1(', 'hashlib.sha256(')"
 add("R2_weak_crypto", lambda s, d: rw.fix_weak_crypto(corpus(s, d)).select("project", "path", F.md5("text").alias("hash")), FILES + f" SELECT project, path, md5({_CRYPTO}) AS hash FROM files")

@@ -27,11 +27,6 @@ PYTHON_REWRITES = [
     ("Fix String Concatenation", r"(\w+) \+= (\w+) \+ (\w+)", r'$1 = "".join([$1, $2, $3])', "WARNING"),
     ("Add Docstring Template", r"(def \w+\([^)]*\):)\n(\s+)", "$1\n$2\"\"\"TODO: Add docstring.\"\"\"\n$2", "INFO"),
 ]
-# YAML repairs of whole texts, in order.
-YAML_REWRITES = [
-    ("Space After Colon", r":([^:\s\n\"/])", r": $1", "WARNING"),
-    ("Quote Metavariable", r"metavariable:[ \t]*(\$?\w+)", r'metavariable: "$1"', "WARNING"),
-]
 MINUTES_PER_FIX = 2
 
 
@@ -56,6 +51,46 @@ def apply_rewrites(files: DataFrame, rules) -> DataFrame:
     )
 
 
+def _quoted_value(line, key: str, when):
+    """``key: value`` with its value in double quotes, on lines without quotes that pass ``when``."""
+    value = F.trim(F.regexp_extract(line, java_regex(key + r":\s*(.+)"), 1))
+    plain = F.contains(line, F.lit(key + ":")) & ~F.contains(line, F.lit('"')) & ~F.contains(line, F.lit("'"))
+    found = F.concat(F.lit(key + ": "), value)
+    return F.when(plain & when & (value != ""), F.replace(line, found, F.concat(F.lit(key + ': "'), value, F.lit('"')))).otherwise(line)
+
+
+def _open_quote(line):
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    return F.when(odd, F.concat(F.regexp_replace(line, r"\s+\z", ""), F.lit('"'))).otherwise(line)
+
+
+# Name and repair of one line, in order.
+YAML_REPAIRS = [
+    ("Space After Colon", lambda line: F.regexp_replace(line, java_regex(r':([^:\s\n"/])'), ": $1")),
+    ("Quote Metavariable", lambda line: F.regexp_replace(line, java_regex(r"metavariable:\s*(\$?\w+)"), 'metavariable: "$1"')),
+    ("Quote Pattern", lambda line: _quoted_value(line, "pattern", F.contains(line, F.lit("$")))),
+    ("Quote Regex", lambda line: _quoted_value(line, "regex", F.lit(True))),
+    ("Close Quote", _open_quote),
+]
+
+
+def repair_yaml(files: DataFrame) -> DataFrame:
+    """``files`` plus ``fixed`` and ``fixes``, the lines that each repair changed.
+
+    Repairs work line by line. Comments, blank lines and lines that open a
+    block (they end in ``|`` or ``>``) stay as they are.
+    """
+    kept = lambda line: line.rlike(r"\A\s*(?:#|\z)") | line.rlike(r"[|>]\s*\z")
+    steps = files.withColumn("_l0", F.split("text", "\n", -1))
+    for i, (_, repair) in enumerate(YAML_REPAIRS):
+        step = F.transform(f"_l{i}", lambda line: F.when(kept(line), line).otherwise(repair(line)))
+        # A generator per step: else a step is worked out again for every use of its lines.
+        steps = steps.withColumn(f"_l{i + 1}", F.explode(F.array(step)))
+    changed = lambda i: F.size(F.filter(F.arrays_zip(F.col(f"_l{i}").alias("a"), F.col(f"_l{i + 1}").alias("b")), lambda x: x["a"] != x["b"]))
+    counts = F.array(*[F.struct(F.lit(name).alias("rule"), changed(i).alias("count")) for i, (name, _) in enumerate(YAML_REPAIRS)])
+    return steps.select(*files.columns, F.array_join(f"_l{len(YAML_REPAIRS)}", "\n").alias("fixed"), F.filter(counts, lambda c: c["count"] > 0).alias("fixes"))
+
+
 def rewrite_counts(rewritten: DataFrame) -> DataFrame:
     """One row per (file, rule) with hits."""
     return rewritten.select("project", "path", F.explode("fixes").alias("_f")).select(

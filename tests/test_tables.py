@@ -243,3 +243,11 @@ def test_listings(spark):
     names = {r.rule for r in listings.supported_rules(spark, "rust").collect()}
     assert "unwrap" in names and "no-todo" in names and "no-print" not in names
     assert listings.languages_by_area(spark).where("area = 'jvm'").count() == 4
+
+
+def test_yaml_repairs_per_line(make_files):
+    text = "# note a:b\nkey:value\n\nrun: |\npattern: $X == $X\nregex: a+b\nmetavariable: $X\nname: \"open\nurl: http://x\n  - a::b >"
+    want = "# note a:b\nkey: value\n\nrun: |\npattern: \"$X == $X\"\nregex: \"a+b\"\nmetavariable: \"$X\"\nname: \"open\"\nurl: http://x\n  - a::b >"
+    row = rewrite.repair_yaml(make_files([("a.yaml", "yaml", text)])).collect()[0]
+    assert row.fixed == want
+    assert {f["rule"]: f["count"] for f in row.fixes} == {"Space After Colon": 1, "Quote Pattern": 1, "Quote Regex": 1, "Quote Metavariable": 1, "Close Quote": 1}
