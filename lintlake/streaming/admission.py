@@ -76,7 +76,13 @@ def admit_requests(requests: DataFrame, max_requests: int, window_seconds: int)
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """Streaming form: admitted times per key in state, evicted by event time."""
+    """Streaming form: requests wait until the watermark has passed them, then are decided in order of time.
+
+    State of a key: the waiting times, no more than arrive within the allowed
+    lateness, and the admitted times of one window. One timer stands for the
+    earliest waiting request; with none waiting, for the newest admitted time
+    leaving its window, after which the key holds nothing.
+    """
 
     def __init__(self, max_requests: int, window_seconds: int):
         self.max_requests = max_requests
@@ -85,37 +91,71 @@ class AdmissionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.admitted = handle.getValueState("admitted", "times array<bigint>")
+        self.waiting = handle.getListState("waiting", "at bigint")
+        self.alarm = handle.getValueState("alarm", "ms bigint")
+
+    def _set_alarm(self, ms: int | None) -> None:
+        if self.alarm.exists():
+            self.handle.deleteTimer(self.alarm.get()[0])
+        if ms is None:
+            self.alarm.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.alarm.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for part in rows:
+            # Event times arrive as nanosecond or microsecond stamps; state keeps microseconds.
+            times = part["ts"].astype("datetime64[us]").astype("int64")
+            for at in times:
+                self.waiting.appendValue((int(at),))
+            first = int(times.min()) if first is None else min(first, int(times.min()))
+        if first is not None:
+            due = first // 1000 + 1
+            # An alarm for an earlier waiting request stands; one for eviction gives way.
+            if self._none_waited_before(due):
+                self._set_alarm(due)
+        return iter([])
 
-    def handleInputRows(self, key, rows, timer_values):
+    def _none_waited_before(self, due: int) -> bool:
+        return not self.alarm.exists() or due < self.alarm.get()[0]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.alarm.clear()
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
         held = deque(self.admitted.get()[0]) if self.admitted.exists() else deque()
-        data = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        # Event times arrive as nanosecond or microsecond stamps; state keeps microseconds.
-        times = [int(pd.Timestamp(x).value // 1000) for x in data["ts"]]
-        decisions = list(decide(times, held, self.max_requests, self.window_us))
-        self.admitted.update((list(held),))
-        if times:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(times[-1] // 1000 + self.window_us // 1000)
-        yield pd.DataFrame(
-            {
-                "key": [key[0]] * len(times),
-                "ts": data["ts"].values,
+        times = sorted(t for (t,) in self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [t for t in times if t < now_us], [t for t in times if t >= now_us]
+        decisions = list(decide(ready, held, self.max_requests, self.window_us))
+        if later:
+            self.waiting.put([(t,) for t in later])
+            self._set_alarm(later[0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if held and held[-1] + self.window_us > now_us:
+            self.admitted.update((list(held),))
+            if not later:
+                self._set_alarm((held[-1] + self.window_us) // 1000 + 1)
+        else:
+            self.admitted.clear()
+        if ready:
+            yield pd.DataFrame({
+                "key": [key[0]] * len(ready),
+                "ts": pd.to_datetime(pd.Series(ready, dtype="int64"), unit="us"),
                 "allowed": [a for a, _ in decisions],
                 "remaining": pd.Series([r for _, r in decisions], dtype="int32"),
-            }
-        )
-
-    def handleExpiredTimer(self, key, timer_values, expired):
-        self.admitted.clear()
-        return iter([])
+            })
 
     def close(self) -> None:
         pass
 
 
 def admit_stream(requests: DataFrame, max_requests: int, window_seconds: int, lateness: str = "1 minute") -> DataFrame:
-    """``requests(key, ts)`` as a stream to one decision per request."""
+    """``requests(key, ts)`` as a stream to one decision per request, given once the watermark has passed it.
+
+    Decisions equal the batch form's for every request that comes within ``lateness``.
+    """
     return (
         requests.select("key", "ts")
         .withWatermark("ts", lateness)

@@ -1,5 +1,6 @@
 """Streams give what the batch forms give."""
 
+import time
 from collections import defaultdict, deque
 
 from pyspark.sql import functions as F
@@ -99,14 +100,24 @@ def test_admission_rule():
 
 
 def test_admission_stream_equals_batch(spark, tmp_path):
-    rows = _rows(60)
+    """Shuffled input in several batches, with rows that come late but inside the watermark."""
+    first = 1_700_000_000_000_000
+    rows = sorted(_rows(60), key=lambda r: r[1])
+    # Neighbouring batches change some rows, so later batches hold times before the ones already seen.
+    batches = [rows[:20] + rows[25:30], rows[20:25] + rows[30:45] + rows[50:52], rows[45:50] + rows[52:]]
+    late = [[("late", first + 100_000_000)], [("late", first + 50_000_000)], []]
+    end = first + 4_000_000_000
     src = str(tmp_path / "req")
-    _requests(spark, rows).coalesce(1).write.parquet(src)
+    parts = [list(reversed(b + x)) for b, x in zip(batches, late)] + [[("end", end)], [("end", end + 600_000_000)]]
+    for part in parts:
+        _requests(spark, part).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in order of their time stamps
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = admit_stream(spark.readStream.schema("key string, ts timestamp").parquet(src), 3, 10)
+    reader = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1)
+    stream = admit_stream(reader.parquet(src), 1, 10, lateness="10 minutes")
     run(stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")))
-    got = spark.read.parquet(str(tmp_path / "out")).select("key", F.unix_micros("ts"), "allowed", "remaining").collect()
-    assert sorted(map(tuple, got)) == _brute(rows, 3, 10)
+    got = spark.read.parquet(str(tmp_path / "out")).select("key", F.unix_micros("ts"), "allowed", "remaining").where("key != 'end'").collect()
+    assert sorted(map(tuple, got)) == _brute(rows + late[0] + late[1], 1, 10)
 
 
 def test_running_contributors(spark, tmp_path):
