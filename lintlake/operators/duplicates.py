@@ -39,39 +39,96 @@ def duplicate_blocks(files: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def _equal_runs(equal: np.ndarray):
+    """(start, end) of the runs of true."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
+    return zip(edges[::2].tolist(), edges[1::2].tolist())
+
+
+class _Runs:
+    """Maximal stretches with a period; one stretch stands for all multiples of its period."""
+
+    def __init__(self, n: int, shortest: int):
+        self.best, self.shortest, self.found = np.zeros(n, dtype=np.int64), shortest, {}
+
+    def covers(self, period: int, places: np.ndarray) -> np.ndarray:
+        """Which places lie in a known stretch whose period divides this one."""
+        known = np.zeros(len(places), dtype=bool)
+        for divisor, stretches in self.found.items():
+            if period % divisor == 0:
+                for start, end in stretches:
+                    known |= (places >= start) & (places + period < end)
+        return known
+
+    def add(self, start: int, end: int, period: int) -> None:
+        self.found.setdefault(period, []).append((start, end))
+        places = np.arange(start, end)
+        # The longest half at a place: as many whole periods as fit twice into the rest of the stretch.
+        half = (end - places) // (2 * period) * period
+        half[half < self.shortest] = 0
+        self.best[start:end] = np.maximum(self.best[start:end], half)
+
+
 def immediate_repeats(text: str, shortest: int = 50) -> list[int]:
     """Starts of non-overlapping ``XX`` with ``len(X) >= shortest``, longest X first at each start.
 
-    A repeat with period p is a run of p places that equal the place p later.
-    Such a run holds a multiple of ``p - G`` where even the next G characters
-    agree, so hashes are compared at those places only, n / p of them per
-    period, and characters only around the places that agree.
+    A repeat with period p lies in a stretch whose places equal the place p
+    later. Short periods are compared directly. For longer ones a stretch holds
+    a multiple of ``p - G`` where even the next G characters agree, so hashes
+    are compared at those places only, n / p of them per period. Multiples of a
+    known stretch's period are skipped inside it, so periodic text stays cheap.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(codes)
     gram = 16
     if n < 2 * shortest:
         return []
+    runs = _Runs(n, shortest)
+    for period in range(1, shortest):
+        equal = codes[:-period] == codes[period:]
+        for b, e in _equal_runs(equal):
+            if e + period - b >= 2 * shortest and not runs.covers(period, np.array([b]))[0]:
+                runs.add(b, e + period, period)
     hashes = np.zeros(n - gram + 1, dtype=np.uint64)
     for j in range(gram):
         hashes = hashes * np.uint64(1099511628211) + codes[j : n - gram + 1 + j].astype(np.uint64)
-    best = np.zeros(n, dtype=np.int64)
     for period in range(shortest, n // 2 + 1):
         here = hashes[: len(hashes) - period : period - gram]
         there = hashes[period :: period - gram][: len(here)]
-        for hit in np.flatnonzero(here == there) * (period - gram):
-            low, high = max(0, hit - period), min(n - period, hit + 2 * period)
-            equal = codes[low:high] == codes[low + period : high + period]
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
-            for b, e in zip(edges[::2], edges[1::2]):
-                if e - b >= period:
-                    best[low + b : low + e - period + 1] = period
-    starts = np.flatnonzero(best)
+        hits = np.flatnonzero(here == there) * (period - gram)
+        if not hits.size:
+            continue
+        hits = hits[~runs.covers(period, hits)]
+        if not hits.size:
+            continue
+        # A stretch of a full period reaches half a period to one side of the place; look at some places there first.
+        steps = np.linspace(0, max(period // 2 - gram, 0), 9).astype(np.int64)
+        last = len(hashes) - period - 1
+        same = lambda at: (at >= 0) & (at <= last) & (hashes[np.clip(at, 0, last)] == hashes[np.clip(at, 0, last) + period])
+        likely = same(hits[:, None] + steps).all(axis=1) | same(hits[:, None] - steps).all(axis=1)
+        done = 0
+        for hit in hits[likely].tolist():
+            if hit < done:
+                continue
+            low, high = hit, hit
+            # Grow the window until the stretch around the hit ends inside it.
+            reach = period
+            while True:
+                low, high = max(0, hit - reach), min(n - period, hit + 2 * reach)
+                equal = codes[low:high] == codes[low + period : high + period]
+                own = next(((b, e) for b, e in _equal_runs(equal) if b <= hit - low < e), None)
+                if own is None or ((own[0] > 0 or low == 0) and (own[1] < high - low or high == n - period)):
+                    break
+                reach *= 2
+            if own is not None:
+                done = low + own[1]
+                if own[1] - own[0] >= period:
+                    runs.add(low + own[0], low + own[1] + period, period)
     out, at = [], 0
-    for start in starts:
+    for start in np.flatnonzero(runs.best):
         if start >= at:
             out.append(int(start))
-            at = start + 2 * int(best[start])
+            at = start + 2 * int(runs.best[start])
     return out
 
 

@@ -108,3 +108,36 @@ def test_duplicate_blocks(make_files):
     block = "one\n  two\nthree\n"
     rows = duplicate_blocks(make_files([("a", "go", block + "x\n" + block), ("b", "go", "\n\n" + block)]), 3).collect()
     assert [(r.copies, r.files) for r in rows] == [(3, 2)]
+
+
+def test_repeats_in_periodic_text_grow_linearly():
+    import time
+
+    from lintlake.operators.duplicates import immediate_repeats
+
+    spent = []
+    for n in (100_000, 200_000):
+        start = time.perf_counter()
+        assert immediate_repeats("a" * n) == [0]
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 3 * spent[0]
+
+
+def test_repeats_equal_brute_force_on_mixed_periods():
+    import random
+
+    from lintlake.operators.duplicates import immediate_repeats
+
+    def brute(text, shortest):
+        out, i = [], 0
+        while i < len(text):
+            half = next((h for h in range((len(text) - i) // 2, shortest - 1, -1) if text[i : i + h] == text[i + h : i + 2 * h]), 0)
+            out += [i] * bool(half)
+            i += 2 * half or 1
+        return out
+
+    rng = random.Random(1)
+    for _ in range(400):
+        words = ("".join(rng.choices("ab" if rng.random() < 0.5 else "abcdefgh", k=rng.choice([rng.randint(1, 9), rng.randint(20, 40)]))) * rng.randint(1, 7) for _ in range(rng.randint(1, 5)))
+        text = "".join(words)[:260]
+        assert immediate_repeats(text, 20) == brute(text, 20), text
