@@ -72,6 +72,7 @@ class EliasFano:
         # The zero that closes group h - 1 has h zeros up to it; ones before it are the elements of lower groups.
         first = np.where(group > 0, self._select_zero(np.maximum(group - 1, 0)) - group + 1, 0)
         last = self._select_zero(group) - group
+        end = last.copy()
         low = wanted & U((1 << self.width) - 1)
         while True:
             # Halve each group until one place is left: the first whose low part is not below.
@@ -82,7 +83,6 @@ class EliasFano:
             less = self._low(mid) < low[alive]
             first[alive[less]] = mid[less] + 1
             last[alive[~less]] = mid[~less]
-        end = self._select_zero(group) - group
         ok = np.flatnonzero(first < end)
         same = ok[self._low(first[ok]) == low[ok]]
         out[inside[same]] = first[same]
@@ -105,15 +105,23 @@ class EliasFano:
         return [self.n, self.universe, self.width], [self.low, self.high, self.zeros]
 
 
-#: Quantised probabilities: 0 stands for 0, codes from 1 for powers of ten from -8 to 0 in equal steps.
-LEVELS, DECADES = 4095, 8.0
+def _by_runs(sequence: EliasFano, values: np.ndarray) -> np.ndarray:
+    """Places of values, each run of equal values being looked up once."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    first = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+    return np.repeat(sequence.find(values[first]), np.diff(first, append=len(values)))
+
+
+#: Quantised probabilities in a byte: 0 stands for 0, codes from 1 for powers of ten from -7 to 0 in equal steps of 7 %.
+LEVELS, DECADES = 255, 7.0
 
 
 def quantise(p: np.ndarray, least: int = 0) -> np.ndarray:
     """Codes of the next lower level, so that sums of probabilities don't grow."""
     with np.errstate(divide="ignore"):
         code = np.floor((np.log10(p) + DECADES) / DECADES * (LEVELS - 1) + 1e-9) + 1
-    return np.clip(np.where(code < 1, least, code), 0, LEVELS).astype("<u2")
+    return np.clip(np.where(code < 1, least, code), 0, LEVELS).astype(np.uint8)
 
 
 def levels() -> np.ndarray:
@@ -155,7 +163,7 @@ class NgramTrie:
         total2 = np.bincount(parent2, c2, len(contexts))
         kinds2 = np.bincount(parent2, minlength=len(contexts))
         d2 = discount(c2)
-        p2 = quantise((c2 - d2) / total2[parent2]) if len(pairs) else np.zeros(0, "<u2")
+        p2 = quantise((c2 - d2) / total2[parent2]) if len(pairs) else np.zeros(0, np.uint8)
         back2 = quantise(d2 * kinds2 / np.maximum(total2, 1), 1)
         first2 = np.searchsorted(parent2, np.arange(len(contexts)))
         key_u = vi.astype(np.uint64) * U(span) + u
@@ -163,7 +171,7 @@ class NgramTrie:
         total3 = np.bincount(at_u, counts, len(befores))
         kinds3 = np.bincount(at_u, minlength=len(befores))
         d3 = discount(counts)
-        p3 = quantise((counts - d3) / total3[at_u]) if len(counts) else np.zeros(0, "<u2")
+        p3 = quantise((counts - d3) / total3[at_u]) if len(counts) else np.zeros(0, np.uint8)
         back3 = quantise(d3 * kinds3 / np.maximum(total3, 1), 1)
         # Children of (u, v) take as many ids as v has successors.
         sizes = kinds2.astype(np.uint64)
@@ -185,7 +193,7 @@ class NgramTrie:
         """(a, b) with P(w | u v) = a + b * P(w), for each query."""
         s, c, table = self.sequences, self.codes, levels()
         a, b = np.zeros(len(v)), np.ones(len(v))
-        vi = s["contexts"].find(v)
+        vi = _by_runs(s["contexts"], v)
         known = np.flatnonzero(vi >= 0)
         if not known.size:
             return a, b
@@ -198,7 +206,7 @@ class NgramTrie:
         b[known] = table[c["back2"][vi[known]]]
         ui = np.full(len(known), -1, np.int64)
         inside = uk < U(self.span)
-        ui[inside] = s["befores"].find(vk[inside] * U(self.span) + uk[inside])
+        ui[inside] = _by_runs(s["befores"], vk[inside] * U(self.span) + uk[inside])
         deep = np.flatnonzero(ui >= 0)
         if deep.size:
             back = table[c["back3"][ui[deep]]]

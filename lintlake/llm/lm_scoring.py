@@ -256,14 +256,16 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD, hot:
     shards = parts_for(spark, total_bytes(docs), shard_bytes)
     blocks = work.table(_blocks(docs, folds, held), "blocks")
     words = work.table(_vocabulary(blocks, shards), "words")
+    work.release()
     sums = words.where("block = -1").select(*[F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(4)]).first()
     total, known, ones, twos = (int(x or 0) for x in sums)
     asked = words.where("block >= 0").select("block", "shard", "counts", F.col("ids").alias("word_ids"))
     rows = blocks.select("block", "ids", "held", "lengths", "codes")
     requests = rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
         _ask(hot, ones, shards), "shard long, block long, u binary, w binary, train binary, context binary")
-    answers = requests.groupBy("shard").applyInArrow(_answer, "block long, shard long, a binary, b binary")
-    answers = work.table(answers, "answers")
+    answers = work.table(requests.groupBy("shard").applyInArrow(_answer, "block long, shard long, a binary, b binary"), "answers")
+    del requests
+    work.release()
     both = asked.withColumn("kind", F.lit(0)).unionByName(answers.select("block", "shard", F.col("a").alias("counts"), F.col("b").alias("word_ids"), F.lit(1).alias("kind")))
     return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         _score(hot, shards, total, known, ones, twos),
