@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash, verified on full shingle sets.
 
 1. One pass gives each document the size and a 128-bit hash of its set of word
-   shingles, 80 minima of universal hashes, and 20 band keys of 4 minima each.
+   shingles, 512 minima of universal hashes, and 20 band keys of 4 minima each.
    A pair at the threshold of 0.85 shares no band with probability 4e-7.
 2. Documents with equal sets form a class; its smallest id stands for it. From
    here on only classes are compared, so exact copies never pair up.
@@ -9,10 +9,12 @@
    members to its smallest one. Pairs pass a check of the signatures with a wide
    margin, then of the full sets.
 4. Components of those links come from large-star and small-star. Buckets whose
-   members lie in one component are done. In the others every pair across
-   components is compared by signature, in blocks of members, and verified: only
-   members outside a bucket's largest component meet the whole bucket, so no link
-   between components is lost and a large group of near copies stays linear.
+   members lie in one component are done. In the others, members outside the
+   bucket's largest component first meet their most similar one, which joins most
+   of them; components are updated, and a last pass compares every pair across
+   components by signature, in blocks of members, and verifies it. Only members
+   outside a bucket's largest component meet the whole bucket, so no link between
+   components is lost and a large group of near copies stays linear.
 
 Defined cases: null and empty texts, and texts of white space, have an empty
 set and are components of their own; fewer than five words form one shingle;
@@ -36,14 +38,18 @@ from lintlake.llm.shingles import constants, minima, mix, shingle_sets
 WIDTH, BANDS, ROWS = 5, 20, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Signatures may agree this much less than sets: 6 standard deviations of 80 minima at 0.85.
-MARGIN = 0.24
+#: Minima in a signature, of which 8 bits each are kept; BANDS * ROWS of them make the bands.
+MINIMA = 512
+#: Signatures may agree this much less than sets: 6 standard deviations of 512 minima at 0.85.
+MARGIN = 0.095
+#: Passes over open buckets in which a member meets only its most similar one, before the pass over all pairs.
+PASSES = 1
 #: Members that meet in one task.
 BLOCK, STAR = 256, 64
 
 
 def _fingerprints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    factors, shifts = constants(11, bands * rows) | np.uint64(1), constants(12, bands * rows)
+    factors, shifts = constants(11, MINIMA) | np.uint64(1), constants(12, MINIMA)
     weights = constants(13, rows) | np.uint64(1)
 
     def run(batches):
@@ -61,9 +67,9 @@ def _fingerprints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFra
                             one[i] = np.sum(mix(sets[i] + np.uint64(1)), dtype=np.uint64).astype(np.int64)
                             two[i] = np.sum(mix(sets[i] ^ np.uint64(0x5555555555555555)), dtype=np.uint64).astype(np.int64)
                         least = minima([sets[i] for i in some], factors, shifts)
-                        banded = mix((least.reshape(len(some), bands, rows).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)).astype(np.int64)
+                        banded = mix((least[:, : bands * rows].reshape(len(some), bands, rows).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)).astype(np.int64)
                     for at, i in enumerate(some):
-                        marks[i], keys[i] = least[at].astype("<u4").tobytes(), banded[at]
+                        marks[i], keys[i] = least[at].astype(np.uint8).tobytes(), banded[at]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two),
                     pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "signature", "keys"])
@@ -78,7 +84,7 @@ def _similar_signatures(pairs: DataFrame, least_share: float, percent: int) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(axis=1) >= least_share))
 
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -116,41 +122,74 @@ def _verified(work: Workspace, pairs: DataFrame, texts: DataFrame, name: str, wi
     return linked
 
 
-def _across(members: DataFrame, bands: int, rows: int, least_share: float, percent: int) -> DataFrame:
-    """Pairs of different labels within open buckets, each in the first band that both share.
+def _across(members: DataFrame, least_share: float, percent: int, best_only: bool) -> DataFrame:
+    """Pairs of different labels within open buckets: each minor member's most similar one, or all, each in the first band that both share.
 
-    ``members``: (band, key, node, n, signature, label, minor, minors, total);
-    minor members go to every block of the bucket, all members to every block of minors.
+    ``members``: (band, key, node, n, signature, keys, label, minor, minors, total);
+    minor members go to every block of the bucket (or to one, for the best), all members to every block of minors.
     """
     blocks, of_minors = F.ceil(F.col("total") / BLOCK).cast("long"), F.ceil(F.col("minors") / BLOCK).cast("long")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    as_minor = members.where("minor").withColumns({"i": F.pmod(F.xxhash64("node"), of_minors), "role": F.lit(True)}).withColumn("j", spread(blocks))
+    # Looking for the best one, a member meets one block of each of its buckets; the last pass leaves no block out.
+    met = F.pmod(F.xxhash64("node", F.lit(2)), blocks) if best_only else spread(blocks)
+    as_minor = members.where("minor").withColumns({"i": F.pmod(F.xxhash64("node"), of_minors), "role": F.lit(True)}).withColumn("j", met)
     as_any = members.withColumns({"j": F.pmod(F.xxhash64("node", F.lit(1)), blocks), "role": F.lit(False)}).withColumn("i", spread(of_minors))
-    columns = ["band", "key", "i", "j", "role", "node", "n", "signature", "label", "minor"]
+    columns = ["band", "key", "i", "j", "role", "node", "n", "signature", "keys", "label", "minor"]
 
     def compare(table: pa.Table) -> pa.Table:
         band = table.column("band")[0].as_py()
         role = table.column("role").to_numpy()
         node, n, label, minor = (table.column(c).to_numpy() for c in ("node", "n", "label", "minor"))
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(node), -1)
+        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         left, right = np.flatnonzero(role), np.flatnonzero(~role)
-        out_a, out_b = [], []
+        out_a, out_b, out_share = [], [], []
         for x in left:
-            # Two minor members meet in both directions; one of them is enough.
-            ok = (label[right] != label[x]) & (~minor[right] | (node[right] > node[x]))
+            ok = label[right] != label[x]
+            if not best_only:  # two minor members meet in both directions; one of them is enough
+                ok &= ~minor[right] | (node[right] > node[x])
             ok &= np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent
             some = right[ok]
             if not some.size:
                 continue
-            same = marks[some] == marks[x]
-            shared = same.reshape(len(some), bands, rows).all(axis=2)
-            good = some[(same.mean(axis=1) >= least_share) & (shared.argmax(axis=1) == band)]
+            share = (marks[some] == marks[x]).mean(axis=1)
+            if best_only:
+                good = some[[share.argmax()]] if share.max() >= least_share else some[:0]
+            else:
+                some = some[share >= least_share]
+                good = some[(keys[some] == keys[x]).argmax(axis=1) == band]
             out_a += [node[x]] * len(good)
             out_b += node[good].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            out_share += [float(share.max())] * len(good)
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "share": pa.array(out_share, pa.float64())})
 
     dealt = as_minor.select(*columns).unionByName(as_any.select(*columns))
-    return dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+    found = dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long, share double")
+    if best_only:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _open_pass(work: Workspace, members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, name: str, best_only: bool, least_share: float, width: int, percent: int) -> DataFrame:
+    """labels (node, label) after one pass over the buckets whose members have more than one label."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "key", "node", "n", "total", "label")
+    labelled = work.table(labelled, f"{name}-labelled")
+    sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("held"))
+    open_ = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.max("held").alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = work.table(open_.select("band", "key", "main", "most"), f"{name}-open")
+    if not open_.limit(1).count():
+        work.drop(f"{name}-labelled", f"{name}-open")
+        return labels
+    rest = labelled.join(open_, ["band", "key"]).join(nodes.select("node", "signature", "keys"), "node").withColumns({
+        "minor": F.col("label") != F.col("main"), "minors": F.col("total") - F.col("most")})
+    links = _verified(work, _across(rest, least_share, percent, best_only), texts, name, width, percent)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    joined = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    again = work.table(connected_components(work, joined, name).select(F.col("node").alias("label"), F.col("label").alias("top")), f"{name}-again")
+    known = labels.unionByName(again.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
+    merged = work.table(known.join(again, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
+    work.drop(f"{name}-labelled", f"{name}-open", f"{name}-again", f"{name}-links")
+    return merged
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, margin: float = MARGIN) -> DataFrame:
@@ -175,29 +214,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     alike = work.table(_similar_signatures(pairs.join(sig("b"), "b").join(sig("a"), "a"), least_share, percent), "alike")
     # Texts of the classes that may still be compared, once each.
     involved = alike.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    # A merge join whatever the sizes: the list of classes has no bound that would allow a broadcast.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(involved.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     texts = work.table(texts, "texts")
     links = _verified(work, alike, texts, "first", width, percent)
     labels = work.table(connected_components(work, links, "one"), "labels")
     work.drop("pairs", "alike", "first-links")
 
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "key", "node", "n", "total", "label")
-    labelled = work.table(labelled, "labelled")
-    sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("held"))
-    open_ = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.max("held").alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = work.table(open_.select("band", "key", "main", "most"), "open")
-    rest = labelled.join(open_, ["band", "key"]).join(nodes.select("node", "signature"), "node").withColumns({
-        "minor": F.col("label") != F.col("main"), "minors": F.col("total") - F.col("most")})
-    more = work.table(_across(rest, bands, rows, least_share, percent), "across")
-    work.drop("members")
-    late = _verified(work, more, texts, "late", width, percent)
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    joined = late.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    again = connected_components(work, joined, "two").select(F.col("node").alias("label"), F.col("label").alias("top"))
-    again = work.table(again, "again")
-    merged = nodes.select("h1", "h2", F.col("n").alias("size"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(again, "label", "left")
-    merged = work.table(merged.select("h1", "h2", "size", F.col("node").alias("class_id"), F.coalesce("top", "label").alias("component")), "merged")
-    work.drop("texts", "labelled", "open", "across", "late-links", "buckets")
+    for turn in range(PASSES + 1):
+        labels = _open_pass(work, members, nodes, texts, labels, f"pass-{turn}", turn < PASSES, least_share, width, percent)
+    work.drop("members", "texts", "buckets")
+    merged = nodes.select("h1", "h2", F.col("n").alias("size"), "node").join(labels, "node", "left")
+    merged = work.table(merged.select("h1", "h2", "size", F.col("node").alias("class_id"), F.coalesce("label", "node").alias("component")), "merged")
 
     p, m = prints.select("doc_id", "n", "h1", "h2").alias("p"), merged.alias("m")
     found = p.join(m, (F.col("p.h1") == F.col("m.h1")) & (F.col("p.h2") == F.col("m.h2")) & (F.col("p.n") == F.col("m.size")), "left")
