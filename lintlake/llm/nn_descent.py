@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintlake.llm.shared import Workspace, parts_for, whole_groups
+from lintlake.llm.shared import Workspace, whole_groups
 from lintlake.llm.topk import _matrix, clean_vectors
 
 TOP, EVERY = 20, 20
@@ -166,7 +166,7 @@ def _introduce(graph: DataFrame, width: int, turn: int, reverse: int, meet: int)
 
 def build_graph(work: Workspace, nodes: DataFrame, count: int, width: int, k: int = K, rounds: int = ROUNDS, change: float = CHANGE) -> DataFrame:
     """The neighbour graph after at most ``rounds`` rounds, or when fewer than ``change`` of the list entries are new."""
-    parts = parts_for(work.spark, count, 20_000)
+    parts = max(1, count // (4 * BLOCK))  # ranges of some blocks each, so that a small table is one block
     graph = work.table(_merge(nodes, None, _start(nodes, width, parts, k), k), "graph-0")
     for turn in range(1, rounds + 1):
         nxt = _merge(nodes, graph, _introduce(graph, width, turn, REVERSE, MEET), k)
@@ -218,7 +218,9 @@ def _search(work: Workspace, graph: DataFrame, asked: DataFrame, entries: list[i
         ranked = state.withColumns({
             "place": F.row_number().over(Window.partitionBy("query").orderBy(F.col("done"), F.col("score").desc(), "node")),
             "floor": F.min(F.when(F.col("score") > float("-inf"), F.col("score"))).over(Window.partitionBy("query")), "held": F.count("*").over(Window.partitionBy("query"))})
-        todo = ranked.where(~F.col("done") & (F.col("place") <= expand)).select("query", "node", F.when(F.col("held") >= beam, F.col("floor")).alias("floor"))
+        # Starts have no score yet; all of them are expanded at once, before better ones could push them out.
+        chosen = (F.col("place") <= expand) | (F.col("score") == float("-inf"))
+        todo = ranked.where(~F.col("done") & chosen).select("query", "node", F.when(F.col("held") >= beam, F.col("floor")).alias("floor"))
         todo = work.table(todo, f"todo-{turn}")
         if not todo.limit(1).count():
             break
