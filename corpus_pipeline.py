@@ -14,6 +14,9 @@ from lintlake.llm import mixing, near_dedup, packing, pii, quality
 from lintlake.llm.queries import tokenizer_path
 from lintlake.llm.shared import Workspace, read_table
 
+#: Similarity, in percent, from which the stage takes one of two documents; op2's own contract is near_dedup.PERCENT.
+SIMILAR = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the perplexity classifier does not reject."""
@@ -21,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.without_near_duplicates(docs)
+    """One document of each group of near duplicates: five-word Jaccard of ``SIMILAR`` percent or more."""
+    return near_dedup.without_near_duplicates(docs, percent=SIMILAR)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 1. One pass gives each document the size and a 128-bit hash of its set of word
    shingles, 512 minima of universal hashes, and 20 band keys of 4 minima each.
-   A pair at the threshold of 0.85 shares no band with probability 4e-7.
+   A pair at the threshold of 0.85 shares no band with probability 4e-7, at the
+   0.80 that the pipeline asks for with probability 3e-5.
 2. Documents with equal sets form a class; its smallest id stands for it. From
    here on only classes are compared, so exact copies never pair up.
 3. Classes that share a band key form a bucket. Each bucket first links its
