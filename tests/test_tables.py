@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lintlake.operators import baseline, dependencies, diagnostics, logs, report, rewrite, taint, team
@@ -156,6 +157,14 @@ def test_custom_rule_file(spark, make_files):
     assert [(r.path, r.rule, r.line, r.severity) for r in rows] == [("a.py", "no-foo", 2, "error")]
 
 
+def test_rules_without_a_regex_are_named():
+    regex = "  - id: a\n    pattern-regex: x\n"
+    assert [r.rule for r in parse_rules("rules:\n" + regex)] == ["a"] and parse_rules("") == []
+    for other in ("    pattern: foo($X)\n", "    patterns:\n      - pattern-regex: y\n      - pattern-not: z\n", "    pattern-either:\n      - pattern: y\n"):
+        with pytest.raises(ValueError, match="b, c"):
+            parse_rules("rules:\n  - id: b\n" + other + regex + "  - id: c\n" + other)
+
+
 def test_broken_files(spark, make_files):
     broken = [("a.py", "python", "def f()\n  pass"), ("a.json", "json", '{"a": [1,, 2}'), ("a.toml", "toml", "a = [1,,2]"), ("a.xml", "xml", "<a><b></a>"),
               ("a.yaml", "yaml", ": x: y: ["), ("a.sh", "shell", "if x; then\n echo"), ("a.c", "c", "int main( {"), ("a.cpp", "cpp", "int f( {"),
