@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import licenses, lm_scoring, mixing, near_dedup, nn_descent, packing, pii, quality, token_rollup, topk
+from lintlake.llm import hard_negatives, html_text, lexical, licenses, lm_scoring, mixing, near_dedup, nn_descent, packing, pii, quality, token_rollup, topk
 from lintlake.llm.shared import Workspace, read_table
 
 
@@ -57,6 +57,18 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_rollup": token_rollup_totals,
     "op2_minhash_near_dedup": near_duplicate_documents,
@@ -68,7 +80,13 @@ QUERIES = {
     "op8_nn_descent": approximate_neighbours,
     "op9_entropy_balanced_mix": mixed_sources,
     "op10_norm_sorted_topk": exact_products,
+    "op11_block_text": page_texts,
+    "op12_zone_map_negatives": mined_negatives,
+    "op13_stratified_search": lexical_ranking,
 }
 ORACLES: dict[str, str] = {
     "op4_license_rules": licenses.digest_sql(),
+    "op11_block_text": html_text.extraction_sql(),
+    "op12_zone_map_negatives": hard_negatives.negatives_sql(),
+    "op13_stratified_search": lexical.ranking_sql(),
 }
