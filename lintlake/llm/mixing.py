@@ -7,10 +7,18 @@ Newton steps solve it, each one a distributed aggregation over a histogram
 of (source, size). Rates become whole copies by carrying the rounding error,
 in tokens, from the longest documents of a source to the shortest.
 
+Rows of one (source, size) stand in a line, by a hash of their ids in buckets,
+and the first ones take one copy more. Places come from running sums of the
+rows that agree in doc_id, source and size, over the buckets and within each,
+so a third of all rows may be one row repeated. In one task lie a row for each
+source, for the targets, and a source's distinct sizes, for the rounding: these
+are bounded by the longest text, not by the number of documents.
+
 Defined cases: null text has size 0; null source is a source of its own,
-ordered last; rows that agree in doc_id, source and size share one decision
-(so repeated rows are repeated alike); empty documents are taken once and add
-nothing; an empty table gives an empty result; other columns are ignored.
+ordered last; rows that repeat, or have no id, count each, and some of those
+that agree may get one copy more than the others; empty documents are taken
+once and add nothing; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -106,8 +114,8 @@ def _round_copies(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "size", "n", "base", "extra"]]
 
 
-def document_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """(doc_id, source, size, repeats, source_size, target, rate, copies), a row per distinct (doc_id, source, size)."""
+def _decisions(docs: DataFrame, weights, cap: int, rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, repeats, base, more): ``base`` copies of each of the ``repeats`` rows and one of ``more`` of them; and the sources' rows."""
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     sized = docs.select("doc_id", "source", word_count("text").alias("size"))
@@ -119,34 +127,71 @@ def document_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, rounds: in
     targets = source_targets(totals.select("source", "source_size"), weights, cap)
     targets = targets.join(scale, targets.source.eqNullSafe(scale.name)).drop("name")
     tilts = _newton(spark, work, groups, targets, cap, rounds, tolerance)
-    rate = F.when(F.col("full") & (F.col("size") > 0), F.lit(float(cap))).otherwise(
-        F.least(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(float(cap))))
-    rated = groups.join(tilts, groups.source.eqNullSafe(tilts.source)).select(groups.source, "size", "n", rate.alias("rate"), F.lit(cap).alias("cap"))
+    tilts = tilts.withColumn("cap", F.lit(cap))
+    rated = groups.join(tilts, groups.source.eqNullSafe(tilts.source)).select(groups.source, "size", "n", _rate(cap).alias("rate"), "cap")
     plan = rated.groupBy("source").applyInPandas(_round_copies, "source string, size long, n long, base int, extra long")
     plan = work.table(plan, "plan")
     k, p = keyed.alias("k"), plan.alias("p")
     joined = k.join(p, F.col("k.source").eqNullSafe(F.col("p.source")) & (F.col("k.size") == F.col("p.size"))).select("k.*", "p.n", "p.base", "p.extra")
-    buckets = F.ceil(F.col("n") / BUCKET).cast("long")
-    joined = joined.withColumn("buckets", buckets).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "buckets"))
-    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id"))
-    share = lambda b: F.floor(F.col("extra") * b / F.col("buckets"))
-    more = F.when(place <= share(F.col("bucket") + 1) - share(F.col("bucket")), 1).otherwise(0)
-    chosen = joined.withColumn("copies", F.col("base") + more).drop("n", "base", "extra", "buckets", "bucket")
+    joined = joined.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BUCKET).cast("long")))
+    # Rows before a key: those of the buckets before its own, and those before it there.
+    held = joined.groupBy("source", "size", "bucket").agg(F.sum("repeats").alias("rows"))
+    earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("bucket") == F.col("_bucket"))
+    inside = Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("repeats").over(inside), F.lit(0))
+    more = F.greatest(F.least(F.col("extra") - first, F.col("repeats")), F.lit(0))
+    chosen = joined.join(held, same).withColumn("more", more.cast("long"))
+    return chosen.select("doc_id", "source", "size", "repeats", "base", "more"), tilts
+
+
+def _rate(cap: int) -> F.Column:
+    tilted = F.least(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(float(cap)))
+    return F.when(F.col("full") & (F.col("size") > 0), F.lit(float(cap))).otherwise(tilted)
+
+
+def document_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+    """(doc_id, source, size, repeats, source_size, target, rate, copies): of the rows that agree in doc_id, source and size, ``repeats`` are taken ``copies`` times."""
+    chosen, tilts = _decisions(docs, weights, cap, rounds, tolerance)
+    parts = F.array(F.struct(F.col("more").alias("repeats"), (F.col("base") + 1).alias("copies")), F.struct((F.col("repeats") - F.col("more")).alias("repeats"), F.col("base").alias("copies")))
+    rows = chosen.select("doc_id", "source", "size", F.inline(F.filter(parts, lambda x: x.repeats > 0)))
     t = tilts.alias("t")
-    return chosen.alias("c").join(t, F.col("c.source").eqNullSafe(F.col("t.source"))).select(
-        "c.doc_id", "c.source", "c.size", "c.repeats", "t.source_size", "t.target", rate.alias("rate"), F.col("c.copies").cast("int").alias("copies"))
+    return rows.alias("c").join(t, F.col("c.source").eqNullSafe(F.col("t.source"))).select(
+        "c.doc_id", "c.source", "c.size", "c.repeats", "t.source_size", "t.target", _rate(cap).alias("rate"), F.col("c.copies").cast("int").alias("copies"))
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row as often as its copies say (0 to ``cap`` times); columns as in ``docs``."""
-    copies = document_copies(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, docs.doc_id.eqNullSafe(copies._id) & docs.source.eqNullSafe(copies._source) & (word_count(docs.text) == copies._size))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+    """The mix itself: every row as often as its copies say (0 to ``cap`` times); columns as in ``docs``.
+
+    Of each (source, size) one key at most has rows with one more copy than
+    others; its rows are numbered by input partition, then over the partitions.
+    """
+    chosen, _ = _decisions(docs, weights, cap, rounds, tolerance)
+    work = Workspace(docs.sparkSession, "mixed-rows")
+    chosen = work.table(chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "repeats", "base", "more"), "chosen")
+    same = lambda d, c: d["doc_id"].eqNullSafe(c["_id"]) & d["source"].eqNullSafe(c["_source"]) & (word_count(d["text"]) == c["_size"])
+    whole = chosen.where("more = 0 or more = repeats").select("_id", "_source", "_size", (F.col("base") + (F.col("more") > 0).cast("int")).alias("_copies")).where("_copies > 0")
+    plain = docs.join(whole, same(docs, whole)).select(*[docs[c] for c in docs.columns], "_copies")
+    split = chosen.where("more > 0 and more < repeats").select("_id", "_source", "_size", F.col("base").alias("_base"), F.col("more").alias("_more"))
+    tagged = docs.withColumn("_part", F.spark_partition_id())
+    # Written, so that both uses below see the same partition of each row.
+    some = work.table(tagged.join(split, same(tagged, split)), "split")
+    key = ["_id", "_source", "_size"]
+    counts = some.groupBy(*key, "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"{c}2") for c in (*key, "_part")], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    agree = F.col("_part") == F.col("_part2")
+    for c in key:
+        agree &= F.col(c).eqNullSafe(F.col(f"{c}2"))
+    place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64("text"))) + F.col("_before")
+    split_rows = some.join(offsets, agree).withColumn("_copies", F.col("_base") + (place <= F.col("_more")).cast("int")).where("_copies > 0")
+    rows = plain.unionByName(split_rows.select(*docs.columns, "_copies"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken, and source and copies."""
+    """A row per row of ``docs``: doc_id, size, source_size, target, taken, and source and copies."""
     rows = document_copies(docs)
     rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

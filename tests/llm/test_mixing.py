@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from lintlake.llm import mixing
 
 
@@ -62,5 +64,37 @@ def test_rows_follow_copies(spark):
     assert all(seen[i] == c for i, c in copies.items())
 
 
+@pytest.mark.parametrize("case", ["repeated", "no ids", "one hot row"])
+def test_repeated_rows_stay_near_the_target(spark, case):
+    """Twenty of each row, rows without ids, and a third of all rows alike: within 2 % of every target, in the digest and in the mix."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(20, 60), source) for i, source in enumerate(["a"] * 40 + ["b"] * 120 + ["c"] * 60)]
+    if case == "repeated":
+        rows *= 20
+    elif case == "no ids":
+        rows = [(None, t, s) for _, t, s in rows * 5]
+    else:
+        rows = rows * 4 + [(7777, "x " * 30, "b")] * 500
+    docs = spark.createDataFrame([(*r, 1.0, 3) for r in rows], "doc_id long, text string, source string, copies double, base int").repartition(6)
+    digest = mixing.mix_digest(docs).collect()
+    assert len(digest) == len(rows)
+    targets, taken, mixed = {r.source: r.target for r in digest}, defaultdict(int), defaultdict(int)
+    for r in digest:
+        assert r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    mix = mixing.mixed_rows(docs)
+    assert mix.columns == docs.columns
+    for r in mix.collect():
+        mixed[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - t) <= 0.02 * t for s, t in targets.items()), (taken, targets)
+    assert mixed == taken
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w w", "b"), (3, "w", "c")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_digest(docs).collect()}
+    assert got[1].size == 300_000 and got[1].taken == 300_000 and got[2].taken == 6 and got[3].taken == 3
+
+
 def test_empty(spark):
     assert mixing.mix_digest(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

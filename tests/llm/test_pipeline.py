@@ -26,7 +26,7 @@ def test_stages_chain(spark, tmp_path):
     assert all(s.columns == columns for s in seen[:-1])
     ids = [[r.doc_id for r in s.select("doc_id").collect()] for s in seen]
     assert set(ids[1]) <= set(ids[0]) and 0.7 * len(ids[0]) < len(ids[1]) < len(ids[0])
-    kept = {r.doc_id for r in near_dedup.near_duplicates(seen[1]).where("kept").select("doc_id").collect()}
+    kept = {r.doc_id for r in near_dedup.near_duplicates(seen[1], percent=corpus_pipeline.SIMILAR).where("kept").select("doc_id").collect()}
     assert sorted(ids[2]) == sorted(kept) and sorted(ids[3]) == sorted(ids[2])
     assert not any(pii.base_spans(r.text) for r in seen[3].collect())
     copies = {r.doc_id: r.copies for r in mixing.document_copies(seen[3]).collect()}
