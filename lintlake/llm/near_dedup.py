@@ -47,6 +47,8 @@ MARGIN = 0.095
 PASSES = 1
 #: Members that meet in one task.
 BLOCK, STAR = 256, 64
+#: Shingles, in all sets of one side, that meet in one task.
+BLOCK_SHINGLES = 1_000_000
 
 
 def _fingerprints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -123,67 +125,123 @@ def _verified(work: Workspace, pairs: DataFrame, texts: DataFrame, name: str, wi
     return linked
 
 
-def _across(members: DataFrame, least_share: float, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of different labels within open buckets: each minor member's most similar one, or all, each in the first band that both share.
+def _dealt(members: DataFrame, best_only: bool) -> DataFrame:
+    """Members dealt to blocks (i, j) of their buckets, minor members in one role and all members in the other.
 
-    ``members``: (band, key, node, n, signature, keys, label, minor, minors, total);
+    ``members``: (band, key, node, n, signature, keys, label, minor, minors, total, minor_n, total_n);
     minor members go to every block of the bucket (or to one, for the best), all members to every block of minors.
     """
-    blocks, of_minors = F.ceil(F.col("total") / BLOCK).cast("long"), F.ceil(F.col("minors") / BLOCK).cast("long")
+    of = lambda rows, shingles: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("long")
+    blocks, of_minors = of("total", "total_n"), of("minors", "minor_n")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     # Looking for the best one, a member meets one block of each of its buckets; the last pass leaves no block out.
     met = F.pmod(F.xxhash64("node", F.lit(2)), blocks) if best_only else spread(blocks)
     as_minor = members.where("minor").withColumns({"i": F.pmod(F.xxhash64("node"), of_minors), "role": F.lit(True)}).withColumn("j", met)
     as_any = members.withColumns({"j": F.pmod(F.xxhash64("node", F.lit(1)), blocks), "role": F.lit(False)}).withColumn("i", spread(of_minors))
     columns = ["band", "key", "i", "j", "role", "node", "n", "signature", "keys", "label", "minor"]
+    return as_minor.select(*columns).unionByName(as_any.select(*columns))
 
-    def compare(table: pa.Table) -> pa.Table:
-        band = table.column("band")[0].as_py()
-        role = table.column("role").to_numpy()
-        node, n, label, minor = (table.column(c).to_numpy() for c in ("node", "n", "label", "minor"))
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        left, right = np.flatnonzero(role), np.flatnonzero(~role)
-        out_a, out_b, out_share = [], [], []
-        for x in left:
-            ok = label[right] != label[x]
-            if not best_only:  # two minor members meet in both directions; one of them is enough
-                ok &= ~minor[right] | (node[right] > node[x])
-            ok &= np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent
-            some = right[ok]
-            if not some.size:
-                continue
+
+def _candidates(table: pa.Table, least_share: float, percent: int, once: bool):
+    """(x, places similar to x, shares) for every minor member x of a block; with ``once`` a pair counts in one direction and in the first band both share."""
+    band = table.column("band")[0].as_py()
+    role = table.column("role").to_numpy()
+    node, n, label, minor = (table.column(c).to_numpy() for c in ("node", "n", "label", "minor"))
+    marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    left, right = np.flatnonzero(role), np.flatnonzero(~role)
+    for x in left:
+        ok = label[right] != label[x]
+        if once:  # two minor members meet in both directions; one of them is enough
+            ok &= ~minor[right] | (node[right] > node[x])
+        ok &= np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent
+        some = right[ok]
+        if some.size:
             share = (marks[some] == marks[x]).mean(axis=1)
-            if best_only:
-                good = some[[share.argmax()]] if share.max() >= least_share else some[:0]
-            else:
-                some = some[share >= least_share]
-                good = some[(keys[some] == keys[x]).argmax(axis=1) == band]
-            out_a += [node[x]] * len(good)
-            out_b += node[good].tolist()
-            out_share += [float(share.max())] * len(good)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "share": pa.array(out_share, pa.float64())})
-
-    dealt = as_minor.select(*columns).unionByName(as_any.select(*columns))
-    found = dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long, share double")
-    if best_only:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+            some, share = some[share >= least_share], share[share >= least_share]
+            if once and some.size:
+                first = (keys[some] == keys[x]).argmax(axis=1) == band
+                some, share = some[first], share[first]
+            if some.size:
+                yield x, some, share
+
+
+def _best_pairs(members: DataFrame, least_share: float, percent: int) -> DataFrame:
+    """Pairs (a, b): each minor member's most similar one of another label."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, out = table.column("node").to_numpy(), []
+        for x, some, share in _candidates(table, least_share, percent, False):
+            out.append((node[x], node[some[share.argmax()]], float(share.max())))
+        a, b, share = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "share": pa.array(share, pa.float64())})
+
+    found = _dealt(members, True).groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long, share double")
+    found = found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+_MEMBER = "band int, key long, i long, j long, role boolean, node long, n long, signature binary, keys array<long>, label long, minor boolean"
+
+
+def _spanning_links(work: Workspace, members: DataFrame, texts: DataFrame, name: str, least_share: float, percent: int, width: int) -> DataFrame:
+    """Links (u, v) on full sets that join the components of open buckets; none that a block's other links make needless."""
+
+    def similar(table: pa.Table) -> pa.Table:
+        """The members of a block that have a similar one in it."""
+        kept = np.zeros(table.num_rows, bool)
+        for x, some, _ in _candidates(table, least_share, percent, True):
+            kept[x] = kept[some] = True
+        return table.filter(pa.array(kept)).select([f.split()[0] for f in _MEMBER.split(", ")])
+
+    def check(table: pa.Table) -> pa.Table:
+        texts, sets = table.column("text").combine_chunks(), []
+        for lo, hi in slices_of(np.asarray(pa.compute.binary_length(texts)), 4_000_000):
+            sets += shingle_sets(texts.slice(lo, hi - lo), width)
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        top = {x: x for x in label.tolist()}
+
+        def find(x):
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        out = []
+        for x, some, share in _candidates(table, least_share, percent, True):
+            for y in some[np.argsort(-share, kind="stable")]:
+                a, b = find(int(label[x])), find(int(label[y]))
+                if a != b:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both * 100 >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        top[max(a, b)] = min(a, b)
+                        out.append((int(node[x]), int(node[y])))
+        u, v = zip(*out) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    listed = work.table(_dealt(members, False).groupBy("band", "key", "i", "j").applyInArrow(similar, _MEMBER), f"{name}-listed")
+    met = listed.join(texts, "node")
+    links = work.table(met.groupBy("band", "key", "i", "j").applyInArrow(check, "u long, v long"), f"{name}-links")
+    work.drop(f"{name}-listed")
+    return links
+
+
 def _open_pass(work: Workspace, members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, name: str, best_only: bool, least_share: float, width: int, percent: int) -> DataFrame:
     """labels (node, label) after one pass over the buckets whose members have more than one label."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "key", "node", "n", "total", "label")
     labelled = work.table(labelled, f"{name}-labelled")
-    sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("held"))
-    open_ = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.max("held").alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = work.table(open_.select("band", "key", "main", "most"), f"{name}-open")
+    sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("held"), F.sum("n").alias("held_n"))
+    main = F.max_by(F.struct("label", "held", "held_n"), F.struct("held", "label"))
+    open_ = sizes.groupBy("band", "key").agg(main.alias("main"), F.sum("held_n").alias("total_n"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = work.table(open_.select("band", "key", F.col("main.label").alias("main"), F.col("main.held").alias("most"), "total_n", (F.col("total_n") - F.col("main.held_n")).alias("minor_n")), f"{name}-open")
     if not open_.limit(1).count():
         work.drop(f"{name}-labelled", f"{name}-open")
         return labels
     rest = labelled.join(open_, ["band", "key"]).join(nodes.select("node", "signature", "keys"), "node").withColumns({
         "minor": F.col("label") != F.col("main"), "minors": F.col("total") - F.col("most")})
-    links = _verified(work, _across(rest, least_share, percent, best_only), texts, name, width, percent)
+    if best_only:
+        links = _verified(work, _best_pairs(rest, least_share, percent), texts, name, width, percent)
+    else:
+        links = _spanning_links(work, rest, texts, name, least_share, percent, width)
     of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     joined = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
     again = work.table(connected_components(work, joined, name).select(F.col("node").alias("label"), F.col("label").alias("top")), f"{name}-again")

@@ -89,6 +89,29 @@ def test_open_buckets_are_finished(spark, monkeypatch):
     assert all(got[i] == c for i, (_, c) in want.items() if sizes[c] > 50)
 
 
+def test_rows_grow_with_the_members(spark, monkeypatch):
+    """One group of near copies with up to eight edits, most of them similar but not linked: rows that meet texts grow in proportion, not with the square."""
+    rng, made = random.Random(4), []
+    words = [f"w{i}" for i in range(800)]
+    texts, real = family(rng, words, 800, 8), near_dedup.Workspace.table
+
+    def counted(self, frame, name):
+        out = real(self, frame, name)
+        if name.endswith(("-pairs", "-needs", "-listed", "-links")):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup.Workspace, "table", counted)
+    most = []
+    for n in (200, 800):
+        made.clear()
+        rows = list(enumerate(texts[:n]))
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: c for i, (_, c) in plain(rows).items()}
+        most.append(max(made))
+    assert most[1] <= 8 * most[0] and most[1] <= 4 * 800
+
+
 def test_odd_ids(spark):
     rows = [(None, "same words in here now ok"), (7, "same words in here now ok"), (3, "same words in here now ok"), (3, "same words in here now ok"), (None, "alone in this one text yes"), (None, None)]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
