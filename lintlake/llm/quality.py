@@ -8,10 +8,14 @@ lower orders, discounts from counts of counts, context weights, and each
 order's probabilities joined with the next lower order's. A language's
 probabilities become one table of 8-bit codes.
 
-Scoring packs documents of a language into compressed blocks, and groups of
-blocks meet their language's codes by a join on (language, salt); no number of
-languages is too large. Only the codes of the pooled model are broadcast. It
-judges languages without a training row, and documents without a language.
+Scoring brings the codes to the texts: up to ``SHARED_BYTES`` of them, measured
+before, are broadcast, and documents are scored where they are read, so no text
+is exchanged. Beyond that, documents of a language go into compressed blocks,
+and groups of blocks meet their language's codes by a join on (language, salt);
+no number of languages is too large, and both ways give the same scores. The
+pooled model judges languages without a training row, and documents without a
+language. Letters outside ASCII share 12 classes, by code point modulo 12, so
+other scripts are told apart less well than marks and shapes are.
 
 Trusted rows are labelled quality 1 and toxic 0. A sample of each language's
 trusted rows, about ``TRAIN`` at most, is for training; every language with two
@@ -44,6 +48,10 @@ ORDER, TRAIN = 4, 10_000
 QUANTILE, BULK, SPREAD, SHRINK, PRIOR = 0.995, 0.95, 4.0, 1_000, 40
 #: Bytes of text in a block, and blocks that meet a language's codes in one group.
 BLOCK_BYTES, GROUP = 1_000_000, 8
+#: Bytes of compressed codes that may be broadcast, and languages a task keeps open.
+SHARED_BYTES, OPEN = 64_000_000, 12
+#: Training ids that may be broadcast.
+SHARED_IDS = 1_000_000
 #: The pooled model's name; no language has it.
 POOL = "*"
 #: Natural logarithms in an 8-bit code's step.
@@ -171,6 +179,8 @@ class QualityModel:
     def table(self, lang) -> np.ndarray:
         name = lang if lang in self.shards else POOL
         if name not in self._open:
+            if len(self._open) >= OPEN:
+                self._open.pop(next(x for x in self._open if x != POOL))
             self._open[name] = np.frombuffer(pa.decompress(self.shards[name], SYMBOLS**ORDER, codec="zstd", asbytes=True), np.uint8)
         return self._open[name]
 
@@ -224,17 +234,49 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, id long, rows binary")
 
 
-def measure(work: Workspace, docs: DataFrame, shards: DataFrame | None) -> DataFrame:
+def measure(work: Workspace, docs: DataFrame, shards: DataFrame | None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """``docs`` (with lang and text) and own_sum, pool_sum (of -log p) and n_symbols, by the codes in ``shards`` (lang, codes)."""
+    if shards is None or (shards.agg(F.sum(F.octet_length("codes"))).first()[0] or 0) <= shared_bytes:
+        return _measured_in_place(docs, shards)
+    return _measured_in_blocks(work, docs, shards)
+
+
+def _measured_in_place(docs: DataFrame, shards: DataFrame | None) -> DataFrame:
+    """A narrow pass over ``docs`` with all codes broadcast; their size is checked before."""
+    held = {r.lang: bytes(r.codes) for r in shards.collect()} if shards is not None else {}
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        model = QualityModel(shared.value)
+        for batch in batches:
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            sums, count = np.zeros((2, len(texts))), np.array([len(x or "") for x in texts], np.int64)
+            rows: dict = {}
+            for i, lang in enumerate(langs):
+                rows.setdefault(lang, []).append(i)
+            for lang, mine in rows.items() if model.shards else ():
+                names = [lang, POOL] if lang in model.shards else [POOL]
+                for a, b in slices_of(count[mine], 500_000):
+                    some = mine[a:b]
+                    found, _ = model.surprise(names, [texts[i] for i in some])
+                    sums[0, some], sums[1, some] = found[0], found[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums[0]), pa.array(sums[1]), pa.array(count)], [*batch.schema.names, "own_sum", "pool_sum", "n_symbols"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kept}, own_sum double, pool_sum double, n_symbols long")
+
+
+def _measured_in_blocks(work: Workspace, docs: DataFrame, shards: DataFrame) -> DataFrame:
+    """The same by a join of compressed blocks of documents with their language's codes."""
     spark = docs.sparkSession
     blocks = work.table(_blocks(docs), "blocks")
     sizes = blocks.groupBy("lang").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("salts"))
     # Languages of several groups only: their number is bounded by that of the groups.
-    large = F.broadcast(sizes.where("salts > 1 and lang is not null").withColumnRenamed("lang", "l"))
+    large = sizes.where("salts > 1 and lang is not null").withColumnRenamed("lang", "l")
     alone = blocks.where("lang is null").withColumn("salt", F.col("id"))
     dealt = blocks.join(large, F.col("lang") == F.col("l"), "left").where("lang is not null").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id"), "salts")).otherwise(F.lit(0).cast("long")))
     dealt = dealt.select("lang", "salt", "rows").unionByName(alone.select("lang", "salt", "rows"))
-    pool = shards.where(F.col("lang") == POOL).first() if shards is not None else None  # one row of 48^4 bytes at most
+    pool = shards.where(F.col("lang") == POOL).first()  # one row of 48^4 bytes at most
     shared = spark.sparkContext.broadcast(bytes(pool.codes) if pool else None)
     if pool:
         of = shards.where(F.col("lang") != POOL).join(sizes, "lang")
@@ -284,11 +326,12 @@ def sampled() -> F.Column:
 
 def train(work: Workspace, docs: DataFrame, trusted: DataFrame, cuts: DataFrame) -> DataFrame | None:
     """(lang, codes) of every language in the training sample and of the pool; None without one."""
-    hashed = docs.select("doc_id", "lang", "text").withColumn("hash", F.xxhash64("doc_id"))
-    # Only rows that the sample may hold move on; the broadcast has a row of numbers a language.
-    some = hashed.join(F.broadcast(cuts.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l"))).where(sampled())
-    # An inner join with distinct ids: a semi join would be pushed below the sample's filter and move all texts.
-    learn = some.join(trusted.select("doc_id"), "doc_id").select(F.coalesce("lang", F.lit(POOL)).alias("lang"), "text")
+    # The ids of the sample come first, so that texts stay where they are as long as the ids may be broadcast.
+    named = docs.select("doc_id", "lang").join(trusted, "doc_id").join(cuts.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")))
+    ids = work.table(named.where(sampled()).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "sample")
+    ids = F.broadcast(ids) if ids.count() <= SHARED_IDS else ids
+    learn = docs.select("doc_id", "lang", "text").join(ids, (F.col("doc_id") == F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")))
+    learn = learn.select(F.coalesce("lang", F.lit(POOL)).alias("lang"), "text")
     grams = work.table(count_grams(learn), "grams")
     if not grams.limit(1).count():
         return None
@@ -301,7 +344,7 @@ def train(work: Workspace, docs: DataFrame, trusted: DataFrame, cuts: DataFrame)
 def thresholds(work: Workspace, measured: DataFrame, trusted: DataFrame, cuts: DataFrame, quantile: float = QUANTILE, shrink: float = SHRINK) -> tuple[DataFrame, tuple[float, float]]:
     """(l, mid, high): median and threshold of log perplexity of each language, from all its trusted rows outside the training sample; and the pool's."""
     held = measured.where("n_symbols > 0").select("doc_id", "lang", "own_sum", "pool_sum", "n_symbols").join(trusted, "doc_id")
-    held = held.join(F.broadcast(cuts.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l"))).where(~sampled())
+    held = held.join(cuts.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).where(~sampled())
     # Exact quantiles from a histogram in thousandths: its rows are bounded by the codes, not by the corpus.
     x = lambda c: F.round(F.col(c) / F.col("n_symbols"), 3)
     both = F.array(F.struct(F.lit(False).alias("pool"), F.col("lang"), x("own_sum").alias("x")), F.struct(F.lit(True).alias("pool"), F.lit(None).cast("string").alias("lang"), x("pool_sum").alias("x")))
@@ -319,25 +362,31 @@ def thresholds(work: Workspace, measured: DataFrame, trusted: DataFrame, cuts: D
     return found.where("not pool").select(F.col("lang").alias("l"), "mid", high.alias("high")), (pool.mid, pool.mid + spread)
 
 
-def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN, quantile: float = QUANTILE) -> DataFrame:
-    """``docs`` with n_symbols, perplexity, threshold (a perplexity) and keep; docs must have doc_id, lang and text."""
+def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN, quantile: float = QUANTILE, shared_bytes: int = SHARED_BYTES, whole: bool = True) -> DataFrame:
+    """``docs`` with n_symbols, perplexity, threshold (a perplexity) and keep; docs must have doc_id, lang and text.
+
+    Without ``whole`` only doc_id and lang of ``docs`` come along, from the table of the measured numbers.
+    """
     work = Workspace(docs.sparkSession, "quality")
     trusted, cuts = trusted_rows(docs, labels, train_rows)
     trusted, cuts = work.table(trusted, "trusted"), work.table(cuts, "cuts")
-    measured = measure(work, docs, train(work, docs, trusted, cuts))
-    measured = work.table(measured, "measured")
-    work.drop("blocks")
+    shards = train(work, docs, trusted, cuts)
+    # Numbers are written, texts are not: rows that keep their columns are measured again on their way out.
+    numbers = measure(work, docs.select("doc_id", "lang", "text"), shards, shared_bytes).drop("text")
+    numbers = work.table(numbers, "numbers")
     work.release()
-    limits, (mid, high) = thresholds(work, measured, trusted, cuts, quantile)
-    rows = measured.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left").withColumns({"mid": F.coalesce("mid", F.lit(mid)), "high": F.coalesce("high", F.lit(high))})
+    limits, (mid, high) = thresholds(work, numbers, trusted, cuts, quantile)
+    rows = measure(work, docs, shards, shared_bytes) if whole else numbers
+    columns = docs.columns if whole else ["doc_id", "lang"]
+    rows = rows.join(limits, F.col("lang").eqNullSafe(F.col("l")), "left").withColumns({"mid": F.coalesce("mid", F.lit(mid)), "high": F.coalesce("high", F.lit(high))})
     some = F.col("n_symbols") > 0
     judged = (F.col("own_sum") + PRIOR * F.col("mid")) / (F.col("n_symbols") + PRIOR)
-    return rows.select(*docs.columns, "n_symbols", F.when(some, F.exp(F.col("own_sum") / F.col("n_symbols"))).alias("perplexity"),
+    return rows.select(*columns, "n_symbols", F.when(some, F.exp(F.col("own_sum") / F.col("n_symbols"))).alias("perplexity"),
                        F.exp(F.least("high", F.lit(700.0))).alias("threshold"), (some & (judged <= F.col("high"))).alias("keep"))
 
 
-def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs.select("doc_id", "lang", "text"), labels).drop("text")
+def quality_digest(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    return score(docs.select("doc_id", "lang", "text"), labels, whole=False, **options)
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -117,3 +117,29 @@ def test_every_language_has_its_model_and_threshold(spark):
     assert kept_share(digest, lambda r: r.doc_id < 100_000) > 0.97
     own = {k: [r.perplexity for r in digest if r.lang == k and r.doc_id < 100_000] for k in words}
     assert all(r.perplexity > max(own[r.lang]) for r in digest if r.doc_id >= 100_000)
+
+
+def test_both_ways_to_the_codes_give_the_same(spark):
+    """Codes broadcast, or blocks of documents joined with them; thresholds are plain quantiles of the trusted rows outside the sample."""
+    rng = random.Random(9)
+    rows = [(i, clean(rng, "en", rng.randint(5, 60)), ("en", "de", None)[i % 3]) for i in range(240)] + [(900, "x" * 70_000, "en"), (901, None, "de"), (902, "ab", "nowhere")]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, n double")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    key = lambda r: r.doc_id
+    place, blocks = (sorted(Q.quality_digest(docs, labels, train_rows=30, shared_bytes=n).collect(), key=key) for n in (Q.SHARED_BYTES, 0))
+    assert place == blocks
+    whole = sorted(Q.trusted_documents(docs, labels, train_rows=30).collect(), key=key)
+    assert [r.doc_id for r in whole] == [r.doc_id for r in place if r.keep] and whole[0].n == 1.0
+
+    trusted, cuts = Q.trusted_rows(docs, labels, 30)
+    outside = trusted.join(docs.select("doc_id", "lang"), "doc_id").join(cuts.withColumnRenamed("lang", "l"), Q.F.col("lang").eqNullSafe(Q.F.col("l"))).where(~Q.sampled())
+    of, limit = {}, {r.lang: math.log(r.threshold) for r in place}
+    measured = {r.doc_id: round(math.log(r.perplexity), 3) for r in place if r.perplexity}
+    for r in outside.collect():
+        of.setdefault(r.lang, []).append(measured[r.doc_id])
+    at = lambda xs, q: sorted(xs)[max(math.ceil(q * len(xs) - 1e-9), 1) - 1]
+    # The pool's quantiles are of other numbers, so only the order of distances is checked against them.
+    for lang, xs in of.items():
+        spread = (limit[lang] - at(xs, 0.5)) * (len(xs) + Q.SHRINK) - len(xs) * (at(xs, Q.QUANTILE) - at(xs, 0.5))
+        of[lang] = spread / Q.SHRINK
+    assert len(of) == 3 and max(of.values()) - min(of.values()) < 1e-6
