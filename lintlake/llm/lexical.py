@@ -12,8 +12,10 @@ best score. A first search over an eighth of the segments gives each item a
 floor that prunes the others. Bounds are the same integers as the scores, so
 the result is exact.
 
-Segments meet blocks of items by a join on a slot number; what crosses it are
-segments and items, and what leaves a segment are k rows an item at most.
+Segments meet blocks of items by a join on a slot number. Items of up to
+``ITEM_BYTES`` in all, measured before, are broadcast and segments stay where
+they are; beyond, segments are dealt to slots of ``SLOT_BYTES``, each of which
+gets every block of items. What leaves a segment are k rows an item at most.
 
 Defined cases: null and empty texts have no terms, and documents without a term
 are not counted; items without a term or without a match give no rows; rows
@@ -31,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintlake.llm.shared import LOWER, UPPER, Workspace, ragged, slices_of
+from lintlake.llm.shared import LOWER, UPPER, Workspace, parts_for, ragged, slices_of
 
 TOP = 10
 #: Bytes of text in a segment; items, and bytes of item text, in a block.
 SEGMENT, ITEMS, ITEM_BYTES = 16_000_000, 512, 2_000_000
+#: Bytes of postings in a slot.
+SLOT_BYTES = 64_000_000
 #: One of so many segments gives the floors.
 PROBE = 8
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -227,17 +231,21 @@ def _searching(n: int, total: int, k: int):
 def search(index: DataFrame, items: DataFrame, k: int = TOP, work: Workspace | None = None) -> DataFrame:
     """Each item's k best documents: item_id, rank, doc_id, score. ``index``: a table of ``build_index``."""
     work = work or Workspace(index.sparkSession, "lexical-search")
-    segments, n, total = index.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n, total, postings = index.agg(zero("docs"), zero("words"), zero(2 * F.octet_length("places"))).first()
     items = work.table(_item_terms(items.withColumn("item_id", F.col("item_id").cast("long"))), "items")
     items = work.table(_weighted(items, index, n), "weighted")
     rows, size = items.agg(F.count("*"), F.sum("bytes")).first()
     blocks = max(1, -(-rows // ITEMS), -(-(size or 0) // ITEM_BYTES))
-    slots = max(1, segments)
+    small = (size or 0) <= ITEM_BYTES
+    slots = 4 if small else parts_for(index.sparkSession, postings, SLOT_BYTES)
     slotted = index.withColumn("slot", F.pmod(F.xxhash64("segment"), F.lit(slots)).cast("int"))
     order = Window.partitionBy("item_row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
 
     def found(part: DataFrame, asked: DataFrame) -> DataFrame:
-        met = part.join(_blocks(asked, blocks, slots), "slot").select("ids", "lengths", "terms", "dfs", "places", "tfs", "items")
+        packed = _blocks(asked, blocks, slots)
+        met = part.join(F.broadcast(packed), "slot") if small else part.repartition(slots, "slot").join(packed, "slot")
+        met = met.select("ids", "lengths", "terms", "dfs", "places", "tfs", "items")
         return met.mapInArrow(_searching(n, total, k), "item_row long, item_id long, doc_id long, score long")
 
     def ranked(rows: DataFrame) -> DataFrame:

@@ -47,12 +47,14 @@ def corpus():
     return docs, items
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     docs, items = corpus()
     want = brute(docs, items)
-    for size in (16_000_000, 3_000, 200):
+    for size in (16_000_000, 300):
         assert got(spark, docs, items, segment_bytes=size) == want
-    assert got(spark, docs, items, k=3) == brute(docs, items, 3)
+    # Items beyond what may be broadcast, in several blocks.
+    monkeypatch.setattr(lexical, "ITEM_BYTES", 40)
+    assert got(spark, docs, items, k=3, segment_bytes=3_000) == brute(docs, items, 3)
 
 
 def test_bounds_leave_strata_out():
