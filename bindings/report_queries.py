@@ -178,7 +178,19 @@ add("W7_sarif_rules", lambda s, d: exports.sarif_rules(snapshot(s, d, False)),
     SNAPS + """ SELECT rule_id, message, CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'note' END AS level, category FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY file, line, "column", message, severity, category) AS k FROM a0) WHERE k = 1""")
 add("F9_severity_maps", lambda s, d: snapshot(s, d, False).groupBy("severity").agg(F.count("*").alias("n")).select("severity", r.severity_rank(F.lower("severity")).alias("rank"), r.sarif_level("severity").alias("level"), r.editor_severity("severity").alias("editor"), "n"),
     SNAPS + " SELECT severity, CAST(CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END AS INTEGER) AS rank, CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'note' END AS level, CAST(CASE severity WHEN 'ERROR' THEN 1 WHEN 'WARNING' THEN 2 ELSE 3 END AS INTEGER) AS editor, count(*) AS n FROM a0 GROUP BY severity")
-add("SK1_sarif", lambda s, d: exports.sarif_documents(snapshot(s, d, False).withColumn("run", F.col("category")), max_results=2000).select("run", "part", F.length("sarif").alias("size")))
+
+
+def _shown(s, d):
+    """Findings with fixes, snippets, confidence and a time, some of each missing; a run per category."""
+    return snapshot(s, d, False).withColumns({
+        "run": F.col("category"), "timestamp": F.expr("CASE WHEN line > 2 THEN cast(cast(timestamp AS date) AS string) END"),
+        "fix": F.expr("""CASE WHEN column = 0 THEN concat('say "', message, '"') END"""), "code_snippet": F.expr("CASE WHEN line = 1 THEN concat('a\\n\\tb ', file) END"),
+        "confidence": F.expr("CASE WHEN column < 3 THEN column / 4 END")})
+
+
+add("SK1_sarif", lambda s, d: exports.sarif_results(exports.sarif_documents(_shown(s, d), max_bytes=500_000, created_at="now")).drop("part"),
+    SNAPS + """ SELECT category AS run, rule_id, CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'note' END AS level, message, file, line, "column", CASE WHEN line = 1 THEN 'a' || chr(10) || chr(9) || 'b ' || file END AS snippet,
+ CASE WHEN "column" = 0 THEN 'say "' || message || '"' END AS fix, CASE WHEN "column" < 3 THEN "column" / 4 ELSE 0.8 END AS confidence, CASE WHEN line > 2 THEN CAST(CAST(timestamp AS DATE) AS VARCHAR) ELSE 'now' END AS timestamp FROM a0""")
 add("SK3_comparison_markdown", lambda s, d: exports.comparison_markdown(b.compare(snapshot(s, d, False), snapshot(s, d, True)), b.comparison_summary(snapshot(s, d, False), snapshot(s, d, True))))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lintlake.functions.language import sarif_language
 from lintlake.operators.report import sarif_level
@@ -19,72 +20,121 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     )
 
 
-def sarif_documents(findings: DataFrame, files: DataFrame | None = None, max_results: int = 10000) -> DataFrame:
-    """``(run, part, sarif)``: SARIF 2.1.0 logs, one per bounded part of a run.
+# What stands for a field that a finding lacks, and the text over a fix.
+SARIF_DEFAULTS = {
+    "rule_id": "unknown-rule", "severity": "WARNING", "message": "Static analysis finding", "file": "unknown", "line": 1, "column": 1, "confidence": 0.8, "category": "security",
+    "documentation_url": "", "cwe": "", "owasp": "",
+}
+FIX_HEADLINE = "Apply this fix"
 
-    ``findings(run, rule_id, file, line, column, severity, category, message)``.
-    A run of any size is spread over as many parts as it needs, so no document
-    and no task holds more than about ``max_results`` results.
-    """
-    sizes = findings.groupBy("run").agg(F.ceil(F.count("*") / max_results).cast("int").alias("_parts"))
-    parted = findings.join(sizes, "run").withColumn(
-        "part", F.pmod(F.xxhash64("rule_id", "file", "line", "column"), F.col("_parts")).cast("int")
-    )
-    location = F.struct(
-        F.struct(
-            F.struct(F.coalesce("file", F.lit("unknown")).alias("uri")).alias("artifactLocation"),
-            F.struct(F.coalesce("line", F.lit(1)).alias("startLine"), F.coalesce("column", F.lit(1)).alias("startColumn")).alias("region"),
-        ).alias("physicalLocation")
-    )
-    result = F.struct(
-        F.coalesce("rule_id", F.lit("unknown-rule")).alias("ruleId"),
-        sarif_level(F.coalesce("severity", F.lit("WARNING"))).alias("level"),
-        F.struct(F.coalesce("message", F.lit("Static analysis finding")).alias("text")).alias("message"),
-        F.array(location).alias("locations"),
-        F.struct(F.lit(0.8).alias("confidence")).alias("properties"),
-    )
-    rule = F.struct(
-        F.col("rule_id").alias("id"),
-        F.col("rule_id").alias("name"),
-        F.struct(F.col("message").alias("text")).alias("shortDescription"),
-        F.struct(sarif_level("severity").alias("level")).alias("defaultConfiguration"),
-        F.struct(F.coalesce("category", F.lit("security")).alias("category")).alias("properties"),
+
+def _sarif_columns(findings: DataFrame) -> DataFrame:
+    """Findings with all columns a log can show; those they lack are null."""
+    wanted = {
+        "run": "string", "rule_id": "string", "file": "string", "line": "int", "column": "int", "severity": "string", "category": "string", "message": "string", "confidence": "double",
+        "timestamp": "string", "fix": "string", "code_snippet": "string", "documentation_url": "string", "cwe": "string", "owasp": "string", "tags": "array<string>",
+    }
+    held = {c.lower() for c in findings.columns}
+    return findings.select(*[(F.col(c) if c in held else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+
+
+def _or_default(name: str):
+    return F.coalesce(name, F.lit(SARIF_DEFAULTS[name]))
+
+
+def _sarif_result(created_at):
+    """One result; a field that is null stays out of the JSON text."""
+    text = lambda c: F.struct(c.alias("text"))
+    region = F.struct(_or_default("line").alias("startLine"), _or_default("column").alias("startColumn"), F.when(F.col("code_snippet").isNotNull(), text(F.col("code_snippet"))).alias("snippet"))
+    place = F.struct(F.struct(F.struct(_or_default("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    applied = F.array(F.struct(text(F.col("fix")).alias("description")))
+    fixes = F.array(F.struct(text(F.lit(FIX_HEADLINE)).alias("description"), applied.alias("appliedFixes")))
+    return F.struct(
+        _or_default("rule_id").alias("ruleId"), sarif_level(_or_default("severity")).alias("level"), text(_or_default("message")).alias("message"), F.array(place).alias("locations"),
+        F.struct(F.coalesce("timestamp", created_at).alias("timestamp"), _or_default("confidence").alias("confidence")).alias("properties"),
+        F.when(F.col("fix").isNotNull(), fixes).alias("fixes"),
     )
-    # Rule texts first, so each part lists a rule once however often it hits.
-    rules = (
-        parted.groupBy("run", "part", "rule_id")
-        .agg(F.min(F.struct("file", "line", "column", "message", "severity", "category")).alias("_f"))
-        .select("run", "part", "rule_id", "_f.message", "_f.severity", "_f.category")
-        .groupBy("run", "part")
-        .agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+
+
+def _sarif_rule():
+    """One rule, from the struct ``_f`` of its first finding."""
+    of = lambda name: F.coalesce(F.col(f"_f.{name}"), F.lit(SARIF_DEFAULTS[name]))
+    return F.struct(
+        F.col("_rule").alias("id"), F.col("_rule").alias("name"), F.struct(of("message").alias("text")).alias("shortDescription"),
+        F.struct(of("message").alias("text")).alias("fullDescription"), F.struct(sarif_level(of("severity")).alias("level")).alias("defaultConfiguration"),
+        of("documentation_url").alias("helpUri"),
+        F.struct(of("category").alias("category"), of("cwe").alias("cwe"), of("owasp").alias("owasp"), F.coalesce("_f.tags", F.array().cast("array<string>")).alias("tags")).alias("properties"),
     )
-    results = parted.groupBy("run", "part").agg(F.sort_array(F.collect_list(result)).alias("results"))
-    documents = results.join(rules, ["run", "part"])
-    artifacts = F.array().cast("array<struct<location:struct<uri:string>,sourceLanguage:string>>")
+
+
+def sarif_documents(findings: DataFrame, files: DataFrame | None = None, max_bytes: int = 8_000_000, created_at: str | None = None, ranges: int = 256) -> DataFrame:
+    """``(run, part, sarif)``: SARIF 2.1.0 logs, one per part of about ``max_bytes`` of results and artifacts.
+
+    ``findings(run, rule_id, file, line, column, severity, category, message)``
+    may also have confidence, timestamp, fix, code_snippet, documentation_url,
+    cwe, owasp and tags. ``files(path, text)`` adds the files with findings as
+    artifacts with their contents, each once a run. Findings without a time get
+    ``created_at``, by default that of the job.
+
+    Where a part ends comes from running totals of bytes on two levels: over a
+    fixed number of ranges a run, then within each range. So a run of any size
+    is cut by many tasks, only (run, range) totals meet in a join, and no
+    document and no task holds more than ``max_bytes`` and one item.
+    """
+    at = F.lit(created_at) if created_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    found = _sarif_columns(findings)
+    order = ["file", "line", "column", "rule_id"]
+    facts = F.struct(*order, "message", "severity", "category", "documentation_url", "cwe", "owasp", "tags")
+    items = found.select("run", *order, F.lit(False).alias("is_file"), F.to_json(_sarif_result(at)).alias("json"), facts.alias("_f"))
     if files is not None:
-        listed = parted.select("run", "part", F.col("file").alias("path")).distinct().join(
-            files.select("path").distinct(), "path"
-        )
-        listed = listed.groupBy("run", "part").agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.struct(F.col("path").alias("uri")).alias("location"), sarif_language("path").alias("sourceLanguage")))
-            ).alias("_artifacts")
-        )
-        documents = documents.join(listed, ["run", "part"], "left")
-        artifacts = F.coalesce("_artifacts", artifacts)
-    document = F.struct(
-        F.lit(SARIF_SCHEMA).alias("$schema"),
-        F.lit("2.1.0").alias("version"),
-        F.array(
-            F.struct(
-                F.struct(F.struct(F.lit("lintlake").alias("name"), F.lit("1.0.0").alias("version"), F.col("rules")).alias("driver")).alias("tool"),
-                F.struct(F.concat_ws("/", "run", F.col("part").cast("string")).alias("id")).alias("automationDetails"),
-                F.col("results"),
-                artifacts.alias("artifacts"),
-            )
-        ).alias("runs"),
+        named = found.select("run", "file").where("file is not null").distinct().join(files.select(F.col("path").alias("file"), "text"), "file")
+        artifact = F.struct(F.struct(F.col("file").alias("uri")).alias("location"), F.struct(F.col("text")).alias("contents"), sarif_language("file").alias("sourceLanguage"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("line", "int"), ("column", "int"), ("rule_id", "string"))]
+        listed = named.select("run", "file", *none, F.lit(True).alias("is_file"), F.to_json(artifact).alias("json"))
+        items = items.unionByName(listed, allowMissingColumns=True)
+    items = items.withColumns({"range": F.pmod(F.xxhash64(*order, "is_file"), F.lit(ranges)), "bytes": F.octet_length("json") + 1})
+    totals = items.groupBy("run", "range").agg(F.sum("bytes").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("run").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(F.col("run").alias("_run"), F.col("range").alias("_range"), F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.sum("bytes").over(Window.partitionBy("run", "range").orderBy(*order, "is_file", "json").rowsBetween(Window.unboundedPreceding, -1))
+    summed = items.withColumn("inside", F.coalesce(inside, F.lit(0)))
+    parted = summed.join(starts, F.col("run").eqNullSafe(F.col("_run")) & (F.col("range") == F.col("_range")))
+    parted = parted.withColumn("part", F.floor((F.col("start") + F.col("inside")) / max_bytes).cast("int"))
+    lists = parted.groupBy("run", "part").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("is_file") == kind, F.struct(*order, "json")))), lambda x: x.json).alias(name)
+        for name, kind in (("results", False), ("artifacts", True))
+    ])
+    # A part lists a rule once however often it hits, with the text of its first finding there.
+    first = parted.where("not is_file").groupBy("run", "part", F.coalesce("rule_id", F.lit(SARIF_DEFAULTS["rule_id"])).alias("_rule")).agg(F.min("_f").alias("_f"))
+    rules = first.groupBy("run", "part").agg(F.to_json(F.array_sort(F.collect_list(_sarif_rule()))).alias("rules"))
+    rules = rules.select(F.col("run").alias("_run"), F.col("part").alias("_part"), "rules")
+    documents = lists.join(rules, F.col("run").eqNullSafe(F.col("_run")) & (F.col("part") == F.col("_part")), "left")
+    name = F.to_json(F.struct(F.concat_ws("/", "run", F.col("part").cast("string")).alias("id")))
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"lintlake","version":"1.0.0","rules":'
+    text = F.concat(
+        F.lit(head), F.coalesce("rules", F.lit("[]")), F.lit('}},"automationDetails":'), name,
+        F.lit(',"results":['), F.array_join("results", ","), F.lit('],"artifacts":['), F.array_join("artifacts", ","), F.lit("]}]}"),
+    )
+    return documents.select("run", "part", text.alias("sarif"))
+
+
+#: What :func:`sarif_results` reads of a log.
+_LOG = """runs array<struct<
+ results:array<struct<ruleId:string, level:string, message:struct<text:string>,
+  locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>, region:struct<startLine:int, startColumn:int, snippet:struct<text:string>>>>>,
+  properties:struct<timestamp:string, confidence:double>, fixes:array<struct<appliedFixes:array<struct<description:struct<text:string>>>>>>>>>"""
+
+
+def sarif_results(documents: DataFrame) -> DataFrame:
+    """The results in logs ``(run, part, sarif)``, a row each."""
+    runs = documents.select("run", "part", F.explode(F.from_json("sarif", _LOG).runs).alias("_run"))
+    rows = runs.select("run", "part", F.explode("_run.results").alias("r"))
+    place = F.col("r.locations")[0].physicalLocation
+    return rows.select(
+        "run", "part", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("message"),
+        place.artifactLocation.uri.alias("file"), place.region.startLine.alias("line"), place.region.startColumn.alias("column"), place.region.snippet.text.alias("snippet"),
+        F.col("r.fixes")[0].appliedFixes[0].description.text.alias("fix"), F.col("r.properties.confidence").alias("confidence"), F.col("r.properties.timestamp").alias("timestamp"),
     )
-    return documents.select("run", "part", F.to_json(document).alias("sarif"))
 
 
 def write_sarif(documents: DataFrame, path: str) -> None:

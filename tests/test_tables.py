@@ -115,14 +115,47 @@ def test_trend_of_an_empty_baseline(spark):
 
 def test_sarif_parts_hold_every_finding(spark, tmp_path):
     found = spark.createDataFrame([finding(i, c) for i in range(20) for c in range(5)], SCHEMA).withColumn("run", F.lit("r1"))
-    documents = exports.sarif_documents(found, max_results=30)
-    docs = [json.loads(r.sarif) for r in documents.collect()]
-    assert len(docs) == 4 and sum(len(d["runs"][0]["results"]) for d in docs) == 100
+    documents = exports.sarif_documents(found, max_bytes=8_000, created_at="t")
+    texts = [r.sarif for r in documents.collect()]
+    docs = [json.loads(t) for t in texts]
+    assert len(docs) > 2 and sum(len(d["runs"][0]["results"]) for d in docs) == 100
+    assert all(sum(len(json.dumps(r)) for r in d["runs"][0]["results"]) < 12_000 for d in docs)
     run = docs[0]["runs"][0]
     assert docs[0]["version"] == "2.1.0" and run["tool"]["driver"]["rules"][0]["defaultConfiguration"]["level"] == "error"
     assert run["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"].endswith(".py")
     exports.write_sarif(documents, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 4
+    assert spark.read.text(str(tmp_path / "out")).count() == len(docs)
+
+
+def test_sarif_fields(spark):
+    """Given fields appear, missing ones take their defaults or stay out; artifacts come once a run; a null run is a run."""
+    rows = [
+        ("r", "a", "x.py", 3, 4, "CRITICAL", "quality", "m", 0.25, "2024-01-01", 'f "1"', "s\n", ["t"]), ("r", "a", "x.py", 1, 1, "low", None, "first", None, None, None, None, None),
+        (None, None, None, None, None, None, None, None, None, None, None, None, None), ("q", "b", "none.py", 2, 2, "odd", "c", "m", None, None, None, None, None),
+    ]
+    schema = "run string, rule_id string, file string, line int, column int, severity string, category string, message string, confidence double, timestamp string, fix string, code_snippet string, tags array<string>"
+    files = spark.createDataFrame([("x.py", "x = 'é'\n"), ("y.py", "unused")], "path string, text string")
+    logs = {r.run: json.loads(r.sarif)["runs"][0] for r in exports.sarif_documents(spark.createDataFrame(rows, schema), files, created_at="now").collect()}
+    assert set(logs) == {"r", "q", None}
+    first, second = logs["r"]["results"]
+    assert first["properties"] == {"timestamp": "now", "confidence": 0.8} and first["level"] == "note" and "fixes" not in first
+    assert second["fixes"] == [{"description": {"text": exports.FIX_HEADLINE}, "appliedFixes": [{"description": {"text": 'f "1"'}}]}]
+    assert second["locations"][0]["physicalLocation"]["region"] == {"startLine": 3, "startColumn": 4, "snippet": {"text": "s\n"}} and second["level"] == "error"
+    assert logs["r"]["artifacts"] == [{"location": {"uri": "x.py"}, "contents": {"text": "x = 'é'\n"}, "sourceLanguage": "python"}] and logs["q"]["artifacts"] == []
+    rule = logs["r"]["tool"]["driver"]["rules"]
+    assert len(rule) == 1 and rule[0]["shortDescription"]["text"] == "first" and rule[0]["properties"] == {"category": "security", "cwe": "", "owasp": "", "tags": []}
+    empty = logs[None]["results"][0]
+    assert empty["ruleId"] == "unknown-rule" and empty["level"] == "warning" and empty["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "unknown"
+
+
+def test_hot_sarif_run_is_cut_by_many_tasks(spark):
+    """A third of all findings in one run: the running totals lie in as many ranges as asked for, and parts stay bounded."""
+    found = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('r', id % 200) END AS run", "'rule' AS rule_id", "concat('f', id % 500) AS file", "cast(id AS int) AS line",
+                                         "1 AS column", "'INFO' AS severity", "'c' AS category", "'m' AS message")
+    documents = exports.sarif_documents(found, max_bytes=20_000, created_at="t", ranges=16)
+    rows = exports.sarif_results(documents).groupBy("run", "part").count().collect()
+    assert sum(r["count"] for r in rows) == 6000 and sum(r.run == "hot" for r in rows) > 15
+    assert max(r["count"] for r in rows) < 130
 
 
 def test_snapshots_of_both_shapes(spark, tmp_path):
