@@ -137,7 +137,7 @@ add("M2_code_units", lambda s, d: st.code_units(corpus(s, d)))
 add("F7_function_metrics", lambda s, d: st.function_metrics(st.code_units(corpus(s, d))))
 add("F8_class_metrics", lambda s, d: st.class_metrics(st.code_units(corpus(s, d))))
 add("G12_E8_complexity_report", lambda s, d: st.complexity_report(corpus(s, d)))
-add("G13_compare_complexity", lambda s, d: st.compare_complexity(st.complexity_report(code_files(s, d)), code_files(s, d).select(F.regexp_replace("path", "9", "x").alias("path"))))
+add("G13_compare_complexity", lambda s, d: st.compare_complexity(st.complexity_report(corpus(s, d)), corpus(s, d).select(F.regexp_replace("path", "9", "x").alias("path"))))
 add("T3_complex_functions", lambda s, d: st.complex_functions(st.function_metrics(st.code_units(corpus(s, d)))))
 add("F21_complexity_advice", lambda s, d: st.complexity_recommendations(st.complexity_report(corpus(s, d))))
 add("W2_long_functions", lambda s, d: st.long_functions(corpus(s, d)))
@@ -220,7 +220,7 @@ add("R2_weak_crypto", lambda s, d: rw.fix_weak_crypto(corpus(s, d)).select("proj
 _BX = r"(\s+)except\s*:\s*\n(\s+)(pass|continue|break)"
 add("R2_bare_excepts", lambda s, d: rw.fix_bare_excepts(corpus(s, d)).select("project", "path", F.md5("text").alias("hash")),
     FILES + f" SELECT project, path, md5(regexp_replace(text, {q(_BX)}, '\\1except Exception as e:' || chr(10) || '\\2import logging' || chr(10) || '\\2logging.error(f\"Exception: {{e}}\")' || chr(10) || '\\2\\3', 'g')) AS hash FROM files")
-add("R5_rename_symbol", lambda s, d: rw.rename_symbol(corpus(s, d), st.symbols(corpus(s, d)), "helper7", "assist7").select("project", "path", "fixed"),
+add("R5_rename_symbol", lambda s, d: rw.rename_symbol(corpus(s, d), "helper7", "assist7").select("project", "path", "fixed"),
     FILES + ", " + _SYM + " SELECT DISTINCT project, path, regexp_replace(text, '\\bhelper7\\b', 'assist7', 'g') AS fixed FROM files JOIN (SELECT DISTINCT project, path FROM sym WHERE name = 'helper7') USING (project, path)")
 
 # ---- diagnostics -----------------------------------------------------------

@@ -106,8 +106,8 @@ def _plan(s, d):
 add("G7_action_plan", _plan,
     hits_sql(quality.ALL, files_cte(), _SCORES + _FACTS.replace("project || '/' || path AS project", "project")) + _ADVICE_SQL + f""" UNION ALL SELECT project, CAST({len(r.ADVICE)} + k AS INTEGER), 'medium', 'Refactor hotspot file: ' || path, 'High issue/complexity score (' || issue_count || ' issues, CC=' || cyclomatic_complexity || ').'
  FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, path) AS k FROM scores) WHERE k <= 3""")
-add("F16_fix_proposals", lambda s, d: r.fix_proposals(scan_rules(code_files(s, d), review.DETECT_ERRORS, around=0)).select("path", "rule", "line", "column", "has_auto_fix", "fix_code", "manual_steps"),
-    hits_sql(review.DETECT_ERRORS, files_cte("code")) + """SELECT path, rule, line, "column", auto_fixable AS has_auto_fix, CASE WHEN auto_fixable THEN CASE rule WHEN 'missingClosing' THEN l || ' }' WHEN 'missingSemicolon' THEN regexp_replace(l, '\\s+$', '') || ';' WHEN 'offByOne' THEN regexp_replace(l, '<=', '<') END END AS fix_code,
+add("F16_fix_proposals", lambda s, d: r.fix_proposals(scan_rules(corpus(s, d), review.DETECT_ERRORS, around=0)).select("path", "rule", "line", "column", "has_auto_fix", "fix_code", "manual_steps"),
+    hits_sql(review.DETECT_ERRORS, files_cte()) + """SELECT path, rule, line, "column", auto_fixable AS has_auto_fix, CASE WHEN auto_fixable THEN CASE rule WHEN 'missingClosing' THEN l || ' }' WHEN 'missingSemicolon' THEN regexp_replace(l, '\\s+$', '') || ';' WHEN 'offByOne' THEN regexp_replace(l, '<=', '<') END END AS fix_code,
  CASE WHEN NOT auto_fixable THEN 'Locate the issue at line ' || line || chr(10) || suggestion || chr(10) || 'Review the change in context' || chr(10) || 'Test the modified code' END AS manual_steps
  FROM (SELECT f.*, string_split(text, chr(10))[line] AS l FROM findings f JOIN files USING (project, path))""")
 add("J15_snippets", lambda s, d: scan_rules(document_files(s, d), security.CREDENTIALS, around=2).select("path", "rule", "line", "column", "snippet"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.text import content_hash, finding_id
 from lintlake.operators.report import dimension_counts, top_rules
+from lintlake.session import cut_lineage
 
 _FIELDS = ["rule_id", "severity", "file", "line", "column", "message", "status"]
 
@@ -151,7 +152,27 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return left.join(right, "path", "full").select("path", status.alias("status"), "old_hash", "new_hash")
 
 
-def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files of the later snapshot to scan again: an anti join on (path, hash)."""
+#: (path, hash) rows that may be broadcast: some hundred bytes each.
+SHARED_KEYS = 100_000
+
+
+def rows_of_keys(files: DataFrame, keys: DataFrame, shared_keys: int = SHARED_KEYS) -> DataFrame:
+    """Files, with ``content_hash``, whose (path, content_hash) is among ``keys``, a table that is cheap to count.
+
+    As long as the keys are few, they go to the texts, which stay where they
+    are; beyond that both sides are joined by key.
+    """
+    if keys.count() <= shared_keys:
+        keys = F.broadcast(keys)
+    return files.withColumn("content_hash", content_hash("text")).join(keys, ["path", "content_hash"], "left_semi")
+
+
+def changed_files(before: DataFrame, after: DataFrame, shared_keys: int = SHARED_KEYS) -> DataFrame:
+    """Files of the later snapshot to scan again, with their hash.
+
+    Paths and hashes are compared first, in a table in the checkpoint folder;
+    only then the texts of the changed files are looked up.
+    """
     seen = before.select("path", content_hash("text").alias("content_hash"))
-    return after.withColumn("content_hash", content_hash("text")).join(seen, ["path", "content_hash"], "left_anti")
+    keys = after.select("path", content_hash("text").alias("content_hash")).join(seen, ["path", "content_hash"], "left_anti")
+    return rows_of_keys(after, cut_lineage(keys.distinct()), shared_keys)

@@ -57,12 +57,14 @@ def log_file_lines(files: DataFrame, max_lines: int | None = None) -> DataFrame:
     """``files(path, text)`` to non-blank lines, numbered among themselves.
 
     ``max_lines`` is the caller's own option; the default reads whole files.
+    Further columns of ``files`` go with each line.
     """
     lines = F.filter(F.split("text", "\n", -1), lambda x: ~x.rlike(r"\A\s*\z"))
     if max_lines is not None:
         lines = F.slice(lines, 1, max_lines)
-    return files.select("path", F.posexplode(lines).alias("_at", "raw")).select(
-        "path", (F.col("_at") + 1).alias("line"), "raw"
+    rest = [c for c in files.columns if c not in ("path", "text")]
+    return files.select("path", *rest, F.posexplode(lines).alias("_at", "raw")).select(
+        "path", (F.col("_at") + 1).alias("line"), "raw", *rest
     )
 
 

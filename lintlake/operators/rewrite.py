@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import java_regex, lines_of
+from lintlake.operators.structure import holds_symbol
 
 # Name, pattern, replacement (with $1 groups), severity.
 PYTHON_REWRITES = [
@@ -191,13 +192,10 @@ def fix_all(files: DataFrame) -> DataFrame:
     return df.withColumn("applied", F.array_compact(F.array(*names))).drop(*names)
 
 
-def rename_symbol(files: DataFrame, uses: DataFrame, old: str, new: str) -> DataFrame:
-    """Whole-word rename in the files of ``uses(project, path, name)`` that hold the name."""
-    holders = uses.where(F.col("name") == old).select("project", "path").distinct()
+def rename_symbol(files: DataFrame, old: str, new: str) -> DataFrame:
+    """Whole-word rename in the files whose symbols include the name; a narrow pass over the texts."""
     pattern = java_regex(r"\b" + old + r"\b")
-    return files.join(holders, ["project", "path"], "left_semi").withColumn(
-        "fixed", F.regexp_replace("text", pattern, new.replace("$", r"\$"))
-    )
+    return files.where(holds_symbol(old)).withColumn("fixed", F.regexp_replace("text", pattern, new.replace("$", r"\$")))
 
 
 def line_changes(rewritten: DataFrame) -> DataFrame:

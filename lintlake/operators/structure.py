@@ -404,21 +404,30 @@ def import_edges(files: DataFrame) -> DataFrame:
     )
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Functions, classes and imports per file as (path, kind, name), by patterns."""
-    kinds = {
+def _symbol_names() -> dict[str, Column]:
+    """Per kind, the names a text declares or imports."""
+    return {
         "function": F.concat(_words(r"\bdef\s+(\w+)"), _words(r"\bfunction\s+(\w+)"), _words(r"\bfunc\s+(\w+)"), _words(r"\bfn\s+(\w+)")),
         "class": _words(r"\bclass\s+(\w+)"),
         "import": F.concat(*[_words(p) for p in IMPORT_PATTERNS]),
     }
 
+
+def symbols(files: DataFrame) -> DataFrame:
+    """Functions, classes and imports per file as (path, kind, name), by patterns."""
+
     def named(kind):
         return lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
 
-    entries = F.concat(*[F.transform(F.array_distinct(v), named(k)) for k, v in kinds.items()])
+    entries = F.concat(*[F.transform(F.array_distinct(v), named(k)) for k, v in _symbol_names().items()])
     return files.select(*KEYS, F.explode(entries).alias("_s")).select(*KEYS, "_s.kind", "_s.name")
 
 
+def holds_symbol(name: str) -> Column:
+    """Whether a file's text declares or imports the name: a test of the row, no join."""
+    return F.contains("text", F.lit(name)) & F.exists(F.concat(*_symbol_names().values()), lambda n: n == F.lit(name))
+
+
 def _python_symbols(batches):
     fields = ("project", "path", "kind", "name", "line", "end_line", "container", "docstring")
     schema = pa.schema([(n, pa.int32() if n.endswith("line") else pa.string()) for n in fields])

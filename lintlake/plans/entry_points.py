@@ -57,9 +57,8 @@ def check_dependencies(manifests: DataFrame) -> dict[str, DataFrame]:
 
 def analyze_logs(files: DataFrame, max_lines: int | None = None) -> dict[str, DataFrame]:
     """``files(path, text)``: entries, events, summary and advice; the format comes from each text."""
-    lines = logs.log_file_lines(files.select("path", "text"), max_lines)
-    formats = files.select("path", logs.detect_format("text").alias("format"))
-    entries = logs.parse_lines(lines.join(formats, "path"))
+    # The format is known before a text is cut into lines, so lines need no join.
+    entries = logs.parse_lines(logs.log_file_lines(files.select("path", "text", logs.detect_format("text").alias("format")), max_lines))
     summary = logs.summarize(entries)
     return {
         "entries": entries,

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import content_hash
+from lintlake.operators.baseline import rows_of_keys
 from lintlake.operators.scan import scan_rules
+from lintlake.session import cut_lineage
 
 SEEN = "path string, content_hash string, batch bigint"
 
@@ -24,15 +26,18 @@ def scan_new(spark: SparkSession, files: DataFrame, rules, seen_path: str, findi
     Both tables are partitioned by batch and written with partition overwrite,
     so a batch that is run again after a failure replaces its own rows; rows
     of the same batch do not count as seen.
+
+    New paths and hashes are found once, without texts. Texts are read where
+    they are; only files that a batch holds more than once are moved, to keep
+    one of each.
     """
-    seen = _read(spark, seen_path, SEEN).where(F.col("batch") != batch)
-    hashed = files.withColumn("content_hash", content_hash("text")).dropDuplicates(["path", "content_hash"])
-    fresh = hashed.join(seen.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
-    found = scan_rules(fresh, rules).drop("rule_order", "number")
-    for rows, path in (
-        (found, findings_path),
-        (fresh.select("path", "content_hash"), seen_path),
-    ):
+    seen = _read(spark, seen_path, SEEN).where(F.col("batch") != batch).select("path", "content_hash")
+    names = files.select("path", content_hash("text").alias("content_hash")).groupBy("path", "content_hash").agg(F.count("*").alias("copies"))
+    fresh = cut_lineage(names.join(seen, ["path", "content_hash"], "left_anti"))
+    once = rows_of_keys(files, fresh.where("copies = 1").drop("copies"))
+    repeated = rows_of_keys(files, fresh.where("copies > 1").drop("copies")).dropDuplicates(["path", "content_hash"])
+    found = scan_rules(once.unionByName(repeated), rules).drop("rule_order", "number")
+    for rows, path in ((found, findings_path), (fresh.select("path", "content_hash"), seen_path)):
         (
             rows.withColumn("batch", F.lit(batch).cast("bigint"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -60,6 +60,26 @@ def test_incremental_scan_skips_seen_files_and_survives_replay(spark, tmp_path):
     assert spark.read.parquet(seen).count() == 3
 
 
+def test_changed_files_move_no_text(spark):
+    """Few keys go to the texts; with no room for a broadcast both sides are joined, with equal rows."""
+    from lintlake.operators import baseline
+
+    before = spark.createDataFrame([(f"f{i}", f"text {i}") for i in range(50)], "path string, text string")
+    after = spark.createDataFrame([(f"f{i}", f"text {i % 47}") for i in range(60)] + [("f55", "text 8")] * 2, "path string, text string")
+    few, many = baseline.changed_files(before, after), baseline.changed_files(before, after, shared_keys=0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 15
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_incremental_scan_takes_repeated_files_once(spark, tmp_path):
+    schema = "project string, path string, language string, text string"
+    batch = spark.createDataFrame([("p", "a.py", "python", "password = 'abcdef'")] * 3 + [("p", "a.py", "python", "token = 'abcdefghij'"), ("p", "b.py", "python", "secret = 'abcdefghij'")], schema)
+    incremental.scan_new(spark, batch, security.CREDENTIALS, str(tmp_path / "seen"), str(tmp_path / "found"), 0)
+    assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "found")).collect()) == ["a.py", "a.py", "b.py"]
+    assert spark.read.parquet(str(tmp_path / "seen")).count() == 3
+
+
 def test_incremental_stream(spark, tmp_path):
     schema = "project string, path string, language string, text string"
     src = str(tmp_path / "src")
