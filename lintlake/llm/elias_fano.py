@@ -128,9 +128,12 @@ def levels() -> np.ndarray:
     return np.concatenate([[0.0], 10 ** (DECADES * (np.arange(LEVELS) / (LEVELS - 1) - 1))])
 
 
-def discount(counts: np.ndarray) -> float:
+def ones_twos(counts: np.ndarray) -> tuple[int, int]:
+    return int((counts == 1).sum()), int((counts == 2).sum())
+
+
+def discount(one: int, two: int) -> float:
     """Absolute discount from the numbers of counts 1 and 2, strictly between 0 and 1."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
     return min(0.95, (one + 1) / (one + 2 * two + 2))
 
 
@@ -152,17 +155,31 @@ class NgramTrie:
         self.sequences, self.codes, self.span = sequences, codes, span
 
     @classmethod
-    def build(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray, order: int = 3) -> "NgramTrie":
-        """From distinct (v, u, w) with training counts above 0, sorted by v, u, w."""
-        span = int(max(u.max(initial=0), w.max(initial=0))) + 1
-        contexts, vi = np.unique(v, return_inverse=True)
+    def build(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray, discounts: tuple[float, float] | None = None, shared: dict | None = None) -> "NgramTrie":
+        """From distinct (v, u, w) with training counts above 0, sorted by v, u, w.
+
+        ``discounts``: those of pairs and of trigrams; by default from these counts.
+        ``shared``: arrays (context, w, c2, total, kinds) for contexts whose trigrams
+        lie in other tries too: a row per pair that may be asked for, with its
+        count, the context's count and its number of successors in all tries.
+        """
+        if shared is None:
+            shared = {"context": v[:0], "w": w[:0], **{k: np.zeros(0, np.int64) for k in ("c2", "total", "kinds")}}
+        span = int(max(u.max(initial=0), w.max(initial=0), shared["w"].max(initial=0))) + 1
+        contexts = np.union1d(v, shared["context"])
+        vi, vs = np.searchsorted(contexts, v), np.searchsorted(contexts, shared["context"])
         key2 = vi.astype(np.uint64) * U(span) + w
-        pairs, at2 = np.unique(key2, return_inverse=True)
+        seen = shared["c2"] > 0
+        key_s = vs[seen].astype(np.uint64) * U(span) + shared["w"][seen]
+        pairs = np.union1d(key2, key_s)
+        at2 = np.searchsorted(pairs, key2)
         c2 = np.bincount(at2, counts, len(pairs))
+        c2[np.searchsorted(pairs, key_s)] = shared["c2"][seen]
         parent2 = (pairs // U(span)).astype(np.int64)
-        total2 = np.bincount(parent2, c2, len(contexts))
-        kinds2 = np.bincount(parent2, minlength=len(contexts))
-        d2 = discount(c2)
+        held2 = np.bincount(parent2, minlength=len(contexts))
+        total2, kinds2 = np.bincount(parent2, c2, len(contexts)), held2.copy()
+        total2[vs], kinds2[vs] = shared["total"], shared["kinds"]
+        d2, d3 = discounts or (discount(*ones_twos(c2)), discount(*ones_twos(counts)))
         p2 = quantise((c2 - d2) / total2[parent2]) if len(pairs) else np.zeros(0, np.uint8)
         back2 = quantise(d2 * kinds2 / np.maximum(total2, 1), 1)
         first2 = np.searchsorted(parent2, np.arange(len(contexts)))
@@ -170,11 +187,10 @@ class NgramTrie:
         befores, at_u = np.unique(key_u, return_inverse=True)
         total3 = np.bincount(at_u, counts, len(befores))
         kinds3 = np.bincount(at_u, minlength=len(befores))
-        d3 = discount(counts)
         p3 = quantise((counts - d3) / total3[at_u]) if len(counts) else np.zeros(0, np.uint8)
         back3 = quantise(d3 * kinds3 / np.maximum(total3, 1), 1)
         # Children of (u, v) take as many ids as v has successors.
-        sizes = kinds2.astype(np.uint64)
+        sizes = held2.astype(np.uint64)
         room = sizes[(befores // U(span)).astype(np.int64)]
         base3 = np.cumsum(room) - room
         relative = base3[at_u] + (at2 - first2[vi]).astype(np.uint64)

@@ -12,13 +12,19 @@ All probabilities sum to at most one over the known words and one unseen word.
    by word hash. A shard answers with the total count and an id, small for
    frequent words.
 3. Blocks send their distinct trigrams with training counts to shards by context
-   v. A context of very many occurrences is split by its preceding word; each
-   part is then a context of its own, so no shard grows with a frequent word.
-4. A shard sums counts, builds its trie, maps it, and answers the blocks'
-   trigrams with quantised a and b. Blocks add up their documents' scores.
+   v. A context of very many occurrences is split by its preceding word, so no
+   shard grows with a frequent word; its parts lie in shards of their own.
+4. A shard sums counts once and keeps its distinct trigrams with each block's
+   places among them. Discounts come from the corpus's counts of counts. Pairs
+   (v, w) of split contexts are summed over all parts, and the parts get the
+   pair's count and the context's numbers back, so a split changes no score.
+5. A shard builds its trie, maps it, and answers its distinct trigrams with
+   quantised a and b. Blocks add up their documents' scores.
+
+Scores do not depend on the number of shards, parts, blocks or cores.
 
 What moves is distinct per block, sorted and compressed: it grows with the
-corpus, and no part of it passes through the driver but four numbers.
+corpus, and no part of it passes through the driver but eight numbers.
 
 Defined cases: null text is empty and scores its end token; a null id is not
 held out; repeated rows count each time; with no training document the model
@@ -37,15 +43,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.elias_fano import NgramTrie, levels, quantise
+from lintlake.llm.elias_fano import NgramTrie, discount, levels, ones_twos, quantise
 from lintlake.llm.shared import Workspace, parts_for, slices_of, total_bytes
 from lintlake.llm.shingles import constants, mix, word_hashes
 
 U = np.uint64
 #: Bytes of text in a block and, on average, of the texts behind a shard.
 BLOCK_BYTES, SHARD_BYTES = 8_000_000, 12_000_000
-#: Occurrences from which a context is split by the word before it.
+#: Occurrences from which a context is split by the word before it; a part's number stands above the word's id.
 HOT = 500_000
+PART, MOST_PARTS = 42, 2**21
 END_HASH = constants(21, 1)[0]
 RARE, START, FIRST = 0, 1, 2
 FOLDS, HELD = 7, 2
@@ -126,7 +133,11 @@ def _vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
             "totals": pa.array([*([None] * len(parts)), totals], pa.list_(pa.int64()))})
 
     sent = blocks.select("block", "vocab", "train").mapInArrow(send, "block long, shard long, hashes binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(answer, "block long, shard long, counts binary, ids binary, totals array<long>")
+    return sent.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, "block long, shard long, counts binary, ids binary, totals array<long>")
+
+
+def _split(context: np.ndarray) -> np.ndarray:
+    return context >> U(PART) > 0
 
 
 class _Block:
@@ -153,13 +164,14 @@ class _Block:
         u = np.concatenate([[U(START)], v[:-1]])
         u[first] = START
         with np.errstate(over="ignore"):
-            parts = often // U(hot) + U(1)
-            context = v | (mix(u + U(77)) % parts) << U(44)
+            parts = np.minimum(often // U(hot) + U(1), U(MOST_PARTS))
+            context = v | np.where(parts > 1, mix(u + U(77)) % parts + U(1), U(0)) << U(PART)
             key = mix(mix(mix(context) + u) + w)
         keys, index, at = np.unique(key, return_index=True, return_inverse=True)
         train = np.bincount(at, np.repeat(~self.held, self.lengths), len(keys)).astype(np.uint32)
         context, u, w = context[index], u[index], w[index]
-        shard = (mix(context + U(5)) % U(shards)).astype(np.int64)
+        # Parts of split contexts have shards of their own, numbered after the others.
+        shard = (mix(context + U(5)) % U(shards)).astype(np.int64) + np.where(_split(context), shards, 0)
         order = np.lexsort((w, u, context, shard))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -189,36 +201,88 @@ def _mapped(trie: NgramTrie) -> NgramTrie:
     return NgramTrie.from_buffer(area)
 
 
-def shard_trie(context: np.ndarray, u: np.ndarray, w: np.ndarray, train: np.ndarray) -> NgramTrie:
-    """The trie of a shard's trigrams, which may repeat across blocks."""
-    some = np.flatnonzero(train)
-    order = some[np.lexsort((w[some], u[some], context[some]))]
-    c, x, y, n = context[order], u[order], w[order], train[order].astype(np.int64)
+_COUNTED = "shard long, context binary, u binary, w binary, train binary, blocks array<long>, places array<binary>, numbers array<long>"
+_PAIR = "shard long, context long, v long, w long, n long"
+_ANSWER = "block long, shard long, a binary, b binary"
+
+
+def _pairs_of(context: np.ndarray, w: np.ndarray, train: np.ndarray):
+    """(context, w, count) of the distinct pairs."""
+    order = np.lexsort((w, context))
+    c, y = context[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (y[1:] != y[:-1])])) if len(c) else np.zeros(0, np.int64)
+    return c[first], y[first], np.add.reduceat(train[order], first) if len(c) else train
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """A shard's distinct trigrams with their counts, where each block's requests lie among them, and counts of counts."""
+    pieces = [np.cumsum(expand(x), dtype=np.uint64) for x in table.column("context").to_pylist()]
+    ends = np.cumsum([len(x) for x in pieces])
+    context = np.concatenate(pieces)
+    u, w, train = (np.concatenate([expand(x) for x in table.column(c).to_pylist()]) for c in ("u", "w", "train"))
+    order = np.lexsort((w, u, context))
+    c, x, y = context[order], u[order], w[order]
     new = np.ones(len(order), bool)
     new[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    at = np.flatnonzero(new)
-    return NgramTrie.build(c[at], x[at], y[at], np.add.reduceat(n, at) if len(at) else n)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    c, x, y, n = c[first], x[first], y[first], np.add.reduceat(train[order].astype(np.int64), first)
+    whole = np.flatnonzero((n > 0) & ~_split(c))
+    numbers = [*ones_twos(_pairs_of(c[whole], y[whole], n[whole])[2]), *ones_twos(n)]
+    places = [squeeze(np.diff(p, prepend=0).astype(np.uint32)) for p in np.split(at, ends[:-1])]
+    return pa.table({
+        "shard": table.column("shard").slice(0, 1).combine_chunks(), "context": pa.array([squeeze(np.diff(c, prepend=U(0)))], pa.binary()),
+        **{k: pa.array([squeeze(z)], pa.binary()) for k, z in (("u", x), ("w", y), ("train", n.astype(np.uint64)))},
+        "blocks": pa.array([table.column("block").to_pylist()], pa.list_(pa.int64())), "places": pa.array([places], pa.list_(pa.binary())),
+        "numbers": pa.array([numbers], pa.list_(pa.int64()))})
+
+
+def _split_pairs(batches):
+    """(shard, context, v, w, count in this part) of the pairs of split contexts, those that are only asked for included."""
+    for batch in batches:
+        for shard, context, w, train in zip(*(batch.column(k).to_pylist() for k in ("shard", "context", "w", "train"))):
+            c, y, n = _pairs_of(np.cumsum(expand(context), dtype=np.uint64), expand(w), expand(train).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(z.astype(np.int64)) for z in (np.full(len(c), shard), c, c & U(2**PART - 1), y, n)], ["shard", "context", "v", "w", "n"])
+
+
+def _answers(row: dict, discounts: tuple[float, float], shared: dict | None = None) -> pa.Table:
+    """(block, shard, a, b) of one shard: its trie answers each distinct trigram once."""
+    c = np.cumsum(expand(row["context"]), dtype=np.uint64)
+    u, w, n = (expand(row[k]) for k in ("u", "w", "train"))
+    some = np.flatnonzero(n)
+    a, b = _mapped(NgramTrie.build(c[some], u[some], w[some], n[some].astype(np.int64), discounts, shared)).query(c, u, w)
+    a, b = quantise(a), quantise(b, 1)
+    places = [np.cumsum(expand(p), dtype=np.int64) for p in row["places"]]
+    return pa.table({
+        "block": pa.array(row["blocks"], pa.int64()), "shard": pa.array([row["shard"]] * len(places), pa.int64()),
+        "a": pa.array([squeeze(a[p]) for p in places], pa.binary()), "b": pa.array([squeeze(b[p]) for p in places], pa.binary())})
+
+
+def _answer_whole(discounts: tuple[float, float]):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _answers(batch.slice(i, 1).to_pylist()[0], discounts).to_batches()
+
+    return run
+
 
+def _answer_split(discounts: tuple[float, float]):
+    def run(row: pa.Table, pairs: pa.Table) -> pa.Table:
+        shared = {k: pairs.column(k).to_numpy() for k in ("context", "w", "c2", "total", "kinds")}
+        shared.update({k: shared[k].astype(np.uint64) for k in ("context", "w")})
+        return _answers(row.to_pylist()[0], discounts, shared)
 
-def _answer(table: pa.Table) -> pa.Table:
-    shard = table.column("shard")[0].as_py()
-    blocks = table.column("block").to_pylist()
-    context = [np.cumsum(expand(x), dtype=np.uint64) for x in table.column("context").to_pylist()]
-    u, w, train = ([expand(x) for x in table.column(c).to_pylist()] for c in ("u", "w", "train"))
-    trie = _mapped(shard_trie(*(np.concatenate(x) for x in (context, u, w, train))))
-    out_a, out_b = [], []
-    for c, x, y in zip(context, u, w):
-        a, b = trie.query(c, x, y)
-        out_a.append(squeeze(quantise(a)))
-        out_b.append(squeeze(quantise(b, 1)))
-    return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array([shard] * len(blocks), pa.int64()), "a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+    return run
 
 
 def unigrams(counts: np.ndarray, total: int, known: int, ones: int, twos: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(P(w), share of w in the rare class, P(rare class)) for words with these training counts."""
     if not total:
         return np.ones(len(counts)), np.ones(len(counts)), 1.0
-    d = min(0.95, (ones + 1) / (ones + 2 * twos + 2))
+    d = discount(ones, twos)
     unseen = d * known / total
     p = np.where(counts > 0, (counts.astype(np.float64) - d) / total, unseen)
     rare = unseen + ones * (1 - d) / total
@@ -253,20 +317,40 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD, hot:
     """A row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
-    shards = parts_for(spark, total_bytes(docs), shard_bytes)
+    size = total_bytes(docs)
+    shards, width = parts_for(spark, size, shard_bytes), parts_for(spark, size, BLOCK_BYTES)
     blocks = work.table(_blocks(docs, folds, held), "blocks")
     words = work.table(_vocabulary(blocks, shards), "words")
     work.release()
     sums = words.where("block = -1").select(*[F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(4)]).first()
     total, known, ones, twos = (int(x or 0) for x in sums)
     asked = words.where("block >= 0").select("block", "shard", "counts", F.col("ids").alias("word_ids"))
-    rows = blocks.select("block", "ids", "held", "lengths", "codes")
-    requests = rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+    # As many partitions as blocks or shards, whatever the session's number is.
+    rows = blocks.select("block", "ids", "held", "lengths", "codes").repartition(width, "block").groupBy("block")
+    requests = rows.cogroup(asked.repartition(width, "block").groupBy("block")).applyInArrow(
         _ask(hot, ones, shards), "shard long, block long, u binary, w binary, train binary, context binary")
-    answers = work.table(requests.groupBy("shard").applyInArrow(_answer, "block long, shard long, a binary, b binary"), "answers")
+    counted = work.table(requests.repartition(shards, "shard").groupBy("shard").applyInArrow(_count, _COUNTED), "counted")
     del requests
     work.release()
+    answers = work.table(_answered(work, counted, shards), "answers")
+    work.drop("counted", "pairs", "sums")
+    work.release()
     both = asked.withColumn("kind", F.lit(0)).unionByName(answers.select("block", "shard", F.col("a").alias("counts"), F.col("b").alias("word_ids"), F.lit(1).alias("kind")))
-    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
+    return rows.cogroup(both.repartition(width, "block").groupBy("block")).applyInArrow(
         _score(hot, shards, total, known, ones, twos),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _answered(work: Workspace, counted: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, a, b): shards of whole contexts answer where they lie, those of split contexts with their pairs' sums."""
+    split = counted.where(F.col("shard") >= shards)
+    pairs = work.table(split.select("shard", "context", "w", "train").mapInArrow(_split_pairs, _PAIR), "pairs")
+    sums = work.table(pairs.groupBy("v", "w").agg(F.sum("n").alias("c2")), "sums")
+    one2, two2, one3, two3 = (int(x or 0) for x in counted.select(*[F.sum(F.col("numbers")[i]) for i in range(4)]).first())
+    more = sums.agg(F.count_if(F.col("c2") == 1), F.count_if(F.col("c2") == 2)).first()
+    discounts = discount(one2 + more[0], two2 + more[1]), discount(one3, two3)
+    of_context = sums.where("c2 > 0").groupBy("v").agg(F.sum("c2").alias("total"), F.count("*").alias("kinds"))
+    known = pairs.join(sums.join(of_context, "v"), ["v", "w"]).select("shard", "context", "w", "c2", "total", "kinds")
+    whole = counted.where(F.col("shard") < shards).mapInArrow(_answer_whole(discounts), _ANSWER)
+    parts = split.repartition(shards, "shard").groupBy("shard").cogroup(known.repartition(shards, "shard").groupBy("shard"))
+    return whole.unionByName(parts.applyInArrow(_answer_split(discounts), _ANSWER))
