@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 
@@ -39,6 +40,20 @@ class EliasFano:
         zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))]).astype("<u4" if len(bits) < 1 << 32 else "<u8")
         return cls(n, universe, width, low, high, zeros)
 
+    @cached_property
+    def _directory(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the zeros and of the ones among the unary bits, made when a batch of queries is worth it."""
+        bits = np.unpackbits(self.high.view(np.uint8), bitorder="little")
+        narrow = np.uint32 if len(bits) < 1 << 32 else np.int64
+        return np.flatnonzero(bits == 0).astype(narrow), np.flatnonzero(bits).astype(narrow)
+
+    @cached_property
+    def _lows(self) -> np.ndarray:
+        return self._low(np.arange(self.n))
+
+    def _many(self, queries: int) -> bool:
+        return queries > self.n // 8
+
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.uint64)
@@ -51,6 +66,8 @@ class EliasFano:
 
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero bit (from 0)."""
+        if self._many(len(k)):
+            return self._directory[0][k].astype(np.int64)
         word = np.searchsorted(self.zeros, k, "right") - 1
         rest = (k - self.zeros[word]).astype(np.int64)
         bits, place = ~self.high[word], np.zeros(len(k), np.int64)
@@ -74,22 +91,25 @@ class EliasFano:
         last = self._select_zero(group) - group
         end = last.copy()
         low = wanted & U((1 << self.width) - 1)
+        low_at = self._lows.__getitem__ if self._many(len(wanted)) else self._low
         while True:
             # Halve each group until one place is left: the first whose low part is not below.
             alive = np.flatnonzero(first < last)
             if not alive.size:
                 break
             mid = (first[alive] + last[alive]) // 2
-            less = self._low(mid) < low[alive]
+            less = low_at(mid) < low[alive]
             first[alive[less]] = mid[less] + 1
             last[alive[~less]] = mid[~less]
         ok = np.flatnonzero(first < end)
-        same = ok[self._low(first[ok]) == low[ok]]
+        same = ok[low_at(first[ok]) == low[ok]]
         out[inside[same]] = first[same]
         return out
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """Values at places: the high part of the i-th element is the number of zeros before its one."""
+        if self._many(len(at)):
+            return ((self._directory[1][at].astype(np.int64) - at).astype(np.uint64) << U(self.width)) | self._lows[at]
         ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
         word = np.searchsorted(ones, at, "right") - 1
         rest = at - ones[word]
@@ -105,6 +125,12 @@ class EliasFano:
         return [self.n, self.universe, self.width], [self.low, self.high, self.zeros]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(values)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _by_runs(sequence: EliasFano, values: np.ndarray) -> np.ndarray:
     """Places of values, each run of equal values being looked up once."""
     if not len(values):
@@ -166,12 +192,12 @@ class NgramTrie:
         if shared is None:
             shared = {"context": v[:0], "w": w[:0], **{k: np.zeros(0, np.int64) for k in ("c2", "total", "kinds")}}
         span = int(max(u.max(initial=0), w.max(initial=0), shared["w"].max(initial=0))) + 1
-        contexts = np.union1d(v, shared["context"])
+        contexts = distinct(np.concatenate([v, shared["context"]]))
         vi, vs = np.searchsorted(contexts, v), np.searchsorted(contexts, shared["context"])
         key2 = vi.astype(np.uint64) * U(span) + w
         seen = shared["c2"] > 0
         key_s = vs[seen].astype(np.uint64) * U(span) + shared["w"][seen]
-        pairs = np.union1d(key2, key_s)
+        pairs = distinct(np.concatenate([key2, key_s]))
         at2 = np.searchsorted(pairs, key2)
         c2 = np.bincount(at2, counts, len(pairs))
         c2[np.searchsorted(pairs, key_s)] = shared["c2"][seen]
@@ -184,7 +210,9 @@ class NgramTrie:
         back2 = quantise(d2 * kinds2 / np.maximum(total2, 1), 1)
         first2 = np.searchsorted(parent2, np.arange(len(contexts)))
         key_u = vi.astype(np.uint64) * U(span) + u
-        befores, at_u = np.unique(key_u, return_inverse=True)
+        # Trigrams come sorted by v, u.
+        new = np.concatenate([[True], key_u[1:] != key_u[:-1]]) if len(key_u) else np.zeros(0, bool)
+        befores, at_u = key_u[new], np.cumsum(new) - 1
         total3 = np.bincount(at_u, counts, len(befores))
         kinds3 = np.bincount(at_u, minlength=len(befores))
         p3 = quantise((counts - d3) / total3[at_u]) if len(counts) else np.zeros(0, np.uint8)

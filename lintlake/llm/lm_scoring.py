@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.elias_fano import NgramTrie, discount, levels, ones_twos, quantise
+from lintlake.llm.elias_fano import NgramTrie, discount, distinct, levels, ones_twos, quantise
 from lintlake.llm.shared import Workspace, parts_for, slices_of, total_bytes
 from lintlake.llm.shingles import constants, mix, word_hashes
 
@@ -140,6 +140,18 @@ def _split(context: np.ndarray) -> np.ndarray:
     return context >> U(PART) > 0
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Marks of the rows that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _order(place: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order by (place, u, w); place counts contexts, so it and u share one key."""
+    return np.lexsort((w, place.astype(np.uint64) * (u.max(initial=U(0)) + U(1)) + u))
+
+
 class _Block:
     """A block with the global counts and ids of its words."""
 
@@ -167,15 +179,22 @@ class _Block:
             parts = np.minimum(often // U(hot) + U(1), U(MOST_PARTS))
             context = v | np.where(parts > 1, mix(u + U(77)) % parts + U(1), U(0)) << U(PART)
             key = mix(mix(mix(context) + u) + w)
-        keys, index, at = np.unique(key, return_index=True, return_inverse=True)
-        train = np.bincount(at, np.repeat(~self.held, self.lengths), len(keys)).astype(np.uint32)
+        by_key = np.argsort(key)
+        new = _starts(key[by_key])
+        index = by_key[new]
+        at = np.empty(len(key), np.int64)
+        at[by_key] = np.cumsum(new) - 1
+        train = np.bincount(at, np.repeat(~self.held, self.lengths), len(index)).astype(np.uint32)
         context, u, w = context[index], u[index], w[index]
-        # Parts of split contexts have shards of their own, numbered after the others.
-        shard = (mix(context + U(5)) % U(shards)).astype(np.int64) + np.where(_split(context), shards, 0)
-        order = np.lexsort((w, u, context, shard))
+        # Contexts in the order of their shards; parts of split contexts have shards of their own, numbered after the others.
+        names, place = np.unique(context, return_inverse=True)
+        of = (mix(names + U(5)) % U(shards)).astype(np.int64) + np.where(_split(names), shards, 0)
+        turn = np.empty(len(names), np.int64)
+        turn[np.argsort(of, kind="stable")] = np.arange(len(names))
+        order = _order(turn[place], u, w)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return shard[order], context[order], u[order], w[order], train[order], rank[at]
+        return of[place][order], context[order], u[order], w[order], train[order], rank[at]
 
 
 def _ask(hot: int, rare: int, shards: int):
@@ -207,11 +226,13 @@ _ANSWER = "block long, shard long, a binary, b binary"
 
 
 def _pairs_of(context: np.ndarray, w: np.ndarray, train: np.ndarray):
-    """(context, w, count) of the distinct pairs."""
-    order = np.lexsort((w, context))
+    """(context, w, count) of the distinct pairs, from rows sorted by context."""
+    if not len(context):
+        return context, w, train
+    order = np.argsort(np.cumsum(_starts(context)).astype(np.uint64) * (w.max() + U(1)) + w)
     c, y = context[order], w[order]
-    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (y[1:] != y[:-1])])) if len(c) else np.zeros(0, np.int64)
-    return c[first], y[first], np.add.reduceat(train[order], first) if len(c) else train
+    first = np.flatnonzero(_starts(c, y))
+    return c[first], y[first], np.add.reduceat(train[order], first)
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -220,10 +241,9 @@ def _count(table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(x) for x in pieces])
     context = np.concatenate(pieces)
     u, w, train = (np.concatenate([expand(x) for x in table.column(c).to_pylist()]) for c in ("u", "w", "train"))
-    order = np.lexsort((w, u, context))
+    order = _order(np.searchsorted(distinct(context[_starts(context)]), context), u, w)
     c, x, y = context[order], u[order], w[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    new = _starts(c, x, y)
     at = np.empty(len(order), np.int64)
     at[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
