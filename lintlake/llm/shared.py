@@ -47,10 +47,13 @@ class Workspace:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
     def release(self) -> None:
-        """Let Spark remove shuffle files of steps whose results are written; it does so when their plans are collected."""
+        """Let Spark remove shuffle files of steps whose results are written; it does so when their plans are collected.
+
+        The session holds the plan it ran last, so a query of one row takes its place first.
+        """
         gc.collect()
+        self.spark.range(1, numPartitions=1).collect()
         self.spark._jvm.System.gc()
 
 
