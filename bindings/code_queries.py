@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bindings.corpus import code_files, corpus, document_files, files_cte, page_files, q, read
 from bindings.dependency_queries import MANIFEST_SQL, manifest_files
 from bindings.metric_queries import LINES_SQL
-from bindings.rule_sql import hits_sql
+from bindings.rule_sql import hits_sql, repeats_sql
 from lintlake.functions import language as lang
 from lintlake.operators import diagnostics as dx
 from lintlake.operators import graph as g
@@ -141,7 +141,7 @@ add("G13_compare_complexity", lambda s, d: st.compare_complexity(st.complexity_r
 add("T3_complex_functions", lambda s, d: st.complex_functions(st.function_metrics(st.code_units(corpus(s, d)))))
 add("F21_complexity_advice", lambda s, d: st.complexity_recommendations(st.complexity_report(corpus(s, d))))
 add("W2_long_functions", lambda s, d: st.long_functions(corpus(s, d)))
-add("E1_project_findings", lambda s, d: project_findings(corpus(s, d), python_jobs=True).groupBy("project", "rule", "severity").agg(F.count("*").alias("findings")))
+add("E1_project_findings", lambda s, d: project_findings(corpus(s, d)).groupBy("project", "rule", "severity").agg(F.count("*").alias("findings")))
 add("RS19_compliance", lambda s, d: compliance(s, d))
 
 
@@ -155,7 +155,8 @@ _DUP = LINES + f""", kept AS (SELECT project, path, pos, regexp_replace(trim(l),
  SELECT md5(b) AS block, count(*) AS copies, count(DISTINCT project || '/' || path) AS files FROM blocks WHERE b IS NOT NULL GROUP BY b HAVING count(*) > 1"""
 add("D3_duplicate_blocks", lambda s, d: duplicate_blocks(corpus(s, d), _K), _DUP)
 
-add("RS10_repeated_text", lambda s, d: repeated_text(corpus(s, d)))
+add("RS10_repeated_text", lambda s, d: repeated_text(corpus(s, d)),
+    "WITH " + files_cte() + repeats_sql() + ' SELECT project, path, language, line, "column" FROM repeats')
 
 # ---- rewrites --------------------------------------------------------------
 _DU = {r"for (\w+) in (.*):\n\s+(\[\w+\])\.append\(\1\)"}

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from bindings.corpus import code_files, corpus, document_files, files_cte, q, read
 from bindings.metric_queries import CYCLOMATIC_SQL, count_all_sql
-from bindings.rule_sql import hits_sql
+from bindings.rule_sql import hits_sql, repeats_as_findings, repeats_sql
 from lintlake.operators import baseline as b
 from lintlake.operators import metrics as m
 from lintlake.operators import report as r
 from lintlake.operators.scan import dedup_findings, scan_rules
-from lintlake.plans.analysis import comprehensive_security, project_findings
+from lintlake.plans.analysis import comprehensive_security, project_findings, quality_findings
 from lintlake.rules import quality, review, security
 from lintlake.rules.model import rules_table
 from lintlake.sinks import exports
@@ -31,13 +31,15 @@ SHOWN_SQL = 'project, path, engine, rule, severity, category, message, line, "co
 _DEDUP = """, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, path, rule, line, "column" ORDER BY rule_order) AS k FROM findings) WHERE k = 1)"""
 
 add("RS15_D1_comprehensive_security", lambda s, d: comprehensive_security(corpus(s, d)).select(*SHOWN),
-    hits_sql(security.COMPREHENSIVE, files_cte(), _DEDUP) + f"SELECT {SHOWN_SQL} FROM firsts")
+    hits_sql(security.COMPREHENSIVE, files_cte(), _DEDUP + repeats_sql()) + f"SELECT {SHOWN_SQL} FROM firsts UNION ALL " + repeats_as_findings(SHOWN_SQL))
 add("RS16_code_review", lambda s, d: scan_rules(corpus(s, d), review.CODE_REVIEW).select(*SHOWN, "suggestion", "auto_fixable"),
     hits_sql(review.CODE_REVIEW, files_cte()) + f"SELECT {SHOWN_SQL}, suggestion, auto_fixable FROM findings")
 _BASE = quality.ALL + review.REVIEW + review.LANGUAGE_REVIEW
 _ALL = _BASE + security.COMPREHENSIVE
-_PROJECT = f""", found AS (SELECT {SHOWN_SQL}, suggestion, auto_fixable FROM findings WHERE rule_order < {len(_BASE)}
- UNION ALL SELECT {SHOWN_SQL}, suggestion, auto_fixable FROM (SELECT *, row_number() OVER (PARTITION BY project, path, rule, line, "column" ORDER BY rule_order) AS k FROM findings WHERE rule_order >= {len(_BASE)} AND language IN ('javascript', 'typescript', 'python')) WHERE k = 1)"""
+_SCRIPTED = "language IN ('javascript', 'typescript', 'python')"
+_PROJECT = repeats_sql(_SCRIPTED) + f""", found AS (SELECT {SHOWN_SQL}, suggestion, auto_fixable FROM findings WHERE rule_order < {len(_BASE)}
+ UNION ALL SELECT {SHOWN_SQL}, suggestion, auto_fixable FROM (SELECT *, row_number() OVER (PARTITION BY project, path, rule, line, "column" ORDER BY rule_order) AS k FROM findings WHERE rule_order >= {len(_BASE)} AND {_SCRIPTED}) WHERE k = 1
+ UNION ALL {repeats_as_findings(SHOWN_SQL)[:-len(" FROM repeats")]}, NULL, false FROM repeats)"""
 PROJECT_SQL = hits_sql(_ALL, files_cte(), _PROJECT)
 add("RS17_project_findings", lambda s, d: project_findings(corpus(s, d)).select(*SHOWN), PROJECT_SQL + f"SELECT {SHOWN_SQL} FROM found")
 
@@ -49,7 +51,7 @@ def base(s, d):
     return scan_rules(corpus(s, d), quality.ALL)
 
 
-add("G1_E2_directory_report", lambda s, d: r.directory_report(corpus(s, d), base(s, d)),
+add("G1_E2_directory_report", lambda s, d: r.directory_report(corpus(s, d), quality_findings(corpus(s, d))),
     hits_sql(quality.ALL, files_cte(), """, g AS (SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(rule) = 0 THEN 'rule' ELSE 'total' END AS dimension,
  coalesce(severity, category, language, rule, '*') AS key, count(*) AS count FROM findings GROUP BY GROUPING SETS ((severity), (category), (language), (rule), ()))""")
     + "SELECT * FROM g UNION ALL SELECT 'files', 'analyzed', count(*) FROM files")

@@ -7,6 +7,7 @@ lacks a regex feature, the branch states the same hits in another way.
 from __future__ import annotations
 
 from bindings.corpus import q
+from lintlake.rules.security import REPEAT_RULE
 
 # rule (with engine where needed) -> equivalent pattern without lookaround.
 REWRITTEN = {
@@ -96,6 +97,29 @@ def _branch(i, rule) -> str:
  WHERE {keep}{first}"""
 
 
+def repeats_sql(where: str = "true") -> str:
+    """CTEs up to ``repeats``: (.{50,})\\1 from left to right, without overlaps, the longest at each place.
+
+    Grams of 50 that are equal at a distance n, in a row from lo to last, repeat n characters at the places lo to last - n + 50.
+    """
+    return f""", wanted AS MATERIALIZED (SELECT project, path, language, text FROM files WHERE {where} AND length(text) >= 100),
+grams AS MATERIALIZED (SELECT path, p, hash(substr(text, p, 50)) AS g FROM (SELECT path, text, unnest(range(1, length(text) - 48)) AS p FROM wanted)),
+few AS MATERIALIZED (SELECT path, g, p FROM grams SEMI JOIN (SELECT path, g FROM grams GROUP BY ALL HAVING count(*) > 1) USING (path, g)),
+apart AS (SELECT a.path, a.p, b.p - a.p AS n FROM few a JOIN few b ON a.path = b.path AND a.g = b.g AND b.p - a.p >= 50),
+runs AS (SELECT path, n, min(p) AS lo, max(p) - n + 50 AS hi FROM (SELECT *, p - row_number() OVER (PARTITION BY path, n ORDER BY p) AS i FROM apart) GROUP BY path, n, i),
+spans AS MATERIALIZED (SELECT * FROM runs WHERE hi >= lo),
+repeats AS (WITH RECURSIVE taken(path, p, n) AS (SELECT path, min(lo), arg_min(n, (lo, -n)) FROM spans GROUP BY path
+ UNION ALL SELECT s.path, min(greatest(lo, t.p + 2 * t.n)), arg_min(s.n, (greatest(lo, t.p + 2 * t.n), -s.n)) FROM spans s JOIN taken t ON s.path = t.path AND s.hi >= t.p + 2 * t.n GROUP BY s.path)
+ SELECT project, path, language, CAST(len(string_split(left(text, p - 1), chr(10))) AS INTEGER) AS line, CAST(length(string_split(left(text, p - 1), chr(10))[-1]) + 1 AS INTEGER) AS "column" FROM taken JOIN wanted USING (path))"""
+
+
+def repeats_as_findings(columns: str) -> str:
+    """SELECT of ``repeats`` as findings, with the columns listed."""
+    r = REPEAT_RULE
+    fixed = {"engine": q(r.engine), "rule": q(r.rule), "severity": q(r.severity), "category": q(r.category), "message": q(r.message)}
+    return "SELECT " + ", ".join(fixed.get(c, c) for c in columns.split(", ")) + " FROM repeats"
+
+
 def hits_sql(rules, cte: str, extra: str = "") -> str:
     """``WITH files, hits, findings`` for a list of rules."""
     rules = list(rules)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.rules import security
+
 KEYS = ["project", "path", "language"]
 
 
@@ -148,3 +150,24 @@ def repeated_text(files: DataFrame) -> DataFrame:
     """Texts of 50 or more characters repeated at once, with line and column."""
     wanted = files.where(F.length("text") >= 100).select(*KEYS, "text")
     return wanted.mapInArrow(_repeats, "project string, path string, language string, line int, column int")
+
+
+def repeat_findings(files: DataFrame) -> DataFrame:
+    """Repeats as findings of the rule that reports them, without a ``match``."""
+    rule, nothing = security.REPEAT_RULE, F.lit(None).cast("string")
+    return repeated_text(files).select(
+        *KEYS,
+        F.lit(rule.engine).alias("engine"),
+        F.lit(rule.rule).alias("rule"),
+        F.lit(rule.category).alias("category"),
+        nothing.alias("sub_category"),
+        F.lit(rule.severity).alias("severity"),
+        F.lit(rule.message).alias("message"),
+        nothing.alias("suggestion"),
+        "line",
+        "column",
+        F.lit("").alias("match"),
+        F.lit(False).alias("auto_fixable"),
+        F.lit(None).cast("int").alias("number"),
+        F.lit(-1).alias("rule_order"),
+    )

@@ -8,15 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.language import normalize_language
+from lintlake.operators.duplicates import repeat_findings
 from lintlake.operators.scan import dedup_findings, scan_rules
+from lintlake.operators.structure import long_functions
 from lintlake.rules import quality, review, security
 
 SECURITY_LANGUAGES = ["javascript", "typescript", "python"]
 
 
 def comprehensive_security(files: DataFrame) -> DataFrame:
-    """All security and smell packs in one pass; first engine keeps a spot."""
-    return dedup_findings(scan_rules(files, security.COMPREHENSIVE))
+    """All security and smell packs in one pass, and repeats; first engine keeps a spot."""
+    return dedup_findings(scan_rules(files, security.COMPREHENSIVE)).unionByName(repeat_findings(files))
+
+
+def quality_findings(files: DataFrame, rules=quality.ALL) -> DataFrame:
+    """Findings of the base packs, with functions that are too long."""
+    return scan_rules(files, rules).unionByName(long_functions(files))
+
+
+def sonar_style(files: DataFrame) -> DataFrame:
+    return scan_rules(files, security.SONAR).unionByName(repeat_findings(files))
 
 
 def code_review(files: DataFrame, include_suggestions: bool = True) -> DataFrame:
@@ -51,14 +62,14 @@ _PLAIN = quality.ALL + _widened(review.REVIEW + review.LANGUAGE_REVIEW)
 _PROJECT = _PLAIN + _widened(security.COMPREHENSIVE, SECURITY_LANGUAGES)
 
 
-def project_findings(files: DataFrame, python_jobs: bool = False) -> DataFrame:
+def project_findings(files: DataFrame, python_jobs: bool = True) -> DataFrame:
     """Base, review and (for scripted languages) security findings of a project.
 
     All packs run in one pass over the files. The base packs see the language
     as detected, the others without variants such as ``-test``. Only security
     findings are merged per spot; the rest keeps its rule number in the key, so
-    one shuffle of the findings serves both. ``python_jobs`` adds the
-    long-function rule, which needs balanced bodies.
+    one shuffle of the findings serves both. ``python_jobs`` adds functions
+    that are too long (every scripted file) and repeats (where security runs).
     """
     found = scan_rules(files, _PROJECT)
     keys = ["project", "path", "rule", "line", "column", "_own"]
@@ -71,9 +82,9 @@ def project_findings(files: DataFrame, python_jobs: bool = False) -> DataFrame:
         .select(*[c if c in keys else F.col("_f")[c].alias(c) for c in found.columns])
     )
     if python_jobs:
-        from lintlake.operators.structure import long_functions
-
-        merged = merged.unionByName(long_functions(files))
+        scripted = [y for x in SECURITY_LANGUAGES for y in (x, *VARIANTS[x])]
+        repeats = repeat_findings(files.where(F.col("language").isin(scripted)))
+        merged = merged.unionByName(long_functions(files)).unionByName(repeats)
     return merged.withColumn("language", normalize_language("language"))
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 
 from lintlake.operators import baseline, dependencies, diagnostics, logs, metrics, report, rewrite, structure, taint
 from lintlake.operators.scan import scan_rules
-from lintlake.plans.analysis import project_findings
+from lintlake.plans.analysis import project_findings, quality_findings
 from lintlake.rules import quality
 
 
 def analyze_project(files: DataFrame, deps: DataFrame | None = None, toolchain: DataFrame | None = None) -> dict[str, DataFrame]:
     """Findings, diagnostics, metrics, hotspots, scores, gate, advice and plan of a project."""
-    findings = project_findings(files, python_jobs=True)
+    findings = project_findings(files)
     diags = diagnostics.all_diagnostics(files)
     facts = report.project_facts(findings, diags, toolchain)
     sizes = files.select("project", "path", "language", metrics.file_complexity("text").alias("cyclomatic"), metrics.halstead("text").alias("_h"))
@@ -37,7 +37,7 @@ def analyze_project(files: DataFrame, deps: DataFrame | None = None, toolchain:
 
 
 def generate_report(files: DataFrame) -> DataFrame:
-    return report.directory_report(files, scan_rules(files, quality.ALL).unionByName(structure.long_functions(files)))
+    return report.directory_report(files, quality_findings(files))
 
 
 def check_dependencies(manifests: DataFrame) -> dict[str, DataFrame]:

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lintlake.operators.scan import dedup_findings, glob_regex, scan_rules, search_pattern
-from lintlake.plans.analysis import comprehensive_security, project_findings
+from lintlake.operators.duplicates import repeated_text
+from lintlake.plans.analysis import comprehensive_security, project_findings, quality_findings, sonar_style
 from lintlake.rules import extra, quality, review, security
 from lintlake.rules.model import Rule, rules_table
 
@@ -153,3 +154,17 @@ def test_search_and_globs(make_files):
     files = make_files([("src/a.py", "python", "x = 1\ny = token"), ("src/b.js", "javascript", "token")])
     assert [r.path for r in search_pattern(files, "token", "*.py").collect()] == ["src/a.py"]
     assert re.search(glob_regex("src/**/*.js"), "src/x/y.js") and not re.search(glob_regex("src/*.js"), "src/x/y.js")
+
+
+def test_long_functions_and_repeats_are_findings(make_files):
+    unit = "0123456789" * 5 + "xyz"
+    py = "def big():\n" + "    a()\n" * 60 + "x = '" + unit + unit + "'\n"
+    files = make_files([("b.py", "python", py), ("c.go", "go", unit + unit)])
+    rules = lambda frame: sorted((r.path, r.line, r.column) for r in frame.collect() if r.rule == "sonar-duplicate-code")
+    lines = [(r.path, r.line, r.column) for r in repeated_text(files).collect()]
+    assert ("b.py", 62, 6) in lines and ("c.go", 1, 1) in lines
+    assert rules(comprehensive_security(files)) == rules(sonar_style(files)) == sorted(lines)
+    project = project_findings(files).collect()
+    assert sorted((r.path, r.line, r.column) for r in project if r.rule == "sonar-duplicate-code") == sorted(x for x in lines if x[0] == "b.py")
+    assert [(r.path, r.line) for r in project if r.rule == "max-lines-per-function"] == [("b.py", 1)]
+    assert [r.path for r in quality_findings(files).collect() if r.rule == "max-lines-per-function"] == ["b.py"]
