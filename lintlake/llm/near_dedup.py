@@ -294,7 +294,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row for each group of near duplicates: the one with the smallest id. Rows without an id stay."""
+    """``docs`` with one row for each group of near duplicates: the one with the smallest id. Rows without an id stay.
+
+    Rows that repeat in id and text are one document. Different texts under one id all stay once the id stays.
+    """
     kept = near_duplicates(docs.select("doc_id", "text"), **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

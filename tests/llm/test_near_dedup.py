@@ -121,6 +121,12 @@ def test_odd_ids(spark):
     assert [r.doc_id for r in left if r.doc_id is not None] == [3]
 
 
+def test_different_texts_under_one_id_stay(spark):
+    rows = [(1, "one text of its own that nothing else is like"), (1, "quite another story told with other words here"), (1, "quite another story told with other words here"), (2, None), (2, None)]
+    left = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == sorted({(i, t or "") for i, t in rows})
+
+
 def test_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
