@@ -162,6 +162,36 @@ def code_files(spark, d) -> DataFrame:
     )
 
 
+# A long unit of each kind, its length by the row's key: text before, repeated line and text after.
+LONG_UNITS = {
+    "javascript": [("function task@C(a) {\n", "  if (a > 1 && a < 9) { go(a); }\n", 90, "}\n"), ("const run@C = (a) => {\n", "  step(a);\n", 70, "};\n")],
+    "python": [("class Job@C:\n    def run(self):\n", "        self.total = self.total + 1\n", 90, "\n    # end\n"),
+               ("def stop@C(job):\n", "    if job.total:\n        job.total = 0\n", 60, "done()\n")],
+    "go": [("func Walk@C(n int) {\n", "  for i := 0; i < n; i++ { visit(i) }\n", 80, "}\n")],
+}
+_LONG_ENDINGS = {"javascript": ".js", "python": ".py", "go": ".go"}
+
+
+def _long_text(parts, literal) -> str:
+    pieces = [f"{literal(a)}, repeat({literal(line)}, cast(c_custkey % {n} as int)), {literal(z)}" for a, line, n, z in parts]
+    return f"replace(concat({', '.join(pieces)}), '@C', cast(c_custkey as varchar(20)))"
+
+
+def _long_columns(literal) -> list[str]:
+    case = lambda value: "CASE c_custkey % 3 WHEN 0 THEN " + value("javascript") + " WHEN 1 THEN " + value("python") + " ELSE " + value("go") + " END"
+    return [
+        "'long' AS project",
+        f"concat('long/c', cast(c_custkey as varchar(20)), {case(lambda x: literal(_LONG_ENDINGS[x]))}) AS path",
+        f"{case(literal)} AS language",
+        f"{case(lambda x: _long_text(LONG_UNITS[x], literal))} AS text",
+    ]
+
+
+def long_files(spark, d) -> DataFrame:
+    """A file with long functions per customer."""
+    return read(spark, d, "customer").selectExpr(*_long_columns(sql_string))
+
+
 def corpus(spark, d) -> DataFrame:
     return document_files(spark, d).unionByName(page_files(spark, d)).unionByName(code_files(spark, d))
 
@@ -185,9 +215,12 @@ CODE_FILES_SQL = f"""SELECT 'team' || CAST(o_custkey % 7 AS VARCHAR) AS project,
  FROM orders, (SELECT {_sql_list(STATEMENTS)} AS l) s"""
 
 
+LONG_FILES_SQL = f"SELECT {', '.join(_long_columns(q))} FROM customer"
+
+
 def files_cte(*kinds: str) -> str:
     """``files AS MATERIALIZED (...)`` over the asked kinds, all by default."""
-    by_kind = {"documents": DOCUMENT_FILES_SQL, "pages": PAGE_FILES_SQL, "code": CODE_FILES_SQL}
+    by_kind = {"documents": DOCUMENT_FILES_SQL, "pages": PAGE_FILES_SQL, "code": CODE_FILES_SQL, "long": LONG_FILES_SQL}
     kinds = kinds or ("documents", "pages", "code")
     body = "\nUNION ALL\n".join(by_kind[k] for k in kinds)
     return f"files AS MATERIALIZED ({body})"

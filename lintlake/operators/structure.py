@@ -126,7 +126,7 @@ def _extract(batches):
 _ARROW_UNIT = pa.schema(
     [(n, pa.int32() if n == "line" else pa.string()) for n in ("project", "path", "language", "kind", "name", "line", "body")]
 )
-_HEAD_WORDS = r"function|=>|def\s|class\s|func\s|fn\s|\w\s*\("
+_HEAD_WORDS = r"function|=>|def\s|class\s|func\s|fn\s|\w\s*\(|=\s*\("
 
 
 def code_units(files: DataFrame) -> DataFrame:
