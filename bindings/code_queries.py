@@ -246,12 +246,34 @@ add("R4_yaml_repairs", lambda s, d: rw.repair_yaml(corpus(s, d)).where("text <>
 add("R3_line_changes", lambda s, d: rw.line_changes(rw.repair_yaml(corpus(s, d))),
     FILES + f" SELECT project, path, CAST(pos AS INTEGER) AS line, b AS before, l AS after FROM ({_YAML}) WHERE b <> l")
 add("R3_unified_diffs", lambda s, d: rw.unified_diffs(rw.repair_yaml(corpus(s, d))))
-add("R2_targeted_fixes", lambda s, d: rw.fix_all(corpus(s, d).where("language = 'python'")).where("size(applied) > 0").select("project", "path", "text", F.array_join("applied", ",").alias("applied")))
 _CRYPTO = "replace(replace(text, 'hashlib.md5(', 'hashlib.sha256('), 'hashlib.sha1(', 'hashlib.sha256(')"
 add("R2_weak_crypto", lambda s, d: rw.fix_weak_crypto(corpus(s, d)).select("project", "path", F.md5("text").alias("hash")), FILES + f" SELECT project, path, md5({_CRYPTO}) AS hash FROM files")
 _BX = r"(\s+)except\s*:\s*\n(\s+)(pass|continue|break)"
 add("R2_bare_excepts", lambda s, d: rw.fix_bare_excepts(corpus(s, d)).select("project", "path", F.md5("text").alias("hash")),
     FILES + f" SELECT project, path, md5(regexp_replace(text, {q(_BX)}, '\\1except Exception as e:' || chr(10) || '\\2import logging' || chr(10) || '\\2logging.error(f\"Exception: {{e}}\")' || chr(10) || '\\2\\3', 'g')) AS hash FROM files")
+_EXCEPTS = "regexp_replace({t}, " + q(_BX) + ", '\\1except Exception as e:' || chr(10) || '\\2import logging' || chr(10) || '\\2logging.error(f\"Exception: {{e}}\")' || chr(10) || '\\2\\3', 'g')"
+# Quoted values hold no quote, so equal quotes at both ends are two branches. No Python file of these tables opens a resource to close it.
+_QUOTED = """(?:"[^"']{%d,}"|'[^"']{%d,}')"""
+_SECRETS = [(r"(?i)(\bpassword\b\s*=\s*)" + _QUOTED % (4, 4), r'\1os.environ.get("PASSWORD")'), (r"(?i)(\b(?:api_key|apikey|api_secret)\b\s*=\s*)" + _QUOTED % (8, 8), r'\1os.environ.get("API_KEY")'),
+            (r"(?i)(\b(?:secret|token)\b\s*=\s*)" + _QUOTED % (8, 8), r'\1os.environ.get("SECRET")'), (r"(?i)(\b[A-Z_]*(SECRET|KEY|PASSWORD)[A-Z_]*\s*=\s*)" + _QUOTED % (4, 4), r'\1os.environ.get("\2")')]
+
+
+def _import_sql(text, module, wanted):
+    return f"CASE WHEN {wanted} AND NOT contains({text}, 'import {module}') THEN 'import {module}' || chr(10) || {text} ELSE {text} END"
+
+
+def _fixes_sql():
+    """All targeted fixers, one layer a step."""
+    layers = [f"p{i} AS (SELECT *, regexp_replace(p{i - 1}, {q('(?m)' + p)}, {q(r.replace('$', chr(92)))}, 'g') AS p{i} FROM p{i - 1})" for i, (p, r) in enumerate(rw.PRINT_FIXES, 1)]
+    layers.append(f"s0 AS (SELECT *, {_import_sql('p3', 'logging', 'contains(p3, ' + q('logging') + ')')} AS s0 FROM p3)")
+    layers += [f"s{i} AS (SELECT *, regexp_matches(s{i - 1}, {q(p)}) AS h{i}, regexp_replace(s{i - 1}, {q(p)}, {q(r)}, 'g') AS s{i} FROM s{i - 1})" for i, (p, r) in enumerate(_SECRETS, 1)]
+    layers.append(f"t2 AS (SELECT *, {_import_sql('s4', 'os', '(h1 OR h2 OR h3 OR h4)')} AS t2 FROM s4), t3 AS (SELECT *, {_EXCEPTS.format(t='t2')} AS t3 FROM t2), t4 AS (SELECT *, {_CRYPTO.replace('(text', '(t3')} AS t4 FROM t3)")
+    sql = FILES + ", p0 AS (SELECT project, path, text AS t0, text AS p0 FROM files WHERE language = 'python'), " + ", ".join(layers)
+    named = ["CASE WHEN s0 <> t0 THEN 'print_to_logging' END", "CASE WHEN t2 <> s0 THEN 'hardcoded_secrets' END", "CASE WHEN t3 <> t2 THEN 'bare_except' END", "CASE WHEN t4 <> t3 THEN 'weak_crypto' END"]
+    return sql + f" SELECT project, path, t4 AS text, concat_ws(',', {', '.join(named)}) AS applied FROM t4 WHERE concat_ws(',', {', '.join(named)}) <> ''"
+
+
+add("R2_targeted_fixes", lambda s, d: rw.fix_all(corpus(s, d).where("language = 'python'")).where("size(applied) > 0").select("project", "path", "text", F.array_join("applied", ",").alias("applied")), _fixes_sql())
 add("R5_rename_symbol", lambda s, d: rw.rename_symbol(corpus(s, d), "helper7", "assist7").select("project", "path", "fixed"),
     FILES + ", " + _SYM + " SELECT DISTINCT project, path, regexp_replace(text, '\\bhelper7\\b', 'assist7', 'g') AS fixed FROM files JOIN (SELECT DISTINCT project, path FROM sym WHERE name = 'helper7') USING (project, path)")
 

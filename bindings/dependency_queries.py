@@ -210,11 +210,11 @@ add("J3_known_vulnerabilities", lambda s, d: dep.known_vulnerabilities(uses(s, d
 add("J4_package_health", lambda s, d: dep.package_health(uses(s, d), registry(s, d), AS_OF),
     f"WITH {USES_SQL}, {REGISTRY_SQL}, {_HEALTH} SELECT *, CAST(CASE WHEN is_abandoned THEN 30 ELSE 0 END AS INTEGER) AS risk_score FROM health")
 add("J5_typosquats", lambda s, d: dep.typosquat_candidates(uses(s, d), registry(s, d)), f"WITH {USES_SQL}, {REGISTRY_SQL}, {_TYPO} SELECT * FROM typo")
-add("G16_E12_supply_chain", lambda s, d: dep.supply_chain_report(uses(s, d), feed(s, d), registry(s, d), AS_OF),
-    f"""WITH {USES_SQL}, {REGISTRY_SQL}, {FEED_SQL}, {_HEALTH}, {_TYPO}, u AS (SELECT DISTINCT manifest, ecosystem, name, regexp_replace(spec, '^[\\^~]+', '') AS version FROM uses)
+_SUPPLY = f"""WITH {USES_SQL}, {REGISTRY_SQL}, {FEED_SQL}, {_HEALTH}, {_TYPO}, u AS (SELECT DISTINCT manifest, ecosystem, name, regexp_replace(spec, '^[\\^~]+', '') AS version FROM uses)
  SELECT manifest, ecosystem, count(*) AS total_packages, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM feed f WHERE f.ecosystem = u.ecosystem AND f.name = u.name AND f.version = u.version)) AS vulnerable_packages,
  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM health h WHERE h.is_abandoned AND h.ecosystem = u.ecosystem AND h.name = u.name)) AS abandoned_packages,
- CAST(sum(CASE WHEN ecosystem = 'PyPI' THEN coalesce((SELECT count(*) FROM typo t WHERE t.ecosystem = u.ecosystem AND t.name = u.name), 0) ELSE 0 END) AS BIGINT) AS typosquatting_risks FROM u GROUP BY manifest, ecosystem""")
+ CAST(sum(CASE WHEN ecosystem = 'PyPI' THEN coalesce((SELECT count(*) FROM typo t WHERE t.ecosystem = u.ecosystem AND t.name = u.name), 0) ELSE 0 END) AS BIGINT) AS typosquatting_risks FROM u GROUP BY manifest, ecosystem"""
+add("G16_E12_supply_chain", lambda s, d: dep.supply_chain_report(uses(s, d), feed(s, d), registry(s, d), AS_OF), _SUPPLY)
 add("J14_package_managers", lambda s, d: dep.detect_managers(inventory(s, d)), f"WITH {INVENTORY_SQL}, {_MAN}, {_DETECT} SELECT * FROM detected")
 add("J14_installer", lambda s, d: dep.detect_installer(inventory(s, d)),
     f"WITH {INVENTORY_SQL}, ins(rank, file_name, install_command) AS (VALUES {','.join(f'({i},{q(a)},{q(b)})' for i, (a, b) in enumerate(INSTALLER_FILES))}) SELECT project, arg_min(file_name, rank) AS file_name, arg_min(install_command, rank) AS install_command FROM inventory JOIN ins ON entry = file_name GROUP BY project")
@@ -223,4 +223,8 @@ add("F22_install_issues", lambda s, d: dep.install_issues(inventory(s, d)),
     f"""WITH {INVENTORY_SQL}, {_MAN}, {_DETECT}, {_FOLD} SELECT project, 'missing' AS type, 'error' AS severity, manager, 'Dependencies not installed (' || (SELECT any_value(shown) FROM fold f WHERE f.language = x.language) || ')' AS message, 'Run ''' || install_command || ''' to install dependencies' AS suggestion FROM detected x
  WHERE NOT EXISTS (SELECT 1 FROM inventory i JOIN fold f USING (entry) WHERE i.project = x.project AND f.language = x.language)
  UNION ALL SELECT DISTINCT project, 'recommendation', 'hint', NULL, 'No virtual environment detected for Python project', 'Consider creating a virtual environment (python -m venv venv)' FROM detected x WHERE language = 'python' AND NOT EXISTS (SELECT 1 FROM inventory i WHERE i.project = x.project AND entry IN ({','.join(map(q, VENV_FOLDERS))}))""")
-add("SK5_supply_chain_markdown", lambda s, d: exports.supply_chain_markdown(dep.supply_chain_report(uses(s, d), feed(s, d), registry(s, d), AS_OF)))
+_MANIFEST = "'## 文件：' || manifest || chr(10) || '- 生态系统：' || ecosystem || chr(10) || '- 总包数：' || total_packages"
+add("SK5_supply_chain_markdown", lambda s, d: exports.supply_chain_markdown(dep.supply_chain_report(uses(s, d), feed(s, d), registry(s, d), AS_OF)),
+    f"""SELECT '# 供应链安全扫描报告' || chr(10) || chr(10) || string_agg({_MANIFEST}, chr(10) || chr(10) ORDER BY k) FILTER (WHERE k <= 20) || chr(10) || chr(10) || '## 📊 总结' || chr(10)
+ || '- 🔴 漏洞包：' || CAST(sum(vulnerable_packages) AS BIGINT) || chr(10) || '- 🟡 废弃包：' || CAST(sum(abandoned_packages) AS BIGINT) || chr(10) || '- 🟠 Typosquatting 风险：' || CAST(sum(typosquatting_risks) AS BIGINT) AS markdown
+ FROM (SELECT *, row_number() OVER (ORDER BY vulnerable_packages DESC, abandoned_packages DESC, manifest) AS k FROM ({_SUPPLY}))""")

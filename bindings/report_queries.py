@@ -153,9 +153,9 @@ add("J7_D4_baseline_compare", lambda s, d: b.compare(snapshot(s, d, False), snap
  coalesce(b.file, a.file) AS file, coalesce(b.line, a.line) AS line, coalesce(b."column", a."column") AS "column", coalesce(b.message, a.message) AS message FROM a FULL JOIN b ON a.id = b.id""")
 add("D4_new_ids", lambda s, d: b.set_difference(snapshot(s, d, True), snapshot(s, d, False)), SNAPS + " SELECT id FROM b EXCEPT SELECT id FROM a")
 add("D4_persistent_ids", lambda s, d: b.set_intersection(snapshot(s, d, True), snapshot(s, d, False)), SNAPS + " SELECT id FROM b INTERSECT SELECT id FROM a")
-add("G18_E7_baseline_trend", lambda s, d: b.comparison_summary(snapshot(s, d, False), snapshot(s, d, True)),
-    SNAPS + """, t AS (SELECT (SELECT count(*) FROM a) AS baseline_total, (SELECT count(*) FROM b0) AS current_total, (SELECT count(*) FROM b ANTI JOIN a USING (id)) AS new_issues, (SELECT count(*) FROM a ANTI JOIN b USING (id)) AS fixed_issues, (SELECT count(*) FROM a SEMI JOIN b USING (id)) AS persistent_issues)
- SELECT *, CASE WHEN current_total < baseline_total THEN 'improving' WHEN current_total > baseline_total THEN 'worsening' ELSE 'stable' END AS direction, round((current_total - baseline_total) / baseline_total * 100, 2) AS change_percent, current_total - baseline_total AS change_absolute FROM t""")
+_TREND = SNAPS + """, t AS (SELECT (SELECT count(*) FROM a) AS baseline_total, (SELECT count(*) FROM b0) AS current_total, (SELECT count(*) FROM b ANTI JOIN a USING (id)) AS new_issues, (SELECT count(*) FROM a ANTI JOIN b USING (id)) AS fixed_issues, (SELECT count(*) FROM a SEMI JOIN b USING (id)) AS persistent_issues)
+ SELECT *, CASE WHEN current_total < baseline_total THEN 'improving' WHEN current_total > baseline_total THEN 'worsening' ELSE 'stable' END AS direction, round((current_total - baseline_total) / baseline_total * 100, 2) AS change_percent, current_total - baseline_total AS change_absolute FROM t"""
+add("G18_E7_baseline_trend", lambda s, d: b.comparison_summary(snapshot(s, d, False), snapshot(s, d, True)), _TREND)
 add("G17_baseline_statistics", lambda s, d: b.statistics(snapshot(s, d, False)),
     SNAPS + """ SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(st) = 0 THEN 'status' WHEN grouping(file) = 0 THEN 'file' ELSE 'total' END AS dimension, coalesce(severity, st, file, '*') AS key, count(*) AS count FROM (SELECT *, 'open' AS st FROM a) GROUP BY GROUPING SETS ((severity), (st), (file), ())""")
 add("G17_D6_baseline_totals", lambda s, d: b.totals(snapshot(s, d, False)), SNAPS + " SELECT count(*) AS total_findings, count(DISTINCT file) AS total_files FROM a")
@@ -193,7 +193,15 @@ def _shown(s, d):
 add("SK1_sarif", lambda s, d: exports.sarif_results(exports.sarif_documents(_shown(s, d), max_bytes=500_000, created_at="now")).drop("part"),
     SNAPS + """ SELECT category AS run, rule_id, CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'note' END AS level, message, file, line, "column", CASE WHEN line = 1 THEN 'a' || chr(10) || chr(9) || 'b ' || file END AS snippet,
  CASE WHEN "column" = 0 THEN 'say "' || message || '"' END AS fix, CASE WHEN "column" < 3 THEN "column" / 4 ELSE 0.8 END AS confidence, CASE WHEN line > 2 THEN CAST(CAST(timestamp AS DATE) AS VARCHAR) ELSE 'now' END AS timestamp FROM a0""")
-add("SK3_comparison_markdown", lambda s, d: exports.comparison_markdown(b.compare(snapshot(s, d, False), snapshot(s, d, True)), b.comparison_summary(snapshot(s, d, False), snapshot(s, d, True))))
+_COMPARED = """, c AS (SELECT coalesce(b.rule_id, a.rule_id) AS rule_id, coalesce(b.severity, a.severity) AS severity, coalesce(b.file, a.file) AS file, coalesce(b.line, a.line) AS line, coalesce(b."column", a."column") AS "column", b.message,
+  CASE WHEN a.id IS NULL THEN 'new' ELSE 'fixed' END AS state FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL),
+ listed AS (SELECT state, string_agg('### ' || rule_id || chr(10) || '- **文件**: `' || file || ':' || line || '`' || chr(10) || '- **严重性**: ' || severity || CASE state WHEN 'new' THEN chr(10) || '- **描述**: ' || message ELSE '' END, chr(10) ORDER BY k) AS items
+  FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY rule_id, file, line, "column") AS k FROM c) WHERE k <= 20 GROUP BY state)"""
+_ROWS = [("基线问题数", "baseline_total"), ("当前问题数", "current_total"), ("新增问题", "new_issues"), ("已修复", "fixed_issues"), ("持续存在", "persistent_issues")]
+add("SK3_comparison_markdown", lambda s, d: exports.comparison_markdown(b.compare(snapshot(s, d, False), snapshot(s, d, True)), b.comparison_summary(snapshot(s, d, False), snapshot(s, d, True))),
+    _TREND.replace(" SELECT *, CASE WHEN current_total", _COMPARED + ", z AS (SELECT *, CASE WHEN current_total") + ") SELECT array_to_string(['# 基线对比报告', '', '## 摘要', '', '| 指标 | 数量 |', '|------|------|', "
+    + ", ".join(f"'| {n} | ' || {c} || ' |'" for n, c in _ROWS) + ", '', '## 趋势', '', '- 方向：' || direction, '- 变化：' || printf('%+.2f', change_percent) || '%', '- 绝对变化：' || printf('%+d', change_absolute)], chr(10))"
+    + "".join(f" || coalesce((SELECT chr(10) || chr(10) || '## {title}' || chr(10) || chr(10) || items FROM listed WHERE state = '{state}'), '')" for state, title in (("new", "新增问题"), ("fixed", "已修复问题"))) + " AS markdown FROM z")
 
 
 def _lengths(s, d):

@@ -94,4 +94,9 @@ def requests(s, d):
 
 add("W10_request_counts", lambda s, d: t.request_counts(requests(s, d), 6, 3600).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "requests_in_window", "remaining"),
     "WITH r AS (SELECT 'key' || (user_id % 20) AS key, ts FROM events), c AS (SELECT key, ts, count(*) OVER (PARTITION BY key ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS requests_in_window FROM r) SELECT key, ts, requests_in_window, greatest(0, 6 - requests_in_window) AS remaining FROM c")
-add("ST4_admission", lambda s, d: admit_requests(requests(s, d), 6, 3600).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "allowed", "remaining"))
+# One request of each key a step; the list holds the admitted times of the last window.
+_ADMITTED = """WITH RECURSIVE r AS (SELECT 'key' || (user_id % 20) AS key, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts) AS k FROM events),
+ w AS (SELECT key, ts, k, [us] AS held, true AS allowed, 5 AS remaining FROM r WHERE k = 1
+  UNION ALL SELECT key, ts, k, CASE WHEN len(h) < 6 THEN list_append(h, us) ELSE h END, len(h) < 6, greatest(5 - len(h), 0) FROM (SELECT r.*, list_filter(w.held, lambda x: x > r.us - 3600000000) AS h FROM w JOIN r ON r.key = w.key AND r.k = w.k + 1))"""
+add("ST4_admission", lambda s, d: admit_requests(requests(s, d), 6, 3600).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "allowed", "remaining"),
+    _ADMITTED + " SELECT key, ts, allowed, CAST(remaining AS INTEGER) AS remaining FROM w")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.text import java_regex, lines_of
+from lintlake.functions.text import computed_once, java_regex, lines_of
 from lintlake.operators.structure import holds_symbol
 
 # Name, pattern, replacement (with $1 groups), severity.
@@ -186,8 +186,10 @@ def fix_all(files: DataFrame) -> DataFrame:
     df = files.withColumn("original", F.col("text"))
     names = []
     for name, fixer in FIXERS.items():
-        df = fixer(df.withColumn(f"_b_{name}", F.col("text")))
-        df = df.withColumn(f"_c_{name}", F.when(F.col("text") != F.col(f"_b_{name}"), F.lit(name))).drop(f"_b_{name}")
+        df = fixer(df.withColumn("_before", F.col("text")))
+        # Each step's text is made once, or a filter on what was applied would repeat all steps before it.
+        df = computed_once(df, [c for c in df.columns if c != "text"], [F.col("text").alias("text")])
+        df = df.withColumn(f"_c_{name}", F.when(F.col("text") != F.col("_before"), F.lit(name))).drop("_before")
         names.append(f"_c_{name}")
     return df.withColumn("applied", F.array_compact(F.array(*names))).drop(*names)
 

@@ -96,22 +96,34 @@ def _number(rule) -> str | None:
     return None
 
 
-def _by_rule(values: list[str | None]) -> Column:
+def _number_if_hit(i: int, rule) -> str:
+    return f"CASE WHEN {_test(rule)} THEN {i} END"
+
+
+def _by_rule_sql(values: list[str | None], kind: str) -> str:
     branches = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None)
-    return F.expr(f"CASE _rule {branches} END") if branches else F.lit(None)
+    return f"cast(CASE _rule {branches} END AS {kind})" if branches else f"cast(null AS {kind})"
+
+
+def _by_rule(values: list[str | None], kind: str) -> Column:
+    return F.expr(_by_rule_sql(values, kind))
+
+
+def _prepared(files: DataFrame, rules):
+    """Texts with what the tests read, and the columns that later steps need."""
+    clean = files.select(*KEYS, "text").withColumn("_lower", F.lower("text"))
+    if not any(r.kind == "nesting" for r in rules):
+        return clean, []
+    # Only files that some nesting rule may apply to pay for the fold.
+    languages = " OR ".join(_language_test(r) or "true" for r in rules if r.kind == "nesting")
+    return clean.withColumn("_nesting", F.when(F.expr(languages), nesting_profile("text", skip_literals=True))), ["_nesting"]
 
 
 def mark_hits(files: DataFrame, rules) -> DataFrame:
     """One row per (file, rule) with hits: ``_marked`` text or hit ``_lines``."""
     rules = list(rules)
-    clean = files.select(*KEYS, "text").withColumn("_lower", F.lower("text"))
-    extra = []
-    if any(r.kind == "nesting" for r in rules):
-        # Only files that some nesting rule may apply to pay for the fold.
-        languages = " OR ".join(_language_test(r) or "true" for r in rules if r.kind == "nesting")
-        clean = clean.withColumn("_nesting", F.when(F.expr(languages), nesting_profile("text", skip_literals=True)))
-        extra = ["_nesting"]
-    numbers = ", ".join(f"CASE WHEN {_test(r)} THEN {i} END" for i, r in enumerate(rules))
+    clean, extra = _prepared(files, rules)
+    numbers = ", ".join(_number_if_hit(i, r) for i, r in enumerate(rules))
     numbered = clean.select(*KEYS, "text", *extra, F.explode(F.expr(f"array_compact(array({numbers}))")).alias("_rule"))
     numbered = numbered.withColumn("_mark", F.md5("text"))
     return numbered.select(
@@ -119,9 +131,9 @@ def mark_hits(files: DataFrame, rules) -> DataFrame:
         "_rule",
         "_mark",
         "text",
-        _by_rule([_marked(r) for r in rules]).cast("string").alias("_marked"),
-        _by_rule([_lines_hit(r) for r in rules]).cast("array<int>").alias("_lines"),
-        _by_rule([_number(r) for r in rules]).cast("int").alias("_number"),
+        _by_rule([_marked(r) for r in rules], "string").alias("_marked"),
+        _by_rule([_lines_hit(r) for r in rules], "array<int>").alias("_lines"),
+        _by_rule([_number(r) for r in rules], "int").alias("_number"),
     )
 
 
@@ -156,23 +168,28 @@ def _positions(steps: str) -> str:
     return f"transform(array({steps}), s -> if(size(s) <= {CHUNK}, {_prefixes('s', _ORIGIN)}, {large}))[0]"
 
 
-def locate_hits(marked: DataFrame, around: int | None = None) -> DataFrame:
-    """Marked texts to one row per hit: line, column and the whole match."""
-    extra = [] if around is None else ["snippet"]
-    parts = marked.withColumn("_parts", F.expr(f"split(_marked, {OPEN}, -1)"))
-    # A generator over one row keeps the split from being repeated by what uses it.
-    parts = parts.select("*", F.explode(F.array(F.col("_parts"))).alias("_p")).drop("_parts", "_marked")
+def _found(lines: str) -> str:
+    """SQL text: line, column and match of each hit, from the pieces ``_p`` of a marked text or from line numbers."""
     plain = f"replace(p, {CLOSE}, '')"
     step = (
         f"named_struct('k', length({plain}) - length(replace({plain}, '\n', '')), "
         f"'w', length(substring_index({plain}, '\n', -1)))"
     )
     steps = f"transform(slice(_p, 1, size(_p) - 1), p -> {step})"
-    found = (
-        f"CASE WHEN _p IS NULL THEN transform(_lines, l -> named_struct('line', l, 'column', 1, 'match', '')) "
+    return (
+        f"CASE WHEN _p IS NULL THEN transform({lines}, l -> named_struct('line', l, 'column', 1, 'match', '')) "
         f"ELSE transform(arrays_zip({_positions(steps)}, slice(_p, 2, size(_p) - 1)), h -> "
         f"named_struct('line', h['0'].k + 1, 'column', h['0'].w + 1, 'match', substring_index(h['1'], {CLOSE}, 1))) END"
     )
+
+
+def locate_hits(marked: DataFrame, around: int | None = None) -> DataFrame:
+    """Marked texts to one row per hit: line, column and the whole match."""
+    extra = [] if around is None else ["snippet"]
+    parts = marked.withColumn("_parts", F.expr(f"split(_marked, {OPEN}, -1)"))
+    # A generator over one row keeps the split from being repeated by what uses it.
+    parts = parts.select("*", F.explode(F.array(F.col("_parts"))).alias("_p")).drop("_parts", "_marked")
+    found = _found("_lines")
     if around is not None:
         # The lines are bound to a variable: cut once per file and rule, not per hit.
         first = f"greatest(h.line - {around}, 1)"
@@ -251,6 +268,47 @@ def scan_rules(files: DataFrame, rules, around: int | None = None) -> DataFrame:
     return describe_hits(locate_hits(mark_hits(files, rules), around), rules)
 
 
+def _label_groups(rules, labels) -> str:
+    """SQL text: the rules that hit a file, as one list of rule numbers per label."""
+    groups: dict = {}
+    for i, label in enumerate(labels):
+        groups.setdefault(label, []).append(i)
+    alone = ", ".join(_number_if_hit(g[0], rules[g[0]]) for g in groups.values() if len(g) == 1)
+    shared = ", ".join(f"array_compact(array({', '.join(_number_if_hit(i, rules[i]) for i in g)}))" for g in groups.values() if len(g) > 1)
+    parts = [f"transform(array_compact(array({alone})), i -> array(i))"] if alone else []
+    parts += [f"filter(array({shared}), g -> size(g) > 0)"] if shared else []
+    return f"concat({', '.join(parts)})"
+
+
+def _first_hits(rules) -> str:
+    """SQL text: hits of the rules ``_rules`` of one label; of hits at one place the first rule's stays."""
+    number = _by_rule_sql([_number(r) for r in rules], "int")
+    located = _found(_by_rule_sql([_lines_hit(r) for r in rules], "array<int>"))
+    of_rule = (
+        f"transform(array(split({_by_rule_sql([_marked(r) for r in rules], 'string')}, {OPEN}, -1)), _p -> transform({located}, "
+        f"h -> named_struct('line', h.line, 'column', h.column, 'rule', _rule, 'match', h.match, 'number', {number})))[0]"
+    )
+    # Sorted, the hits of a place are neighbours.
+    merged = "transform(array(sort_array(a)), b -> filter(b, (x, i) -> i = 0 OR get(b, i - 1).line <> x.line OR get(b, i - 1).column <> x.column))[0]"
+    return f"transform(array(flatten(transform(_rules, _rule -> {of_rule}))), a -> if(size(_rules) = 1, a, {merged}))[0]"
+
+
+def scan_first(files: DataFrame, rules, labels) -> DataFrame:
+    """Like :func:`scan_rules`, but of hits at one place whose rules share a label only the first rule's stays.
+
+    All hits of a place lie in one file, so rules of one label are located
+    together inside the file's row and no finding is shuffled. A path that two
+    rows share counts as two files.
+    """
+    rules = list(rules)
+    clean, extra = _prepared(files, rules)
+    grouped = clean.withColumn("_mark", F.md5("text")).select(
+        *KEYS, "text", "_mark", *extra, F.explode(F.expr(_label_groups(rules, labels))).alias("_rules")
+    )
+    hits = grouped.select(*KEYS, F.explode(F.expr(_first_hits(rules))).alias("_h"))
+    return describe_hits(hits.select(*KEYS, F.col("_h.rule").alias("_rule"), F.col("_h.number").alias("_number"), "_h.line", "_h.column", "_h.match"), rules)
+
+
 def dedup_findings(findings: DataFrame) -> DataFrame:
     """First finding per (file, rule, line, column); earlier rules win.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.language import normalize_language
 from lintlake.operators.duplicates import repeat_findings
-from lintlake.operators.scan import dedup_findings, scan_rules
+from lintlake.operators.scan import scan_first, scan_rules
 from lintlake.operators.structure import long_functions
 from lintlake.rules import quality, review, security
 
@@ -18,7 +18,8 @@ SECURITY_LANGUAGES = ["javascript", "typescript", "python"]
 
 def comprehensive_security(files: DataFrame) -> DataFrame:
     """All security and smell packs in one pass, and repeats; first engine keeps a spot."""
-    return dedup_findings(scan_rules(files, security.COMPREHENSIVE)).unionByName(repeat_findings(files))
+    names = [r.rule for r in security.COMPREHENSIVE]
+    return scan_first(files, security.COMPREHENSIVE, names).unionByName(repeat_findings(files))
 
 
 def quality_findings(files: DataFrame, rules=quality.ALL) -> DataFrame:
@@ -67,20 +68,12 @@ def project_findings(files: DataFrame, python_jobs: bool = True) -> DataFrame:
 
     All packs run in one pass over the files. The base packs see the language
     as detected, the others without variants such as ``-test``. Only security
-    findings are merged per spot; the rest keeps its rule number in the key, so
-    one shuffle of the findings serves both. ``python_jobs`` adds functions
-    that are too long (every scripted file) and repeats (where security runs).
+    findings are merged per spot, inside the row of their file, so findings
+    leave the pass without a shuffle. ``python_jobs`` adds functions that are
+    too long (every scripted file) and repeats (where security runs).
     """
-    found = scan_rules(files, _PROJECT)
-    keys = ["project", "path", "rule", "line", "column", "_own"]
-    own = F.when(F.col("rule_order") < len(_PLAIN), F.col("rule_order")).otherwise(-1)
-    rest = [c for c in found.columns if c not in keys and c != "rule_order"]
-    merged = (
-        found.withColumn("_own", own)
-        .groupBy(*keys)
-        .agg(F.min(F.struct("rule_order", *rest)).alias("_f"))
-        .select(*[c if c in keys else F.col("_f")[c].alias(c) for c in found.columns])
-    )
+    labels = [i if i < len(_PLAIN) else r.rule for i, r in enumerate(_PROJECT)]
+    merged = scan_first(files, _PROJECT, labels)
     if python_jobs:
         scripted = [y for x in SECURITY_LANGUAGES for y in (x, *VARIANTS[x])]
         repeats = repeat_findings(files.where(F.col("language").isin(scripted)))

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 SQL_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,3 +60,38 @@ def cut_lineage(df):
     """Reliable checkpoint of a DataFrame in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class RoundTables:
+    """Tables between the rounds of an iterative job, in the shared folder.
+
+    A lost executor costs only its tasks, and :meth:`close` removes all but the result.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.written = 0
+
+    def table(self, df, **counts):
+        """The rows of ``df`` as a table; with ``counts`` (name to condition) also the numbers of rows that meet them, from the same pass."""
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
+        seen = Observation()
+        if counts:
+            df = df.observe(seen, *[F.count_if(test).alias(name) for name, test in counts.items()])
+        df.write.parquet(path)
+        rows = self.spark.read.schema(df.schema).parquet(path)
+        return (rows, seen.get) if counts else rows
+
+    def close(self, result=None):
+        """Removes the tables; ``result`` is written beside them before, and returned."""
+        kept = None
+        if result is not None:
+            path = f"{self.folder}-result"
+            result.write.parquet(path)
+            kept = self.spark.read.schema(result.schema).parquet(path)
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return kept

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lintlake.operators.scan import dedup_findings, glob_regex, scan_rules, search_pattern
+from lintlake.operators.scan import dedup_findings, glob_regex, scan_first, scan_rules, search_pattern
 from lintlake.operators.duplicates import repeated_text
 from lintlake.plans.analysis import comprehensive_security, project_findings, quality_findings, sonar_style
 from lintlake.rules import extra, quality, review, security
@@ -168,3 +168,19 @@ def test_long_functions_and_repeats_are_findings(make_files):
     assert sorted((r.path, r.line, r.column) for r in project if r.rule == "sonar-duplicate-code") == sorted(x for x in lines if x[0] == "b.py")
     assert [(r.path, r.line) for r in project if r.rule == "max-lines-per-function"] == [("b.py", 1)]
     assert [r.path for r in quality_findings(files).collect() if r.rule == "max-lines-per-function"] == ["b.py"]
+
+
+def test_first_rule_keeps_a_place_inside_the_row(make_files):
+    """Rules that share a name: the same findings as the shuffled form, without an exchange."""
+    texts = ["el.innerHTML = a; document.write(b);\neval(x); password = 'abcdef'\nh = md5(d)", "", "sha1(x) md5(y)\n\n" * 300, "x = 1", "é eval(é)\npickle.loads(b)"]
+    files = make_files([(f"f{i}.js", "javascript" if i % 2 else "python", t) for i, t in enumerate(texts)])
+    labels = [r.rule for r in security.COMPREHENSIVE]
+    merged = scan_first(files, security.COMPREHENSIVE, labels)
+    every = scan_rules(files, security.COMPREHENSIVE)
+    wanted = dedup_findings(every)
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
+    assert merged.count() < every.count()
+    apart = scan_first(files, security.COMPREHENSIVE, range(len(labels)))
+    assert sorted(map(tuple, apart.collect()), key=repr) == sorted(map(tuple, every.collect()), key=repr)
+    for scan in (merged, comprehensive_security(files), project_findings(files)):
+        assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()

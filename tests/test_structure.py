@@ -1,6 +1,7 @@
 """Bodies, metrics, graphs and duplicates."""
 
 import random
+from collections import Counter
 import re
 
 from lintlake.operators import graph, metrics, structure
@@ -85,6 +86,33 @@ def test_circular_modules_against_brute_force(spark):
     assert graph.circular_modules(chain).isEmpty()
 
 
+def test_circular_modules_of_many_shapes(spark):
+    """Sparse graphs fold along and against their edges; dense ones go round by round."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for g in range(40):
+        names = [f"m{i:02d}" for i in range(rng.randint(2, 10))]
+        edges = {(rng.choice(names), rng.choice(names)) for _ in range(int(len(names) * rng.choice([1, 1.5, 4])))} - {(n, n) for n in names}
+        rows += [(f"p{g}", a, b) for a, b in edges]
+        want.update({(f"p{g}", n): c for n, c in _components(edges).items()})
+    df = spark.createDataFrame(rows, "project string, module string, imported string")
+    found = graph.circular_modules(df).collect()
+    assert {(r.project, r.module): r.cycle for r in found} == want
+    sizes = Counter((r.project, r.cycle) for r in found)
+    assert all(r["size"] == sizes[r.project, r.cycle] for r in found)
+
+
+def test_long_chains_take_few_jobs(spark):
+    """A chain of 2,000 modules into a cycle: jobs grow with the logarithm of its length."""
+    chain = [("p", f"n{i:04d}", f"n{i + 1:04d}") for i in range(2000)] + [("p", "n2000", "n1995")]
+    spark.sparkContext.setJobGroup("chain", "a long chain")
+    found = graph.circular_modules(spark.createDataFrame(chain, "project string, module string, imported string")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.cycle, r["size"]) for r in found} == {("n1995", 6)} and len(found) == 6
+    assert jobs < 80
+
+
 def test_call_neighbourhood(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "a"), ("b", "a")], "caller string, callee string")
     rows = {tuple(r) for r in graph.neighbourhood(edges, "a", 2).collect()}
