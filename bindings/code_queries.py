@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.corpus import code_files, corpus, document_files, files_cte, long_files, page_files, q, read
+from bindings.corpus import WIDE, code_files, corpus, document_files, files_cte, page_files, q, read, wide_corpus
 from bindings.dependency_queries import MANIFEST_SQL, manifest_files
 from bindings.metric_queries import LINES_SQL
 from bindings.report_queries import PROJECT_SQL
 from bindings.rule_sql import hits_sql, repeats_sql
-from bindings.unit_sql import CORPUS_UNITS, METRICS_SQL, REPORT_SQL, UNITS_SQL, long_sql, units_sql
+from bindings.unit_sql import CORPUS_UNITS, LONGS, METRICS_SQL, REPORT_SQL, UNITS_SQL, units_sql
 from lintlake.functions import language as lang
 from lintlake.operators import diagnostics as dx
 from lintlake.operators import graph as g
@@ -136,18 +136,13 @@ add("M7_symbols", lambda s, d: st.symbols(corpus(s, d)), FILES + ", " + _SYM + "
 add("J9_reference_counts", lambda s, d: g.reference_counts(st.symbols(corpus(s, d)), st.word_uses(corpus(s, d))),
     FILES + ", " + _SYM + ", words AS (SELECT path, name, count(*) AS uses FROM (SELECT path, unnest(regexp_extract_all(text, '\\w+')) AS name FROM files) GROUP BY path, name), df AS (SELECT name, count(DISTINCT path) AS defined_in FROM sym WHERE kind IN ('function', 'class') GROUP BY name) SELECT name, defined_in, count(*) AS used_in, CAST(sum(uses) AS BIGINT) AS uses FROM df JOIN words USING (name) GROUP BY name, defined_in")
 _REPORT = CORPUS_UNITS + METRICS_SQL + REPORT_SQL
-_WIDE = files_cte("documents", "pages", "code", "long")
+_WIDE = files_cte(*WIDE)
 
 
 def _measured(df, *names):
     return df.withColumns({n: F.round(n, 4) for n in names})
 
 
-def _wide(s, d):
-    """The corpus and a file with long functions per customer."""
-    return corpus(s, d).unionByName(long_files(s, d))
-
-
 add("M2_code_units", lambda s, d: st.code_units(corpus(s, d)), CORPUS_UNITS + " SELECT * FROM units")
 add("F7_function_metrics", lambda s, d: _measured(st.function_metrics(st.code_units(corpus(s, d))), "volume", "maintainability_index"),
     CORPUS_UNITS + METRICS_SQL + " SELECT * EXCLUDE p REPLACE (round(volume, 4) AS volume, round(maintainability_index, 4) AS maintainability_index) FROM fm")
@@ -155,7 +150,7 @@ add("F8_class_metrics", lambda s, d: st.class_metrics(st.code_units(corpus(s, d)
 add("G12_E8_complexity_report", lambda s, d: st.complexity_report(corpus(s, d)), _REPORT + " SELECT * FROM report")
 add("G13_compare_complexity", lambda s, d: st.compare_complexity(st.complexity_report(corpus(s, d)), corpus(s, d).select(F.regexp_replace("path", "9", "x").alias("path"))),
     _REPORT + " SELECT p.path, r.* EXCLUDE path, CASE WHEN r.language IS NULL THEN 'File not found: ' || p.path END AS error FROM (SELECT replace(path, '9', 'x') AS path FROM files) p LEFT JOIN report r ON r.path = p.path")
-add("T3_complex_functions", lambda s, d: _measured(st.complex_functions(st.function_metrics(st.code_units(_wide(s, d)))), "volume", "maintainability_index"),
+add("T3_complex_functions", lambda s, d: _measured(st.complex_functions(st.function_metrics(st.code_units(wide_corpus(s, d)))), "volume", "maintainability_index"),
     units_sql(_WIDE) + METRICS_SQL + " SELECT * EXCLUDE p REPLACE (round(volume, 4) AS volume, round(maintainability_index, 4) AS maintainability_index) FROM fm WHERE risk_level IN ('high', 'critical') ORDER BY cyclomatic DESC, path, line, name LIMIT 10")
 add("F21_complexity_advice", lambda s, d: st.complexity_recommendations(st.complexity_report(corpus(s, d))),
     _REPORT + " " + " UNION ALL ".join(f"SELECT project, path, {q(p)} AS priority, {q(c)} AS category, {m} AS message FROM report WHERE {w}" for w, p, c, m in [
@@ -164,8 +159,8 @@ add("F21_complexity_advice", lambda s, d: st.complexity_recommendations(st.compl
         ("max_nesting_depth > 5", "medium", "readability", "'Deep nesting detected. Consider using early returns or extracting methods.'"),
         ("large_classes > 0", "medium", "design", "large_classes || ' class(es) have too many methods. Consider applying Single Responsibility Principle.'"),
         ("low_index_functions > 0", "high", "maintainability", "low_index_functions || ' function(s) have low maintainability index. Refactoring recommended.'")]))
-add("W2_long_functions", lambda s, d: st.long_functions(_wide(s, d)).drop("sub_category", "suggestion", "match", "auto_fixable", "rule_order", "column"),
-    long_sql(_WIDE) + " SELECT * FROM longs")
+add("W2_long_functions", lambda s, d: st.long_functions(wide_corpus(s, d)).drop("sub_category", "suggestion", "match", "auto_fixable", "rule_order"),
+    f"WITH {_WIDE}, {LONGS} SELECT * FROM longs")
 add("E1_project_findings", lambda s, d: project_findings(corpus(s, d)).groupBy("project", "rule", "severity").agg(F.count("*").alias("findings")),
     PROJECT_SQL + "SELECT project, rule, severity, count(*) AS findings FROM found GROUP BY project, rule, severity")
 _BODY_RULES = " UNION ALL ".join(

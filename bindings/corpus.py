@@ -196,6 +196,15 @@ def corpus(spark, d) -> DataFrame:
     return document_files(spark, d).unionByName(page_files(spark, d)).unionByName(code_files(spark, d))
 
 
+#: The kinds of files in :func:`wide_corpus`.
+WIDE = ("documents", "pages", "code", "long")
+
+
+def wide_corpus(spark, d) -> DataFrame:
+    """The corpus and a file with long functions per customer."""
+    return corpus(spark, d).unionByName(long_files(spark, d))
+
+
 def _sql_list(values) -> str:
     return "[" + ",".join(q(v) for v in values) + "]"
 

@@ -145,3 +145,5 @@ ORACLES["ST1_line_triage"] = _LINE_HEAD + " SELECT path, line, format, level, le
 QUERIES["ST2_windowed_counts"] = lambda s, d: stream.windowed_counts(stream.triage(log_lines(s, d)), "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "entries", "errors", "warnings", "security_issues", "performance_issues")
 ORACLES["ST2_windowed_counts"] = _LINE_HEAD + """ SELECT strftime(date_trunc('hour', TRY_CAST(timestamp AS TIMESTAMP)), '%Y-%m-%d %H:%M') AS start, count(*) AS entries, count(*) FILTER (WHERE level_class = 'error') AS errors, count(*) FILTER (WHERE level_class = 'warn') AS warnings,
  count(*) FILTER (WHERE len(security) > 0) AS security_issues, count(*) FILTER (WHERE len(performance) > 0) AS performance_issues FROM classified WHERE TRY_CAST(timestamp AS TIMESTAMP) IS NOT NULL GROUP BY 1"""
+QUERIES["SK6_window_alerts"] = lambda s, d: stream.error_rate_alerts(stream.windowed_counts(stream.triage(log_lines(s, d)), "1 hour"), 0.2).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+ORACLES["SK6_window_alerts"] = f"SELECT 'High error rate' AS title, CASE WHEN security_issues > 0 THEN 'critical' ELSE 'warning' END AS severity, start, errors || ' of ' || entries || ' entries are errors' AS message FROM ({ORACLES['ST2_windowed_counts']}) WHERE errors > entries * 0.2"

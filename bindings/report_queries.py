@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.corpus import code_files, corpus, document_files, files_cte, q, read
+from bindings.corpus import WIDE, corpus, document_files, files_cte, q, read, wide_corpus
 from bindings.metric_queries import CYCLOMATIC_SQL, count_all_sql
 from bindings.rule_sql import hits_sql, repeats_as_findings, repeats_sql
+from bindings.unit_sql import LONGS
 from lintlake.operators import baseline as b
 from lintlake.operators import metrics as m
 from lintlake.operators import report as r
@@ -51,9 +52,9 @@ def base(s, d):
     return scan_rules(corpus(s, d), quality.ALL)
 
 
-add("G1_E2_directory_report", lambda s, d: r.directory_report(corpus(s, d), quality_findings(corpus(s, d))),
-    hits_sql(quality.ALL, files_cte(), """, g AS (SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(rule) = 0 THEN 'rule' ELSE 'total' END AS dimension,
- coalesce(severity, category, language, rule, '*') AS key, count(*) AS count FROM findings GROUP BY GROUPING SETS ((severity), (category), (language), (rule), ()))""")
+add("G1_E2_directory_report", lambda s, d: r.directory_report(wide_corpus(s, d), quality_findings(wide_corpus(s, d))),
+    hits_sql(quality.ALL, files_cte(*WIDE), ", " + LONGS + """, both_kinds AS (SELECT severity, category, language, rule FROM findings UNION ALL SELECT severity, category, language, rule FROM longs), g AS (SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(rule) = 0 THEN 'rule' ELSE 'total' END AS dimension,
+ coalesce(severity, category, language, rule, '*') AS key, count(*) AS count FROM both_kinds GROUP BY GROUPING SETS ((severity), (category), (language), (rule), ()))""")
     + "SELECT * FROM g UNION ALL SELECT 'files', 'analyzed', count(*) FROM files")
 add("G2_count_by_category", lambda s, d: r.count_by(base(s, d), "category"), _BASE_SQL + "SELECT coalesce(category, 'unknown') AS category, count(*) AS count FROM findings GROUP BY 1")
 add("G3_review_summary", lambda s, d: r.review_summary(scan_rules(corpus(s, d), review.CODE_REVIEW)),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.corpus import corpus, document_files, files_cte
+from bindings.corpus import WIDE, corpus, document_files, files_cte, wide_corpus
 from bindings.rule_sql import hits_sql, repeats_as_findings, repeats_sql
+from bindings.unit_sql import LONGS
 from lintlake.operators.scan import dedup_findings, scan_rules
 from lintlake.plans.analysis import quality_findings, sonar_style
+from lintlake.plans.sql_functions import register_scan_code
 from lintlake.rules import extra, quality, review, security
 
 SHOWN = ["project", "path", "language", "engine", "rule", "severity", "category", "message", "line", "column"]
@@ -52,9 +54,10 @@ def credentials_by_rule(spark, d):
 
 QUERIES = {name: _pack(rules) for name, rules in PACKS.items()}
 ORACLES = {name: _pack_sql(rules) for name, rules in PACKS.items()}
-# Functions over 50 lines need balanced bodies, which SQL does not have; the SQL holds for tables without any (tests/test_structure.py has some).
-QUERIES["RS1_javascript_quality"] = lambda spark, d: quality_findings(corpus(spark, d).where(F.col("language") != "python"), quality.JAVASCRIPT).select(*SHOWN)
-QUERIES["RS2_python_quality"] = lambda spark, d: quality_findings(corpus(spark, d).where(F.col("language") == "python"), quality.PYTHON).select(*SHOWN)
+_LONG_UNION = f"SELECT {SHOWN_SQL} FROM findings UNION ALL SELECT {SHOWN_SQL} FROM longs WHERE language "
+for _name, _test, _rules in (("RS1_javascript_quality", "<> 'python'", quality.JAVASCRIPT), ("RS2_python_quality", "= 'python'", quality.PYTHON)):
+    QUERIES[_name] = lambda spark, d, test=_test, rules=_rules: quality_findings(wide_corpus(spark, d).where(f"language {test}"), rules).select(*SHOWN)
+    ORACLES[_name] = hits_sql(_rules, files_cte(*WIDE), ", " + LONGS) + _LONG_UNION + _test
 QUERIES["RS10_sonar_style"] = lambda spark, d: sonar_style(corpus(spark, d)).select(*SHOWN)
 ORACLES["RS10_sonar_style"] = hits_sql(security.SONAR, files_cte(), repeats_sql()) + f"SELECT {SHOWN_SQL} FROM findings UNION ALL " + repeats_as_findings(SHOWN_SQL)
 QUERIES["RS0_credentials_by_rule"] = credentials_by_rule
@@ -62,3 +65,16 @@ ORACLES["RS0_credentials_by_rule"] = hits_sql(
     security.CREDENTIALS, files_cte("documents")
 ) + """SELECT rule, severity, count(*) AS findings, count(DISTINCT path) AS files
 FROM (SELECT DISTINCT project, path, rule, severity, line, "column" FROM findings) GROUP BY ALL"""
+
+
+def scan_in_sql(spark, d):
+    """Secrets of the corpus as an SQL user asks for them."""
+    register_scan_code(spark, security.CREDENTIALS)
+    return spark.sql(
+        "SELECT f.project, f.path, f.language, h.engine, h.rule, h.severity, h.category, h.message, h.line, h.column "
+        "FROM {files} f, LATERAL scan_code(f.text, f.language) h", files=corpus(spark, d)
+    )
+
+
+QUERIES["RS0_scan_code_sql"] = scan_in_sql
+ORACLES["RS0_scan_code_sql"] = _pack_sql(security.CREDENTIALS)

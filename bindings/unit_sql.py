@@ -127,13 +127,11 @@ LONG_SQL = f"""wide AS (SELECT * FROM files WHERE language IN ('javascript', 'ty
  spans AS (SELECT project, b.path, language, text, start0, arg_min(close0, open0) AS stop0 FROM begins b JOIN pairs p ON p.path = b.path AND p.open0 >= start0 AND close0 IS NOT NULL GROUP BY ALL
   UNION ALL SELECT project, i.path, language, text, start0, stop0 FROM ibegins i JOIN ({_ends_sql("ibegins")}) USING (path, start0, end0)),
  longs AS (SELECT project, path, language, CASE language WHEN 'python' THEN 'quality-python' ELSE 'quality-javascript' END AS engine, 'max-lines-per-function' AS rule, 'complexity' AS category, 'warning' AS severity,
-  replace({q(quality.LONG_FUNCTION_MESSAGE)}, '{{count}}', CAST(number AS VARCHAR)) AS message, CAST(length(left(text, start0)) - length(replace(left(text, start0), chr(10), '')) + 1 AS INTEGER) AS line, CAST(number AS INTEGER) AS number
+  replace({q(quality.LONG_FUNCTION_MESSAGE)}, '{{count}}', CAST(number AS VARCHAR)) AS message, CAST(length(left(text, start0)) - length(replace(left(text, start0), chr(10), '')) + 1 AS INTEGER) AS line, 1 AS "column", CAST(number AS INTEGER) AS number
   FROM (SELECT *, {_N} AS number FROM spans) WHERE number > {quality.LONG_FUNCTION_LINES})"""
 
 
-def long_sql(files: str) -> str:
-    """``WITH files, ..., longs``: functions with too many lines."""
-    return f"WITH {files}, {BRACES_SQL}, {INDENT_SQL}, {LONG_SQL}"
+LONGS = f"{BRACES_SQL}, {INDENT_SQL}, {LONG_SQL}"
 
 
 CORPUS_UNITS = units_sql(files_cte())

@@ -211,9 +211,8 @@ def _constant(value) -> str:
     return str(value) if isinstance(value, int) else sql_string(value)
 
 
-def describe_hits(hits: DataFrame, rules) -> DataFrame:
-    """Rule text for each hit, from a literal table indexed by rule number."""
-    rules = list(rules)
+def _rule_table(rules) -> str:
+    """SQL text: the rules' texts as an array in their order."""
     rows = ", ".join(
         "named_struct("
         + ", ".join(
@@ -228,7 +227,12 @@ def describe_hits(hits: DataFrame, rules) -> DataFrame:
         + ")"
         for r in rules
     )
-    table = F.expr(f"array({rows})")
+    return f"array({rows})"
+
+
+def describe_hits(hits: DataFrame, rules) -> DataFrame:
+    """Rule text for each hit, from a literal table indexed by rule number."""
+    table = F.expr(_rule_table(list(rules)))
     with_rule = hits.withColumn("_r", F.element_at(table, F.col("_rule") + 1))
     length = F.col("_r.limit") + F.length("match")
     message = F.col("_r.message")
@@ -309,6 +313,21 @@ def scan_first(files: DataFrame, rules, labels) -> DataFrame:
     return describe_hits(hits.select(*KEYS, F.col("_h.rule").alias("_rule"), F.col("_h.number").alias("_number"), "_h.line", "_h.column", "_h.match"), rules)
 
 
+def hits_of_text(rules) -> str:
+    """SQL text: all hits of the rules in ``text`` of ``language``, as an array in the order of the rules."""
+    rules = list(rules)
+    if any(r.kind == "nesting" for r in rules):
+        raise ValueError("rules about nesting need a whole file: " + ", ".join(r.rule for r in rules if r.kind == "nesting"))
+    message = "replace(replace(replace(r.message, '{match}', h.match), '{count}', coalesce(cast(h.number AS string), '')), '{length}', cast(r.limit + length(h.match) AS string))"
+    described = (
+        f"transform({_first_hits(rules)}, h -> transform(array(element_at({_rule_table(rules)}, h.rule + 1)), r -> named_struct('engine', r.engine, 'rule', r.rule, "
+        f"'category', r.category, 'severity', r.severity, 'message', {message}, 'line', h.line, 'column', if(r.kind IN ('blank_run', 'threshold'), 1, h.column), 'match', h.match))[0])"
+    )
+    hits = f"flatten(transform({_label_groups(rules, range(len(rules)))}, _rules -> {described}))"
+    # Bound one by one, so that the text is lower-cased and hashed once.
+    return f"transform(array(lower(text)), _lower -> transform(array(md5(text)), _mark -> {hits})[0])[0]"
+
+
 def dedup_findings(findings: DataFrame) -> DataFrame:
     """First finding per (file, rule, line, column); earlier rules win.
 

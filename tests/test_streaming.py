@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 from pyspark.sql import functions as F
 
 from lintlake.rules import security
+from lintlake.streaming import alerts as stream_alerts
 from lintlake.streaming import incremental
 from lintlake.streaming import logs as stream_logs
 from lintlake.streaming.admission import admit_requests, admit_stream, decide
@@ -147,3 +148,44 @@ def test_running_contributors(spark, tmp_path):
     stats = running_contributor_stats(spark.readStream.schema(schema).parquet(src))
     run(stats.writeStream.format("memory").queryName("contributors").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start())
     assert sorted(map(tuple, spark.table("contributors").collect())) == sorted(map(tuple, running_contributor_stats(spark.read.parquet(src)).collect()))
+
+
+def _alert_rows(spark, out):
+    return sorted((str(r.start), r.title, r.message) for r in stream_alerts.committed_alerts(spark, str(out)).collect())
+
+
+def test_alerts_once_per_window_across_a_restart(spark, tmp_path, monkeypatch):
+    """The stream is cut off between writing a batch and marking it; windows that stay over the rate alert once."""
+    folder, out, checkpoint = tmp_path / "in", tmp_path / "out", str(tmp_path / "cp")
+    folder.mkdir()
+    line = "[2024-01-0{} {:02d}:{:02d}:00] [{}] m".format
+
+    def start():
+        entries = stream_logs.triage(stream_logs.read_log_stream(spark, str(folder)))
+        return stream_alerts.start_alerts(stream_logs.windowed_counts(entries, "1 hour"), str(out), checkpoint, once=True)
+
+    (folder / "a.log").write_text("\n".join([line(1, 10, 0, "ERROR"), line(1, 10, 1, "INFO"), line(1, 11, 0, "INFO"), line(2, 9, 0, "ERROR")]))
+
+    def cut_off(*_):
+        raise RuntimeError("cut off before the mark")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(stream_alerts, "mark_committed", cut_off)
+        query = start()
+        while query.isActive:
+            time.sleep(0.1)
+        assert "cut off before the mark" in str(query.exception())
+    assert (out / "alerts").exists() and stream_alerts.committed_alerts(spark, str(out)) is None
+    run(start())
+    first = [("2024-01-01 10:00:00", "High error rate", "1 of 2 entries are errors"), ("2024-01-02 09:00:00", "High error rate", "1 of 1 entries are errors")]
+    assert _alert_rows(spark, out) == first
+    # The window of the second day goes on failing, a new one joins it.
+    (folder / "b.log").write_text("\n".join([line(2, 9, 5, "ERROR"), line(2, 10, 0, "ERROR")]))
+    run(start())
+    assert _alert_rows(spark, out) == [*first, ("2024-01-02 10:00:00", "High error rate", "1 of 1 entries are errors")]
+    # The same batch again changes nothing, also when its mark is there already.
+    again = spark.createDataFrame([("High error rate", "warning", first[0][0], "x")], "title string, severity string, start string, message string").withColumn("start", F.to_timestamp("start"))
+    stream_alerts.write_alerts(again, 0, str(out))
+    stream_alerts.write_alerts(again, 77, str(out))
+    stream_alerts.write_alerts(again.limit(0), 78, str(out))
+    assert len(_alert_rows(spark, out)) == 3
