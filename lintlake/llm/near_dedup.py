@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.components import connected_components
-from lintlake.llm.shared import Workspace, slices_of
+from lintlake.llm.shared import Workspace, batches_of, slices_of
 from lintlake.llm.shingles import constants, minima, mix, shingle_sets
 
 WIDTH, BANDS, ROWS = 5, 20, 4
@@ -49,6 +49,10 @@ PASSES = 1
 BLOCK, STAR = 256, 64
 #: Shingles, in all sets of one side, that meet in one task.
 BLOCK_SHINGLES = 1_000_000
+#: Bytes of text whose shingles are hashed at once; arrays of eight bytes a place stand beside them.
+SLICE = 250_000
+#: Documents in a batch of the first pass, which reads all texts.
+BATCH = 1000
 
 
 def _fingerprints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -59,7 +63,7 @@ def _fingerprints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFra
         for batch in batches:
             texts = batch.column("text")
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
-            for a, b in slices_of(sizes, 1_000_000):
+            for a, b in slices_of(sizes, SLICE):
                 sets = shingle_sets(texts.slice(a, b - a), width)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 one, two = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
@@ -255,7 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and class_id (smallest id with the same set)."""
     work = Workspace(docs.sparkSession, "near-dedup")
     least_share = max(0.0, percent / 100 - margin)
-    prints = work.table(_fingerprints(docs, width, bands, rows), "prints")
+    with batches_of(docs.sparkSession, BATCH):
+        prints = work.table(_fingerprints(docs, width, bands, rows), "prints")
     classes = prints.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
     classes = work.table(classes, "classes")
     nodes = classes.where("node is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -57,6 +58,18 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Python gets batches of this many rows in jobs that run inside; the session's own setting comes back after them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def whole_groups(batches, key: str):
     """Batches of rows sorted by ``key``, cut anew so that no group spans two of them."""
     import pyarrow as pa
