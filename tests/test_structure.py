@@ -169,3 +169,25 @@ def test_repeats_equal_brute_force_on_mixed_periods():
         words = ("".join(rng.choices("ab" if rng.random() < 0.5 else "abcdefgh", k=rng.choice([rng.randint(1, 9), rng.randint(20, 40)]))) * rng.randint(1, 7) for _ in range(rng.randint(1, 5)))
         text = "".join(words)[:260]
         assert immediate_repeats(text, 20) == brute(text, 20), text
+
+
+def test_texts_without_repeats_stay_out_of_the_search():
+    import random
+
+    import pyarrow as pa
+
+    from lintlake.operators import duplicates
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdé√") for _ in range(n))
+    plain = [word(rng.randint(0, 400)) for _ in range(300)] + [word(60_000), "", "x" * 99]
+    repeated = [word(rng.randint(0, 90)) + word(rng.randint(50, 90)) * 2 + word(9) for _ in range(50)] + ["ab" * 50, "a" * 100]
+    texts = plain + repeated
+    rng.shuffle(texts)
+    chosen = [texts[i] for i in duplicates.rows_that_may_repeat(pa.array(texts))]
+    assert set(repeated) <= set(chosen) and len(chosen) <= len(repeated) + 3
+    assert not len(duplicates.rows_that_may_repeat(pa.array([], pa.string()))) and not len(duplicates.rows_that_may_repeat(pa.array([""])))
+    # A long text is searched at the distances of recurring stretches only.
+    tail = word(70)
+    codes = duplicates._gram_hashes(duplicates.np.frombuffer((plain[0] + word(20_000) + tail * 2).encode("utf-32-le"), dtype="u4"))
+    assert len(duplicates._periods(codes, 50, len(codes) + 15)) < 5
