@@ -191,3 +191,28 @@ def test_texts_without_repeats_stay_out_of_the_search():
     tail = word(70)
     codes = duplicates._gram_hashes(duplicates.np.frombuffer((plain[0] + word(20_000) + tail * 2).encode("utf-32-le"), dtype="u4"))
     assert len(duplicates._periods(codes, 50, len(codes) + 15)) < 5
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from bindings.corpus import long_files, read
+    from lintlake.sources.files import spread
+
+    keys = list(range(20_000))
+    pq.write_table(pa.table({"doc_id": keys, "text": [f"text {k} {k * k}" for k in keys]}), f"{tmp_path}/documents.parquet")
+    pq.write_table(pa.table({"c_custkey": keys[:2000]}), f"{tmp_path}/customer.parquet")
+    held = lambda df: [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        # Many splits, but the rows of one row group lie in one of them.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert table.rdd.getNumPartitions() > cores and held(table) == [20_000]
+        dealt = held(spread(table, "doc_id"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(dealt) == 20_000 and max(dealt) < 20_000 / cores
+    assert max(held(long_files(spark, str(tmp_path)))) < 2000 / cores
+    assert read(spark, str(tmp_path), "customer").count() == 2000
