@@ -51,6 +51,8 @@ BLOCK, STAR = 256, 64
 BLOCK_SHINGLES = 1_000_000
 #: Bytes of text whose shingles are hashed at once; arrays of eight bytes a place stand beside them.
 SLICE = 250_000
+#: Documents in a file of the texts that are compared.
+TEXTS = 2_000
 #: Documents in a batch of the first pass, which reads all texts.
 BATCH = 1000
 
@@ -98,14 +100,14 @@ def _similar_signatures(pairs: DataFrame, least_share: float, percent: int) -> D
     return pairs.where(fits).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(work: Workspace, pairs: DataFrame, texts: DataFrame, name: str, width: int, percent: int) -> DataFrame:
+def _verified(work: Workspace, pairs: DataFrame, texts: DataFrame, name: str, width: int, percent: int, parts: int) -> DataFrame:
     """Pairs (u, v) that link on full sets. A left side meets its right sides in blocks, each of which carries its text once."""
-    pairs = work.table(pairs, f"{name}-pairs")
-    counts = work.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("long").alias("blocks")), f"{name}-counts")
+    pairs = work.table(pairs.coalesce(parts), f"{name}-pairs")
+    counts = work.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("long").alias("blocks")).coalesce(parts), f"{name}-counts")
     dealt = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
     needs = dealt.select("a", "block", F.col("b").alias("node")).unionByName(
         counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node")))
-    needs = work.table(needs, f"{name}-needs")
+    needs = work.table(needs.coalesce(parts), f"{name}-needs")
 
     def check(table: pa.Table) -> pa.Table:
         a, nodes = table.column("a")[0].as_py(), table.column("node").to_pylist()
@@ -124,7 +126,7 @@ def _verified(work: Workspace, pairs: DataFrame, texts: DataFrame, name: str, wi
         return pa.table({"u": pa.array([a] * len(out), pa.int64()), "v": pa.array(out, pa.int64())})
 
     rows = needs.join(texts, "node").select("a", "block", "node", "text")
-    linked = work.table(rows.groupBy("a", "block").applyInArrow(check, "u long, v long"), f"{name}-links")
+    linked = work.table(rows.groupBy("a", "block").applyInArrow(check, "u long, v long").coalesce(parts), f"{name}-links")
     work.drop(f"{name}-pairs", f"{name}-counts", f"{name}-needs")
     return linked
 
@@ -137,13 +139,15 @@ def _dealt(members: DataFrame, best_only: bool) -> DataFrame:
     """
     of = lambda rows, shingles: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("long")
     blocks, of_minors = of("total", "total_n"), of("minors", "minor_n")
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     # Looking for the best one, a member meets one block of each of its buckets; the last pass leaves no block out.
-    met = F.pmod(F.xxhash64("node", F.lit(2)), blocks) if best_only else spread(blocks)
-    as_minor = members.where("minor").withColumns({"i": F.pmod(F.xxhash64("node"), of_minors), "role": F.lit(True)}).withColumn("j", met)
-    as_any = members.withColumns({"j": F.pmod(F.xxhash64("node", F.lit(1)), blocks), "role": F.lit(False)}).withColumn("i", spread(of_minors))
-    columns = ["band", "key", "i", "j", "role", "node", "n", "signature", "keys", "label", "minor"]
-    return as_minor.select(*columns).unionByName(as_any.select(*columns))
+    met = F.array(F.pmod(F.xxhash64("node", F.lit(2)), blocks)) if best_only else upto(blocks)
+    place = lambda i, j, minor: F.struct(i.alias("i"), j.alias("j"), F.lit(minor).alias("role"))
+    as_minor = F.transform(met, lambda j: place(F.pmod(F.xxhash64("node"), of_minors), j, True))
+    as_any = F.transform(upto(of_minors), lambda i: place(i, F.pmod(F.xxhash64("node", F.lit(1)), blocks), False))
+    # Both roles of a row at once, so that what the members come from runs once.
+    places = F.when(F.col("minor"), F.concat(as_minor, as_any)).otherwise(as_any)
+    return members.withColumn("place", F.explode(places)).select("band", "key", "place.i", "place.j", "place.role", "node", "n", "signature", "keys", "label", "minor")
 
 
 def _candidates(table: pa.Table, least_share: float, percent: int, once: bool):
@@ -188,7 +192,7 @@ def _best_pairs(members: DataFrame, least_share: float, percent: int) -> DataFra
 _MEMBER = "band int, key long, i long, j long, role boolean, node long, n long, signature binary, keys array<long>, label long, minor boolean"
 
 
-def _spanning_links(work: Workspace, members: DataFrame, texts: DataFrame, name: str, least_share: float, percent: int, width: int) -> DataFrame:
+def _spanning_links(work: Workspace, members: DataFrame, texts: DataFrame, name: str, least_share: float, percent: int, width: int, parts: int) -> DataFrame:
     """Links (u, v) on full sets that join the components of open buckets; none that a block's other links make needless."""
 
     def similar(table: pa.Table) -> pa.Table:
@@ -222,35 +226,35 @@ def _spanning_links(work: Workspace, members: DataFrame, texts: DataFrame, name:
         u, v = zip(*out) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    listed = work.table(_dealt(members, False).groupBy("band", "key", "i", "j").applyInArrow(similar, _MEMBER), f"{name}-listed")
+    listed = work.table(_dealt(members, False).groupBy("band", "key", "i", "j").applyInArrow(similar, _MEMBER).coalesce(parts), f"{name}-listed")
     met = listed.join(texts, "node")
-    links = work.table(met.groupBy("band", "key", "i", "j").applyInArrow(check, "u long, v long"), f"{name}-links")
+    links = work.table(met.groupBy("band", "key", "i", "j").applyInArrow(check, "u long, v long").coalesce(parts), f"{name}-links")
     work.drop(f"{name}-listed")
     return links
 
 
-def _open_pass(work: Workspace, members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, name: str, best_only: bool, least_share: float, width: int, percent: int) -> DataFrame:
+def _open_pass(work: Workspace, members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, name: str, best_only: bool, least_share: float, width: int, percent: int, parts: int) -> DataFrame:
     """labels (node, label) after one pass over the buckets whose members have more than one label."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "key", "node", "n", "total", "label")
-    labelled = work.table(labelled, f"{name}-labelled")
+    labelled = work.table(labelled.coalesce(parts), f"{name}-labelled")
     sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("held"), F.sum("n").alias("held_n"))
     main = F.max_by(F.struct("label", "held", "held_n"), F.struct("held", "label"))
     open_ = sizes.groupBy("band", "key").agg(main.alias("main"), F.sum("held_n").alias("total_n"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = work.table(open_.select("band", "key", F.col("main.label").alias("main"), F.col("main.held").alias("most"), "total_n", (F.col("total_n") - F.col("main.held_n")).alias("minor_n")), f"{name}-open")
+    open_ = work.table(open_.select("band", "key", F.col("main.label").alias("main"), F.col("main.held").alias("most"), "total_n", (F.col("total_n") - F.col("main.held_n")).alias("minor_n")).coalesce(parts), f"{name}-open")
     if not open_.limit(1).count():
         work.drop(f"{name}-labelled", f"{name}-open")
         return labels
     rest = labelled.join(open_, ["band", "key"]).join(nodes.select("node", "signature", "keys"), "node").withColumns({
         "minor": F.col("label") != F.col("main"), "minors": F.col("total") - F.col("most")})
     if best_only:
-        links = _verified(work, _best_pairs(rest, least_share, percent), texts, name, width, percent)
+        links = _verified(work, _best_pairs(rest, least_share, percent), texts, name, width, percent, parts)
     else:
-        links = _spanning_links(work, rest, texts, name, least_share, percent, width)
+        links = _spanning_links(work, rest, texts, name, least_share, percent, width, parts)
     of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     joined = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    again = work.table(connected_components(work, joined, name).select(F.col("node").alias("label"), F.col("label").alias("top")), f"{name}-again")
+    again = work.table(connected_components(work, joined.coalesce(parts), name).select(F.col("node").alias("label"), F.col("label").alias("top")).coalesce(parts), f"{name}-again")
     known = labels.unionByName(again.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
-    merged = work.table(known.join(again, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
+    merged = work.table(known.join(again, "label", "left").select("node", F.coalesce("top", "label").alias("label")).coalesce(parts), f"{name}-labels")
     work.drop(f"{name}-labelled", f"{name}-open", f"{name}-again", f"{name}-links")
     return merged
 
@@ -261,41 +265,43 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     least_share = max(0.0, percent / 100 - margin)
     with batches_of(docs.sparkSession, BATCH):
         prints = work.table(_fingerprints(docs, width, bands, rows), "prints")
+    total = prints.count()
+    parts = work.parts(total)
     classes = prints.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
-    classes = work.table(classes, "classes")
+    classes = work.table(classes.coalesce(parts), "classes")
     nodes = classes.where("node is not null")
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     least, most = F.min(F.struct("node", "n")), F.max(F.struct("node", "n"))
     buckets = keyed.groupBy("band", "key").agg(least.alias("lo"), most.alias("hi"), F.count("*").alias("total")).where("total > 1")
-    buckets = work.table(buckets, "buckets")
+    buckets = work.table(buckets.coalesce(parts), "buckets")
     # Buckets of two are their pair; only larger ones look up their members.
     twos = buckets.where("total = 2").select(F.col("lo.node").alias("a"), F.col("hi.node").alias("b"))
     larger = buckets.where("total > 2").select("band", "key", "lo", "total")
-    members = work.table(keyed.join(larger, ["band", "key"]).select("band", "key", "node", "n", "lo", "total"), "members")
+    members = work.table(keyed.join(larger, ["band", "key"]).select("band", "key", "node", "n", "lo", "total").coalesce(parts), "members")
     stars = members.where("node != lo.node").select(F.col("lo.node").alias("a"), F.col("node").alias("b"))
-    pairs = work.table(twos.unionByName(stars).distinct(), "pairs")
+    pairs = work.table(twos.unionByName(stars).distinct().coalesce(parts), "pairs")
     sig = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}"))
-    alike = work.table(_similar_signatures(pairs.join(sig("b"), "b").join(sig("a"), "a"), least_share, percent), "alike")
+    alike = work.table(_similar_signatures(pairs.join(sig("b"), "b").join(sig("a"), "a").coalesce(parts), least_share, percent), "alike")
     # Texts of the classes that may still be compared, once each.
     involved = alike.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     # A merge join whatever the sizes: the list of classes has no bound that would allow a broadcast.
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(involved.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    texts = work.table(texts, "texts")
-    links = _verified(work, alike, texts, "first", width, percent)
-    labels = work.table(connected_components(work, links, "one"), "labels")
+    texts = work.table(texts.coalesce(work.parts(total, TEXTS)), "texts")
+    links = _verified(work, alike, texts, "first", width, percent, parts)
+    labels = work.table(connected_components(work, links, "one").coalesce(parts), "labels")
     work.drop("pairs", "alike", "first-links")
 
     for turn in range(PASSES + 1):
-        labels = _open_pass(work, members, nodes, texts, labels, f"pass-{turn}", turn < PASSES, least_share, width, percent)
+        labels = _open_pass(work, members, nodes, texts, labels, f"pass-{turn}", turn < PASSES, least_share, width, percent, parts)
     work.drop("members", "texts", "buckets")
     merged = nodes.select("h1", "h2", F.col("n").alias("size"), "node").join(labels, "node", "left")
-    merged = work.table(merged.select("h1", "h2", "size", F.col("node").alias("class_id"), F.coalesce("label", "node").alias("component")), "merged")
+    merged = work.table(merged.select("h1", "h2", "size", F.col("node").alias("class_id"), F.coalesce("label", "node").alias("component")).coalesce(parts), "merged")
 
     p, m = prints.select("doc_id", "n", "h1", "h2").alias("p"), merged.alias("m")
     found = p.join(m, (F.col("p.h1") == F.col("m.h1")) & (F.col("p.h2") == F.col("m.h2")) & (F.col("p.n") == F.col("m.size")), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.expr("doc_id <=> CASE WHEN n = 0 THEN doc_id ELSE component END").alias("kept"),
-                        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+                        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")).coalesce(parts)
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:

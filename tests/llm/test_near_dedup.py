@@ -147,3 +147,26 @@ def test_connected_components(spark):
     found = connected_components(Workspace(spark, "test"), spark.createDataFrame(edges, "u long, v long"), "t").collect()
     want = {n: find(n) for n in top if any(a != b and n in (a, b) for a, b in edges)}
     assert len(found) == len(want) and {r.node: r.label for r in found} == want
+
+
+def test_few_rows_make_few_files(spark, monkeypatch):
+    """Where Spark keeps all partitions of a shuffle, small tables are still a few files a core."""
+    docs = spark.createDataFrame([(i, f"{i} and then {i % 90} other words of its own {i}") for i in range(1500)], "doc_id long, text string")
+    real, made = Workspace.table, {}
+
+    def counted(self, frame, name):
+        out = real(self, frame, name)
+        made[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(near_dedup.Workspace, "table", counted)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "120"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        assert near_dedup.near_duplicates(docs).count() == 1500
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert made["classes"] <= 4 * spark.sparkContext.defaultParallelism
