@@ -34,6 +34,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 #: Documents of one (source, size) that share a rounding bucket.
 BUCKET = 4096
+#: Rows of the plan, one a (source, size), up to which it is broadcast to the texts.
+SENT = 500_000
 
 
 def source_targets(totals: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -133,17 +135,25 @@ def _decisions(docs: DataFrame, weights, cap: int, rounds: int, tolerance: float
     plan = work.table(plan, "plan")
     k, p = keyed.alias("k"), plan.alias("p")
     joined = k.join(p, F.col("k.source").eqNullSafe(F.col("p.source")) & (F.col("k.size") == F.col("p.size"))).select("k.*", "p.n", "p.base", "p.extra")
-    joined = joined.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BUCKET).cast("long")))
+    joined = joined.withColumn("bucket", _bucket("doc_id", "n"))
     # Rows before a key: those of the buckets before its own, and those before it there.
     held = joined.groupBy("source", "size", "bucket").agg(F.sum("repeats").alias("rows"))
     earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("bucket") == F.col("_bucket"))
-    inside = Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "size", "bucket").orderBy(_spot_hash("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("before") + F.coalesce(F.sum("repeats").over(inside), F.lit(0))
     more = F.greatest(F.least(F.col("extra") - first, F.col("repeats")), F.lit(0))
     chosen = joined.join(held, same).withColumn("more", more.cast("long"))
-    return chosen.select("doc_id", "source", "size", "repeats", "base", "more"), tilts
+    return chosen.select("doc_id", "source", "size", "repeats", "base", "more", "n", "bucket"), tilts
+
+
+def _bucket(doc_id, n) -> F.Column:
+    return F.pmod(F.xxhash64(doc_id), F.ceil(F.col(n) / BUCKET).cast("long"))
+
+
+def _spot_hash(doc_id) -> F.Column:
+    return F.xxhash64(doc_id, F.lit(9))
 
 
 def _rate(cap: int) -> F.Column:
@@ -164,30 +174,41 @@ def document_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, rounds: in
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """The mix itself: every row as often as its copies say (0 to ``cap`` times); columns as in ``docs``.
 
-    Of each (source, size) one key at most has rows with one more copy than
-    others; its rows are numbered by input partition, then over the partitions.
+    Texts are not shuffled: rows of one (source, size) stand in a line, so the
+    plan is the place in each line up to which rows get one copy more. One key
+    at most lies across that place; its rows are numbered by input partition,
+    then over the partitions.
     """
     chosen, _ = _decisions(docs, weights, cap, rounds, tolerance)
     work = Workspace(docs.sparkSession, "mixed-rows")
-    chosen = work.table(chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "repeats", "base", "more"), "chosen")
-    same = lambda d, c: d["doc_id"].eqNullSafe(c["_id"]) & d["source"].eqNullSafe(c["_source"]) & (word_count(d["text"]) == c["_size"])
-    whole = chosen.where("more = 0 or more = repeats").select("_id", "_source", "_size", (F.col("base") + (F.col("more") > 0).cast("int")).alias("_copies")).where("_copies > 0")
-    plain = docs.join(whole, same(docs, whole)).select(*[docs[c] for c in docs.columns], "_copies")
-    split = chosen.where("more > 0 and more < repeats").select("_id", "_source", "_size", F.col("base").alias("_base"), F.col("more").alias("_more"))
-    tagged = docs.withColumn("_part", F.spark_partition_id())
-    # Written, so that both uses below see the same partition of each row.
-    some = work.table(tagged.join(split, same(tagged, split)), "split")
-    key = ["_id", "_source", "_size"]
-    counts = some.groupBy(*key, "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"{c}2") for c in (*key, "_part")], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    agree = F.col("_part") == F.col("_part2")
-    for c in key:
-        agree &= F.col(c).eqNullSafe(F.col(f"{c}2"))
-    place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64("text"))) + F.col("_before")
-    split_rows = some.join(offsets, agree).withColumn("_copies", F.col("_base") + (place <= F.col("_more")).cast("int")).where("_copies > 0")
-    rows = plain.unionByName(split_rows.select(*docs.columns, "_copies"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # The first row of each line that does not get all of its one more; nulls come first in a struct as they do in the line.
+    spot = F.struct(F.col("bucket").alias("bucket"), _spot_hash("doc_id").alias("hash"), F.col("doc_id").alias("id"))
+    edge = F.min(F.when(F.col("more") < F.col("repeats"), F.struct(spot.alias("spot"), "more")))
+    edges = chosen.groupBy("source", "size").agg(F.any_value("n").alias("_n"), F.any_value("base").alias("_base"), edge.alias("_edge"))
+    edges = work.table(edges.withColumnsRenamed({"source": "_source", "size": "_size"}), "edges")
+    some_split = not edges.where("_edge.more > 0").isEmpty()
+    # A row per source and size: usually few enough to go to the texts, which then stay where they are.
+    sent = F.broadcast(edges) if edges.count() <= SENT else edges
+    same = docs["source"].eqNullSafe(sent["_source"]) & (word_count(docs["text"]) == sent["_size"])
+    own = F.struct(_bucket("doc_id", "_n").alias("bucket"), _spot_hash("doc_id").alias("hash"), F.col("doc_id").alias("id"))
+    placed = docs.withColumn("_part", F.spark_partition_id()).join(sent, same).withColumn("_own", own)
+    at_edge = F.coalesce((F.col("_own") == F.col("_edge.spot")) & (F.col("_edge.more") > 0), F.lit(False))
+    more = F.coalesce(F.col("_own") < F.col("_edge.spot"), F.lit(True)).cast("int")
+    rows = placed.where(~at_edge).select(*docs.columns, (F.col("_base") + more).alias("_copies"))
+    if some_split:
+        # Written, so that both uses below see the same partition of each row.
+        key = ["_id", "_source", "_size"]
+        some = work.table(placed.where(at_edge).select(*docs.columns, "_part", F.col("doc_id").alias("_id"), "_source", "_size", "_base", F.col("_edge.more").alias("_more")), "split")
+        counts = some.groupBy(*key, "_part").agg(F.count("*").alias("_rows"))
+        before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*[F.col(c).alias(f"{c}2") for c in (*key, "_part")], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        agree = F.col("_part") == F.col("_part2")
+        for c in key:
+            agree &= F.col(c).eqNullSafe(F.col(f"{c}2"))
+        place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64("text"))) + F.col("_before")
+        split_rows = some.join(offsets, agree).withColumn("_copies", F.col("_base") + (place <= F.col("_more")).cast("int"))
+        rows = rows.unionByName(split_rows.select(*docs.columns, "_copies"))
+    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -90,6 +90,32 @@ def test_repeated_rows_stay_near_the_target(spark, case):
     assert mixed == taken
 
 
+@pytest.mark.parametrize("sent", [mixing.SENT, 0])
+def test_mix_keeps_texts_in_place(spark, monkeypatch, sent):
+    """The mix agrees with the digest row by row, and texts meet a plan that may be sent without an exchange, however large the tables are."""
+    monkeypatch.setattr(mixing, "SENT", sent)
+    rows = [(n, t, s, 7) for n, t, s, _ in make(5) if n not in (None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan_docs = docs.localCheckpoint()
+        mix = mixing.mixed_rows(plan_docs)
+        plan = mix._jdf.queryExecution().executedPlan().toString()
+        got = [r.doc_id for r in mix.collect()]
+        copies = defaultdict(int)
+        for r in mixing.document_copies(docs).collect():
+            copies[r.doc_id] += r.copies * r.repeats
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("hashpartitioning" not in plan) == (sent > 0)
+    seen = defaultdict(int)
+    for i in got:
+        seen[i] += 1
+    # The null text stands twice under one id; its copies sum up.
+    assert {i: c for i, c in copies.items() if c} == dict(seen)
+
+
 def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w w", "b"), (3, "w", "c")], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.mix_digest(docs).collect()}
