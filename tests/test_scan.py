@@ -1,13 +1,14 @@
 """Positions of hits against brute force, and golden findings of small snippets."""
 
 import re
+import time
 from dataclasses import replace
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lintlake.operators.scan import dedup_findings, glob_regex, scan_first, scan_rules, search_pattern
+from lintlake.operators.scan import _test, dedup_findings, glob_regex, scan_first, scan_rules, search_pattern
 from lintlake.operators.duplicates import repeated_text
 from lintlake.plans.analysis import comprehensive_security, project_findings, quality_findings, sonar_style
 from lintlake.rules import extra, quality, review, security
@@ -186,3 +187,28 @@ def test_first_rule_keeps_a_place_inside_the_row(make_files):
     assert sorted(map(tuple, apart.collect()), key=repr) == sorted(map(tuple, every.collect()), key=repr)
     for scan in (merged, comprehensive_security(files), project_findings(files)):
         assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probes_decide_as_their_patterns_do(spark):
+    """A rule's probe and least length hit the very texts that its pattern hits, and a probe does not read the text anew from every line."""
+    import random
+
+    from lintlake.functions.text import java_regex
+
+    rng = random.Random(4)
+    words = ["const", "let a = 1", "xlet b", "return x", "import y;", "export", "#", "# c", ";", "\n", "\n", "\r\n", " ", "é", "function f(a) {", "}", "function g(){" + "x" * 500, "_var q", "var\n\n"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    texts += ["function a(){" + "y" * n + "}" for n in (499, 500, 501)] + [None, ""]
+    rules = [r for r in review.CODE_REVIEW if r.probe or r.shortest]
+    assert {r.rule for r in rules} == {"missingSemicolon", "clarity-longFunction"}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "lower(text) AS _lower", "'go' AS language")
+    for r in rules:
+        plain = F.coalesce(F.col("text").rlike(java_regex(r.pattern, r.flags)), F.lit(False))
+        got = docs.select(plain.alias("want"), F.coalesce(F.expr(_test(r)), F.lit(False)).alias("got")).collect()
+        assert [x.got for x in got] == [x.want for x in got]
+        assert 0 < sum(x.want for x in got) < len(got)
+    # 12,000 lines without a hit: the pattern alone would try every line start against the rest of the text.
+    long = spark.createDataFrame([("const;\n" * 12000,)], "text string").selectExpr("text", "lower(text) AS _lower", "'go' AS language")
+    start = time.monotonic()
+    assert not long.select(F.expr(_test(next(r for r in rules if r.probe)))).first()[0]
+    assert time.monotonic() - start < 10
