@@ -4,6 +4,8 @@ import random
 from collections import Counter
 import re
 
+from pyspark.sql import functions as F
+
 from lintlake.operators import graph, metrics, structure
 from lintlake.operators.duplicates import duplicate_blocks, immediate_repeats, repeated_text
 from lintlake.plans.analysis import compliance_findings
@@ -216,3 +218,29 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     assert sum(dealt) == 20_000 and max(dealt) < 20_000 / cores
     assert max(held(long_files(spark, str(tmp_path)))) < 2000 / cores
     assert read(spark, str(tmp_path), "customer").count() == 2000
+
+
+def test_words_are_counted_in_their_row_unless_a_path_stands_in_several(spark, monkeypatch):
+    """Totals equal those of (project, path, name) groups, with paths and projects repeated or null, and no path travels with the words."""
+    rng = random.Random(2)
+    texts = [None, "", "  ", "a", "é a_b 1 a"] + [" ".join(rng.choice("a b c def x1 é") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    keys = [("p", "one"), ("p", "two"), ("q", "one"), (None, "one"), ("p", None), (None, None)]
+    rows = [(*rng.choice(keys), t) for t in texts * 2] + [("r", f"own{i}", t) for i, t in enumerate(texts)]
+    for some, limit in ((rows, structure.SHARED_PATHS), (rows, 2), ([x for x in rows if x[0] == "r"], structure.SHARED_PATHS)):
+        monkeypatch.setattr(structure, "SHARED_PATHS", limit)
+        files = spark.createDataFrame(some, "project string, path string, text string")
+        groups = structure.word_uses(files).groupBy("name").agg(F.count("*").alias("used_in"), F.sum("uses").alias("uses"))
+        got = structure.word_totals(files)
+        assert got.dtypes == groups.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, groups.collect()))
+    # The last files share no path.
+    assert "hashpartitioning(project" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_symbols_of_texts_without_a_keyword(spark):
+    """Texts skip the patterns whose keyword they lack; the others give all their names."""
+    texts = ["def f(): pass", "function g() {}\nfunc h() {}", "fn i()", "class J: pass", "import k\nfrom l.m import n", "import x from 'y'; const z = require('w')", "define functional", "", None]
+    files = spark.createDataFrame([("p", str(i), "python", t) for i, t in enumerate(texts)], "project string, path string, language string, text string")
+    got = sorted((r.path, r.kind, r.name) for r in structure.symbols(files).collect())
+    assert got == [("0", "function", "f"), ("1", "function", "g"), ("1", "function", "h"), ("2", "function", "i"), ("3", "class", "J"),
+                   ("4", "import", "k"), ("4", "import", "l.m"), ("5", "import", "w"), ("5", "import", "x"), ("5", "import", "y")]
