@@ -212,3 +212,15 @@ def test_probes_decide_as_their_patterns_do(spark):
     start = time.monotonic()
     assert not long.select(F.expr(_test(next(r for r in rules if r.probe)))).first()[0]
     assert time.monotonic() - start < 10
+
+
+def test_files_whose_brackets_stay_flat_pay_no_fold(make_files):
+    from lintlake.operators.scan import _prepared
+
+    flat, deep = "go(a[1]); " * 30 + "{ f(g(1)) }", "{ ( [ { (\nx) } ] ) }"
+    quoted = 'f("((((((");'
+    files = make_files([("a.js", "javascript", flat), ("b.js", "javascript", deep), ("c.js", "javascript", quoted)])
+    prepared, _ = _prepared(files, quality.ALL)
+    assert [r.path for r in prepared.where("_nesting is not null").collect()] == ["b.js"]
+    hits = scan_rules(files, quality.ALL).where("rule = 'max-nesting-depth'").collect()
+    assert [(r.path, r.line, r.number) for r in hits] == [("b.js", 1, 5)]

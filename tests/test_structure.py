@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lintlake.functions.brackets import may_nest, nesting_depth, nesting_profile
 from lintlake.operators import graph, metrics, structure
 from lintlake.operators.duplicates import duplicate_blocks, immediate_repeats, repeated_text
 from lintlake.plans.analysis import compliance_findings
@@ -244,3 +245,16 @@ def test_symbols_of_texts_without_a_keyword(spark):
     got = sorted((r.path, r.kind, r.name) for r in structure.symbols(files).collect())
     assert got == [("0", "function", "f"), ("1", "function", "g"), ("1", "function", "h"), ("2", "function", "i"), ("3", "class", "J"),
                    ("4", "import", "k"), ("4", "import", "l.m"), ("5", "import", "w"), ("5", "import", "x"), ("5", "import", "y")]
+
+
+def test_depth_by_runs_and_its_bound_agree_with_the_fold(spark):
+    pick = random.Random(5)
+    marks = ["{", "}", "(", ")", "[", "]", "\n", "a", '"', "'", "`", "\\", "/", "//", "/*", "*/", "({[", "])}"]
+    texts = ["".join(pick.choice(marks) for _ in range(pick.randint(0, 40))) for _ in range(3000)] + ["((((([a]))))", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        nesting_profile("text", False)["depth"].alias("every"), nesting_depth("text").alias("runs"),
+        nesting_profile("text", True)["depth"].alias("depth"), *[may_nest("text", n).alias(f"may{n}") for n in (3, 5)]).collect()
+    assert [r.every for r in rows] == [r.runs for r in rows]
+    for n in (3, 5):
+        assert any(r.depth is not None and r.depth >= n for r in rows) and any(r[f"may{n}"] is False for r in rows)
+        assert not [r for r in rows if r.depth is not None and r.depth >= n and not r[f"may{n}"]]
