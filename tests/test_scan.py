@@ -224,3 +224,16 @@ def test_files_whose_brackets_stay_flat_pay_no_fold(make_files):
     assert [r.path for r in prepared.where("_nesting is not null").collect()] == ["b.js"]
     hits = scan_rules(files, quality.ALL).where("rule = 'max-nesting-depth'").collect()
     assert [(r.path, r.line, r.number) for r in hits] == [("b.js", 1, 5)]
+
+
+def test_the_action_plan_scans_once(spark, tmp_path, monkeypatch):
+    from bindings import report_queries
+
+    files = spark.createDataFrame([("p", "a.py", "python", "print(1)"), ("q", "b.js", "javascript", "debugger;")], "project string, path string, language string, text string")
+    files.write.parquet(f"{tmp_path}/files")
+    calls = []
+    monkeypatch.setattr(report_queries, "corpus", lambda s, d: s.read.parquet(f"{d}/files"))
+    monkeypatch.setattr(report_queries, "scan_rules", lambda f, rules: calls.append(1) or scan_rules(f, rules))
+    plan = report_queries.QUERIES["G7_action_plan"](spark, str(tmp_path)).collect()
+    assert len(calls) == 1
+    assert sorted(r.reason for r in plan if r.step_order > 4) == ["High issue/complexity score (1 issues, CC=1)."] * 2
