@@ -258,3 +258,27 @@ def test_depth_by_runs_and_its_bound_agree_with_the_fold(spark):
     for n in (3, 5):
         assert any(r.depth is not None and r.depth >= n for r in rows) and any(r[f"may{n}"] is False for r in rows)
         assert not [r for r in rows if r.depth is not None and r.depth >= n and not r[f"may{n}"]]
+
+
+def test_heads_hold_their_words():
+    """Units by heads whose words stand in the text are those by all heads."""
+    pick = random.Random(6)
+    marks = ["function ", "const ", "let ", "var ", "class ", "def ", "func ", "fn ", "public ", "async ", "extends B ", "f", "x", "(", ")", "{", "}", "=", "=>", ":", " ", "\n", "() {", "(a):", " = (b) => {", ": function (c) {"]
+    some = 0
+    for language, heads in structure.FUNCTION_HEADS.items():
+        assert len(heads) == len(structure.HEAD_WORDS[language])
+        for _ in range(3000):
+            text = "".join(pick.choice(marks) for _ in range(pick.randint(1, 12)))
+            for head, words in [*zip(heads, structure.HEAD_WORDS[language]), *[(c, structure.CLASS_WORDS) for c in structure.CLASS_HEADS.values()]]:
+                if re.search(head, text, re.ASCII | re.MULTILINE):
+                    some += 1
+                    assert structure._may_hold(text, words), (head, text)
+    assert some > 500
+
+
+def test_texts_are_derived_once_for_units(spark):
+    """The test for heads does not repeat the expression that makes the text."""
+    files = spark.range(3).selectExpr("'p' AS project", "cast(id AS string) AS path", "'go' AS language", "concat('func f', sha1(cast(id AS string)), '() { }') AS text")
+    plan = structure.code_units(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha1(") == 1
+    assert structure.code_units(files).count() == 3
