@@ -16,6 +16,9 @@ Segments meet blocks of items by a join on a slot number. Items of up to
 ``ITEM_BYTES`` in all, measured before, are broadcast and segments stay where
 they are; beyond, segments are dealt to slots of ``SLOT_BYTES``, each of which
 gets every block of items. What leaves a segment are k rows an item at most.
+A segment is a file of the index, and Python gets segments one by one: readers
+hold a batch of rows whole, so a task needs memory for one segment, however
+many of them its input makes.
 
 Defined cases: null and empty texts have no terms, and documents without a term
 are not counted; items without a term or without a match give no rows; rows
@@ -33,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintlake.llm.shared import LOWER, UPPER, Workspace, parts_for, ragged, slices_of
+from lintlake.llm.shared import LOWER, UPPER, Workspace, batches_of, parts_for, ragged, slices_of
 
 TOP = 10
 #: Bytes of text in a segment; items, and bytes of item text, in a block.
 SEGMENT, ITEMS, ITEM_BYTES = 16_000_000, 512, 2_000_000
 #: Bytes of postings in a slot.
 SLOT_BYTES = 64_000_000
+#: Documents that Python gets at once when it builds segments.
+ROWS = 2_000
 #: One of so many segments gives the floors.
 PROBE = 8
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,29 +61,39 @@ def _terms(texts: pa.Array):
     moved = pa.Array.from_buffers(pa.large_string(), len(texts), [None, texts.buffers()[1], plain], offset=texts.offset)
     lists = pc.ascii_split_whitespace(moved)
     offsets = np.asarray(lists.offsets)
-    flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(offsets))
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(offsets))
     full = pc.not_equal(flat, "")
     return flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
 
 
 def _segment(number: int, ids: pa.Array, texts: pa.Array) -> dict:
     flat, owner = _terms(texts)
-    coded = flat.dictionary_encode()
+    words, coded = len(owner), flat.dictionary_encode()
+    del flat
     order = np.asarray(pc.array_sort_indices(coded.dictionary))
     code = np.empty(len(order), np.int64)
     code[order] = np.arange(len(order))
-    codes = code[np.asarray(coded.indices)]
     lengths = np.bincount(owner, minlength=len(texts))
     held = np.flatnonzero(lengths)
     by_length = held[np.argsort(lengths[held], kind="stable")]
     place = np.zeros(len(texts), np.int64)
     place[by_length] = np.arange(len(by_length))
-    keys, tf = np.unique(codes * max(len(by_length), 1) + place[owner], return_counts=True)
-    term, at = np.divmod(keys, max(len(by_length), 1))
+    keys = code[np.asarray(coded.indices)]
+    terms = coded.dictionary.take(pa.array(order))
+    del coded
+    keys *= max(len(by_length), 1)
+    keys += place[owner]
+    del owner
+    # Sorted in place, equal keys are neighbours.
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    tf = np.diff(first, append=len(keys))
+    term, at = np.divmod(keys[first], max(len(by_length), 1))
+    del keys, first
     # Documents of one length are a run of places; within it, postings go by term frequency.
     rows = np.lexsort((at, tf, lengths[by_length][at], term))
-    return {"segment": number, "docs": len(by_length), "words": len(owner), "ids": ids.take(pa.array(by_length)), "lengths": lengths[by_length].astype(np.int64).tobytes(),
-            "terms": coded.dictionary.take(pa.array(order)), "dfs": np.bincount(term, minlength=len(order)).astype(np.int32),
+    return {"segment": number, "docs": len(by_length), "words": words, "ids": ids.take(pa.array(by_length)), "lengths": lengths[by_length].astype(np.int64).tobytes(),
+            "terms": terms, "dfs": np.bincount(term, minlength=len(order)).astype(np.int32),
             "places": at[rows].astype(np.int32).tobytes(), "tfs": tf[rows].astype(np.int32).tobytes()}
 
 
@@ -93,22 +108,26 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
         def full():
             table = pa.Table.from_batches(held).combine_chunks()
             found = _segment(number, *(table.column(c).combine_chunks() for c in ("doc_id", "text")))
-            arrays = [*(pa.array([found[c]], pa.int64()) for c in ("segment", "docs", "words")), pa.array([found["ids"].to_pylist()], pa.list_(pa.int64())), pa.array([found["lengths"]]),
+            arrays = [*(pa.array([found[c]], pa.int64()) for c in ("segment", "docs", "words")), pa.ListArray.from_arrays(pa.array([0, len(found["ids"])], pa.int32()), found["ids"]), pa.array([found["lengths"]]),
                       pa.ListArray.from_arrays(pa.array([0, len(found["terms"])], pa.int32()), found["terms"].cast(pa.string())),
                       pa.ListArray.from_arrays(pa.array([0, len(found["dfs"])], pa.int32()), pa.array(found["dfs"])), pa.array([found["places"]]), pa.array([found["tfs"]])]
             return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _SEGMENT.split(", ")])
 
+        def cut():
+            yield full()
+            pa.default_memory_pool().release_unused()
+
         for batch in batches:
             sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
             for a, b in slices_of(sizes, segment_bytes):
                 part = int(sizes[a:b].sum())
                 if held and size + part > segment_bytes:
-                    yield full()
+                    yield from cut()
                     number, held, size = number + 1, [], 0
                 held.append(batch.slice(a, b - a))
                 size += part
         if held:
-            yield full()
+            yield from cut()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SEGMENT)
 
@@ -136,42 +155,51 @@ def _blocks(items: DataFrame, blocks: int, slots: int) -> DataFrame:
     return packed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
 
 
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 class _Stratified:
     """A segment ready for search: strata, and the postings of the terms asked for, with impacts."""
 
     def __init__(self, row: dict, vocabulary: pa.Array, n: int, total: int):
-        self.ids = np.array([2**63 - 1 if i is None else i for i in row["ids"]], np.int64)
-        self.null = [i is None for i in row["ids"]]
+        ids = _array(row["ids"], pa.int64())
+        self.ids = pc.fill_null(ids, 2**63 - 1).to_numpy()
+        self.null = ids.is_null().to_numpy(zero_copy_only=False)
         lengths = np.frombuffer(row["lengths"], np.int64)
         m = 25 + (75 * lengths * n) // max(total, 1)
         self.first = np.flatnonzero(np.diff(m, prepend=-1))
         self.count = np.diff(np.append(self.first, len(m)))
-        stratum = np.repeat(np.arange(len(self.first)), self.count)
-        terms = pa.array(row["terms"], pa.string())
+        stratum = np.repeat(np.arange(len(self.first), dtype=np.int32), self.count)
+        terms = _array(row["terms"], pa.string())
         wanted = np.asarray(pc.fill_null(pc.index_in(vocabulary, terms), -1))
-        dfs = np.asarray(row["dfs"], np.int64)
+        dfs = np.asarray(row["dfs"]).astype(np.int64)
         starts = np.cumsum(dfs) - dfs
         self.known = wanted >= 0
         wanted, sizes = wanted[self.known], dfs[wanted[self.known]]
         rows = ragged(starts[wanted], sizes)
-        self.place = np.frombuffer(row["places"], np.int32)[rows].astype(np.int64)
-        tf = np.frombuffer(row["tfs"], np.int32)[rows].astype(np.int64)
+        self.place = np.frombuffer(row["places"], np.int32)[rows]
+        tf = np.frombuffer(row["tfs"], np.int32)[rows]
+        postings = len(rows)
+        del rows
         self.to = np.full(len(vocabulary), -1)
         self.to[self.known] = np.arange(len(wanted))
-        term, layer = np.repeat(np.arange(len(wanted)), sizes), stratum[self.place]
+        term, layer = np.repeat(np.arange(len(wanted), dtype=np.int32), sizes), stratum[self.place]
         # One impact for each run of (term, stratum, tf), spread over its postings.
-        new = np.ones(len(rows), bool)
+        new = np.ones(postings, bool)
         new[1:] = (np.diff(term) != 0) | (np.diff(layer) != 0) | (np.diff(tf) != 0)
         runs = np.flatnonzero(new)
-        each = (1_000_000_000 * tf[runs]) // (1000 * tf[runs] + 8 * m[self.place[runs]])
-        self.impact = np.repeat(each, np.diff(np.append(runs, len(rows))))
+        times = tf[runs].astype(np.int64)
+        each = (1_000_000_000 * times) // (1000 * times + 8 * m[self.place[runs]])
+        # Below 1,000,000.
+        self.impact = np.repeat(each.astype(np.int32), np.diff(np.append(runs, postings)))
         # Postings of a (term, stratum), and its best impact.
-        cell = np.ones(len(rows), bool)
+        cell = np.ones(postings, bool)
         cell[1:] = (np.diff(term) != 0) | (np.diff(layer) != 0)
         self.cell = np.flatnonzero(cell)
-        self.cell_size = np.diff(np.append(self.cell, len(rows)))
+        self.cell_size = np.diff(np.append(self.cell, postings))
         self.cell_layer = layer[self.cell]
-        self.best = np.maximum.reduceat(self.impact, self.cell) if len(rows) else np.zeros(0, np.int64)
+        self.best = np.maximum.reduceat(self.impact, self.cell).astype(np.int64) if postings else np.zeros(0, np.int64)
         self.cells = np.searchsorted(term[self.cell], np.arange(len(wanted) + 1))
 
     def search(self, numbers: np.ndarray, weights: np.ndarray, floor: int, k: int):
@@ -212,12 +240,15 @@ def _searching(n: int, total: int, k: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                vocabulary = sorted({t["term"] for item in row["items"] for t in item["terms"]})
+                # A segment's columns stay in Arrow's memory; only the items become Python's.
+                row = {c: batch.column(c).slice(i, 1).flatten() for c in ("ids", "terms", "dfs")}
+                row |= {c: batch.column(c)[i].as_buffer() for c in ("lengths", "places", "tfs")}
+                items = batch.column("items")[i].as_py()
+                vocabulary = sorted({t["term"] for item in items for t in item["terms"]})
                 number = {t: j for j, t in enumerate(vocabulary)}
                 held = _Stratified(row, pa.array(vocabulary, pa.string()), n, total)
                 out = []
-                for item in row["items"]:
+                for item in items:
                     numbers = np.array([number[t["term"]] for t in item["terms"]], np.int64)
                     weights = np.array([t["weight"] for t in item["terms"]], np.int64)
                     for place, score in zip(*held.search(numbers, weights, item["floor"], k)):
@@ -230,7 +261,8 @@ def _searching(n: int, total: int, k: int):
 
 def search(index: DataFrame, items: DataFrame, k: int = TOP, work: Workspace | None = None) -> DataFrame:
     """Each item's k best documents: item_id, rank, doc_id, score. ``index``: a table of ``build_index``."""
-    work = work or Workspace(index.sparkSession, "lexical-search")
+    spark = index.sparkSession
+    work = work or Workspace(spark, "lexical-search")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     n, total, postings = index.agg(zero("docs"), zero("words"), zero(2 * F.octet_length("places"))).first()
     items = work.table(_item_terms(items.withColumn("item_id", F.col("item_id").cast("long"))), "items")
@@ -238,7 +270,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, work: Workspace | N
     rows, size = items.agg(F.count("*"), F.sum("bytes")).first()
     blocks = max(1, -(-rows // ITEMS), -(-(size or 0) // ITEM_BYTES))
     small = (size or 0) <= ITEM_BYTES
-    slots = 4 if small else parts_for(index.sparkSession, postings, SLOT_BYTES)
+    slots = 4 if small else parts_for(spark, postings, SLOT_BYTES)
     slotted = index.withColumn("slot", F.pmod(F.xxhash64("segment"), F.lit(slots)).cast("int"))
     order = Window.partitionBy("item_row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
 
@@ -252,17 +284,20 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, work: Workspace | N
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     probe = F.pmod(F.xxhash64("segment", F.lit(1)), F.lit(PROBE)) == 0
-    first = work.table(ranked(found(slotted.where(probe), items.withColumn("floor", F.lit(1).cast("long")))), "first")
+    with batches_of(spark, 1):
+        first = work.table(ranked(found(slotted.where(probe), items.withColumn("floor", F.lit(1).cast("long")))), "first")
     floors = first.where(F.col("rank") == k).select("item_row", F.col("score").alias("floor"))
     asked = items.join(floors, "item_row", "left").withColumn("floor", F.coalesce("floor", F.lit(1).cast("long")))
-    rest = found(slotted.where(~probe), asked).unionByName(first.drop("rank"))
-    return ranked(rest).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    with batches_of(spark, 1):
+        rest = work.table(ranked(found(slotted.where(~probe), asked).unionByName(first.drop("rank"))), "ranked")
+    return rest.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 def ranked_documents(docs: DataFrame, items: DataFrame, k: int = TOP, segment_bytes: int = SEGMENT) -> DataFrame:
     """Index ``docs`` and rank them for each of ``items``."""
     work = Workspace(docs.sparkSession, "lexical")
-    index = work.table(build_index(docs, segment_bytes), "index")
+    with batches_of(docs.sparkSession, ROWS):
+        index = work.table(build_index(docs, segment_bytes), "index", 1)
     return search(index, items, k, work)
 
 

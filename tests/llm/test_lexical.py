@@ -78,3 +78,33 @@ def test_bounds_leave_strata_out():
 def test_empty_tables(spark):
     assert got(spark, [], [(0, "w1")]) == [] and got(spark, [(0, "w1")], []) == [] and got(spark, [(0, None)], [(0, "w1")]) == []
     assert got(spark, [(4, "b")], [(0, "b a b")]) == brute([(4, "b")], [(0, "b a b")])
+
+
+def test_a_task_holds_one_segment_at_a_time(spark, monkeypatch):
+    """A segment is a file of the index, so no reader holds two, and Python gets them one by one."""
+    docs, items = corpus()
+    table, searching, index = lexical.Workspace.table, lexical._searching, []
+
+    def written(self, frame, name, *options):
+        made = table(self, frame, name, *options)
+        if name == "index":
+            index.append((made.count(), len(made.inputFiles())))
+        return made
+
+    def watched(*numbers):
+        run = searching(*numbers)
+
+        def one_by_one(batches):
+            def checked():
+                for batch in batches:
+                    assert batch.num_rows <= 1
+                    yield batch
+
+            return run(checked())
+
+        return one_by_one
+
+    monkeypatch.setattr(lexical.Workspace, "table", written)
+    monkeypatch.setattr(lexical, "_searching", watched)
+    assert got(spark, docs, items, segment_bytes=300) == brute(docs, items)
+    assert index[0][0] == index[0][1] > 20
