@@ -158,6 +158,37 @@ def test_hot_sarif_run_is_cut_by_many_tasks(spark):
     assert max(r["count"] for r in rows) < 130
 
 
+def test_sarif_findings_are_shuffled_once(spark):
+    """Findings travel as their columns, once; blocks end parts, whose numbers stay apart; totals of many ranges are joined instead."""
+    found = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN null ELSE concat('r', id % 2) END AS run", "concat('rule', id % 7) AS rule_id", "concat('f', id % 50) AS file", "cast(id % 40 AS int) AS line",
+                                         "1 AS column", "'INFO' AS severity", "'c' AS category", "concat('m', id) AS message")
+    seen = []
+    for known in (100_000, 5):
+        exports.KNOWN_RANGES, before = known, exports.KNOWN_RANGES
+        try:
+            documents = exports.sarif_documents(found, max_bytes=6_000, created_at="t", ranges=16)
+            plan = documents._jdf.queryExecution().executedPlan().toString()
+            rows = documents.collect()
+        finally:
+            exports.KNOWN_RANGES = before
+        shuffled = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "block" in x]
+        assert len(shuffled) == 1 and not any("Exchange hashpartitioning(run" in x and "part" in x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines())
+        assert len({(r.run, r.part) for r in rows}) == len(rows) > 100
+        logs = {(r.run, r.part): json.loads(r.sarif)["runs"][0] for r in rows}
+        messages = sorted(x["message"]["text"] for log in logs.values() for x in log["results"])
+        assert messages == sorted(f"m{i}" for i in range(3000))
+        for log in logs.values():
+            results = [x for x in log["results"]]
+            assert sum(len(json.dumps(x, separators=(",", ":"))) + 1 for x in results[:-1]) <= 6_000 + 400
+            rules = log["tool"]["driver"]["rules"]
+            assert [x["id"] for x in rules] == sorted({x["ruleId"] for x in results})
+            place = lambda x: (x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], x["locations"][0]["physicalLocation"]["region"]["startLine"], x["message"]["text"])
+            for rule in rules:
+                assert rule["shortDescription"]["text"] == min(place(x) for x in results if x["ruleId"] == rule["id"])[2]
+        seen.append(sorted((str(r.run), r.part, r.sarif) for r in rows))
+    assert seen[0] == seen[1]
+
+
 def test_snapshots_of_both_shapes(spark, tmp_path):
     one = {"timestamp": "2024-01-02T00:00:00", "findings": [{"rule_id": "a", "file": "x", "line": 1, "column": 2, "severity": "ERROR"}]}
     (tmp_path / "one.json").write_text(json.dumps(one))
