@@ -214,6 +214,31 @@ def test_probes_decide_as_their_patterns_do(spark):
     assert time.monotonic() - start < 10
 
 
+def test_probes_of_security_and_quality_packs(spark):
+    """Probes hit the very texts that their patterns hit; a long word is not read anew from each of its characters."""
+    import random
+
+    from lintlake.functions.text import java_regex
+
+    rng = random.Random(7)
+    words = ["go", "public ", "f(a)", "(", ")", "{", "}", " ", "\n", "é", "_", "if", "else if", "case", "iff", " if ", "case\n", "const x = 1;", "let y=", "var  z =", ";", "=", "a;b", "()",
+             "PASSWORD", "token = '", "api_key=\"", "apikey", "credential", "12345678", "'", '"', "md5", "SHA1 ", "des(", "MD2", "x200", "1999", "2.5", "300", "12", " 4", "٣٤٥٦"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [" if case " * n for n in range(9)] + [None, ""]
+    rules = [r for r in security.COMPREHENSIVE + quality.ALL if r.probe]
+    assert len({r.rule for r in rules}) == 6
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "lower(text) AS _lower", "'javascript' AS language").repartition(4).cache()
+    for r in rules:
+        pattern = F.lit(java_regex(r.pattern, r.flags))
+        plain = F.regexp_count("text", pattern) >= r.threshold if r.kind == "threshold" else F.regexp_like("text", pattern)
+        got = docs.select(F.coalesce(plain, F.lit(False)).alias("want"), F.coalesce(F.expr(_test(r)), F.lit(False)).alias("got")).collect()
+        assert [x.got for x in got] == [x.want for x in got], r.rule
+        assert 0 < sum(x.want for x in got) < len(got), r.rule
+    long = spark.createDataFrame([("{" + "word_" * 60_000,)], "text string").selectExpr("text", "lower(text) AS _lower", "'go' AS language")
+    start = time.monotonic()
+    assert not long.select(F.expr(_test(next(r for r in rules if r.rule == "sonar-empty-method")))).first()[0]
+    assert time.monotonic() - start < 10
+
+
 def test_files_whose_brackets_stay_flat_pay_no_fold(make_files):
     from lintlake.operators.scan import _prepared
 
